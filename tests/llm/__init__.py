@@ -1,0 +1 @@
+"""Test helpers."""
