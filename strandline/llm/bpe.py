@@ -19,7 +19,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, table, texts
+from .common import slices, table, texts, widened
 
 #: Entries that a worker keeps of words and of token pairs; beyond, older ones are worked out anew.
 WORDS_KEPT, PAIRS_KEPT = 200_000, 400_000
@@ -218,8 +218,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = "byte_bpe_50k.js
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "token_ids"])
 
     docs = docs.drop("token_ids")
-    schema = docs.schema.add("token_ids", "array<int>")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, widened(docs.schema, ("token_ids", "array<int>")))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.json") -> DataFrame:

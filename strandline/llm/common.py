@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,14 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[
             yield batch.slice(at, step)
 
 
+def widened(schema: StructType, *more: tuple[str, str]) -> StructType:
+    """A copy of a schema with more columns."""
+    wide = StructType(list(schema.fields))
+    for name, kind in more:
+        wide = wide.add(name, kind)
+    return wide
+
+
 def unused(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column of that name (in any case) is there."""
     lower = {t.lower() for t in taken}

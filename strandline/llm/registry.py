@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, lines
+from . import bpe, lines, media, simhash, tiling, warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc": warc.op3_warc,
+        "op4_media": media.op4_media,
         "op5_bpe": bpe.op5_bpe,
         "op7_line_dedup": lines.op7_line_dedup,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_decontaminate": tiling.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": lines.SQL}
+    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL}
