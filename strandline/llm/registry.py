@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, simhash, tiling, warc
+from . import bpe, language_model, lines, media, simhash, tiling, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_media": media.op4_media,
         "op5_bpe": bpe.op5_bpe,
         "op7_line_dedup": lines.op7_line_dedup,
+        "op8_language_model": language_model.op8_language_model,
         "op9_simhash": simhash.op9_simhash,
         "op10_decontaminate": tiling.op10_decontaminate,
     }
