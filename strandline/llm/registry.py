@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, language_model, lines, media, simhash, tiling, warc
+from . import bpe, language, language_model, lines, media, quality, simhash, tiling, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_language": language.op2_language,
         "op3_warc": warc.op3_warc,
         "op4_media": media.op4_media,
         "op5_bpe": bpe.op5_bpe,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_language_model": language_model.op8_language_model,
         "op9_simhash": simhash.op9_simhash,
