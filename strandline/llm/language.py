@@ -159,6 +159,13 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     return docs.mapInArrow(run, widened(docs.schema, ("lang_pred", "string"), ("score", "double")))
 
 
+def recognised(docs: DataFrame, model: Languages) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and evidence for some language, columns unchanged."""
+    plain = identify(docs.select("text", F.struct(*docs.columns).alias("row")), model)
+    kept = plain.filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
+    return kept.select("row.*")
+
+
 def op2_language(spark, sf_dir):
     """Language of every document, learned where crc32(doc_id) modulo 4 isn't 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -219,6 +219,17 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id",
     )
 
 
+def one_of_each(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id.
+
+    Rows that repeat an id count as one document. Rows without an id stay as they are.
+    """
+    found = near_duplicates(docs, limit, id_col, text_col)
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op9_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
