@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def widened(schema: StructType, *more: tuple[str, str]) -> StructType:
     """A copy of a schema with more columns."""
     wide = StructType(list(schema.fields))
     for name, kind in more:
-        wide = wide.add(name, kind)
+        wide = wide.add(name, DataType.fromDDL(kind))
     return wide
 
 

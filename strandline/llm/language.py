@@ -57,7 +57,7 @@ class Languages:
             found = self.logs[-1]
             for n in range(min(MOST, len(padded)), 0, -1):
                 grams = self.tables[n]
-                hits = [i for at in range(len(padded) - n + 1) if (i := grams.get(padded[at : at + n])) is not None]
+                hits = [i for at in range(n == 1, len(padded) - n + 1 - (n == 1)) if (i := grams.get(padded[at : at + n])) is not None]
                 if hits:
                     found = self.logs[hits].mean(axis=0)
                     break
@@ -93,7 +93,7 @@ def _grams(text: str) -> Counter:
         seen[0, w] += c
         padded = f" {w} "
         for n in range(1, min(MOST, len(padded)) + 1):
-            for at in range(len(padded) - n + 1):
+            for at in range(n == 1, len(padded) - n + 1 - (n == 1)):  # a border alone is no gram
                 seen[n, padded[at : at + n]] += c
     return seen
 

@@ -30,7 +30,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
         docs.select(
             _row_key(docs, id_col, text_col).alias("k"),
             docs[id_col].alias("id"),
-            F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"),
+            # With a letter in front, as a sketch would pass over an empty name.
+            F.coalesce(F.concat(F.lit("s"), docs[site_col].cast("string")), F.lit("-")).alias("site"),
             F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"),
         )
         .filter(F.trim("line") != "")

@@ -192,7 +192,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", salts: int = 8, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity by a chain of classifiers.
 
 Categories are predicted one after the other. Each has a linear (logistic) model over indicators of
-byte n-grams of the lower-cased words, and over the probabilities of the categories before it; in
+byte n-grams of the lower-cased words that the category has more often than chance, and over the probabilities of the categories before it; in
 training these are out-of-fold predictions, so that later models see them as they will be in use.
 """
 
@@ -62,12 +62,12 @@ class Features:
         return found[self.keys[found] == c]
 
 
-def _choose(listed: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """n-grams that a category's rows have more often than chance, by chi-squared, the strongest first."""
+def _choose(listed: list[np.ndarray], y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams that some category's rows have more often than chance, by chi-squared, and for which categories."""
     keys, inverse = np.unique(np.concatenate(listed), return_inverse=True)
     row = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
     n, have = len(listed), np.bincount(inverse, minlength=len(keys))
-    best = np.zeros(len(keys))
+    chosen = np.zeros((len(keys), y.shape[1]), bool)
     for k in range(y.shape[1]):
         one = y[:, k].sum()
         a = np.bincount(inverse, y[row, k], len(keys))
@@ -75,9 +75,11 @@ def _choose(listed: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
         d = n - one - c
         with np.errstate(divide="ignore", invalid="ignore"):
             chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-        best = np.maximum(best, np.where(np.isfinite(chi2), chi2, 0.0))
-    good = np.flatnonzero((have >= LEAST_ROWS) & (best >= LEAST_CHI2))
-    return keys[good[np.lexsort((keys[good], -best[good]))][:most]]
+        chi2 = np.where(np.isfinite(chi2) & (a * n > have * one) & (have >= LEAST_ROWS), chi2, 0.0)
+        good = np.flatnonzero(chi2 >= LEAST_CHI2)
+        chosen[good[np.lexsort((keys[good], -chi2[good]))][:most], k] = True
+    any_ = chosen.any(axis=1)
+    return keys[any_], chosen[any_]
 
 
 class Chain:
@@ -98,16 +100,17 @@ def fit(listed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURES) -> C
     if not listed or not sum(map(len, listed)):
         share = (y.sum(axis=0) + 0.5) / (len(y) + 1)
         return Chain(np.zeros(0, np.uint64), [(np.zeros(0), np.zeros(k), float(np.log(p / (1 - p)))) for k, p in enumerate(share)])
-    keys = _choose(listed, y, most)
+    keys, chosen = _choose(listed, y, most)
     order = np.argsort(keys)
     sorted_keys = keys[order]
     found = []
     for c in listed:
         at = np.minimum(np.searchsorted(sorted_keys, c), max(len(keys) - 1, 0))
         found.append(order[at[sorted_keys[at] == c]] if len(keys) else np.zeros(0, np.int64))
-    rows, n, fold = Rows(found), len(y), np.arange(len(y)) % FOLDS
+    n, fold = len(y), np.arange(len(y)) % FOLDS
     before, models = np.zeros((n, 0)), []
     for k in range(y.shape[1]):
+        rows = Rows([f[chosen[f, k]] for f in found])
         target, unseen = y[:, k].astype(float), np.full(n, y[:, k].mean())
         for f in range(FOLDS):
             inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
