@@ -120,21 +120,27 @@ def parse(raw: str) -> dict:
 
 
 def parse_payloads(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Columns of the contract from delivered JSON, and ``malformed``; every row stays. JSON functions of SQL
-    keep the last of two equal keys and take trailing text, hence the strict parser here."""
+    """``raw`` with the contract's columns (replacing ones of their names) and ``malformed``; every row stays.
+
+    JSON functions of SQL keep the last of two equal keys and take trailing text, hence the strict parser here.
+    """
     names = [f.split()[0] for f in PAYLOAD.split(", ")]
     kinds = [pa.list_(pa.string()) if n == "tools" else pa.int64() if n in _NUMBERS else pa.string() for n in names]
+    raw = raw.drop(*[n for n in (*names, "malformed") if n != column])
+    at = raw.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, bad = [], []
-            for r in batch.column(0).to_pylist():
+            for r in batch.column(at).to_pylist():
                 try:
                     rows.append(parse(r or ""))
                     bad.append(False)
                 except Malformed:
                     rows.append({})
                     bad.append(True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.get(n) for x in rows], k) for n, k in zip(names, kinds)), pa.array(bad)], names=["raw", *names, "malformed"])
+            new = [pa.array([x.get(n) for x in rows], k) for n, k in zip(names, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new, pa.array(bad, pa.bool_())], names=[*batch.schema.names, *names, "malformed"])
 
-    return raw.select(column).mapInArrow(run, f"raw string, {PAYLOAD}, malformed boolean")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
+    return raw.mapInArrow(run, f"{own}, {PAYLOAD}, malformed boolean")
