@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from strandline.functions import contracts, identity, text
-from strandline.operators import analytics, capture, projection, retrieval, turns
+from strandline.operators import analytics, capture, projection, redaction, retrieval, turns, verify
 
 from . import views
 from .views import GRAMS, LINES, NOW_MS, PAYLOADS, POSTS, REC, STATS, TURNS
@@ -387,6 +387,34 @@ def render_markdown(spark, d):
     return capture.prepared(views.payloads(spark, d)).select("session_id", "turn_id", identity.rendered().alias("content"))
 
 
+def _stored_records(spark, d):
+    """The rendered turns as files; those whose user part is longer than the reply were edited since."""
+    p = capture.prepared(views.payloads(spark, d)).withColumn("content", identity.rendered())
+    edited = F.regexp_replace("content", "\\n## Assistant\\n\\n", "\n## Assistant\n\nAdded later. ")
+    longer = F.length("user_content") > F.length("assistant_result")
+    return p.select("rel_path", F.when(longer, edited).otherwise(F.col("content")).alias("content"))
+
+
+_STANDING = f"WITH {PAYLOADS}, s AS (SELECT concat(strftime(make_timestamp(event_time_ms * 1000), '%Y/%m/%d'), '/', episode_id, '.md') AS rel_path, length(user_content) > length(assistant_result) AS edited FROM ident) "
+
+
+@query(_STANDING + "SELECT rel_path, CASE WHEN edited THEN 'digest_mismatch' ELSE 'ok' END AS verify_status FROM s")
+def verify_status(spark, d):
+    return verify.verified(_stored_records(spark, d)).select("rel_path", "verify_status")
+
+
+@query(_STANDING + "SELECT rel_path, CASE WHEN edited THEN 'reseal' ELSE 'current' END AS action FROM s")
+def reseal_preview(spark, d):
+    return verify.reseal_preview(_stored_records(spark, d)).select("rel_path", "action")
+
+
+@query()
+def redacted_messages(spark, d):
+    """Conversations as JSON lines without their content; hashing words by line has no SQL."""
+    c = views.table(spark, d, "conversations")
+    return redaction.redact(c.select("conv_id", "turn", F.to_json(F.struct("role", "text", F.col("conv_id").cast("string").alias("id"))).alias("value")))
+
+
 def _doubtful(spark, d):
     """Pages as payloads: hosts as worlds, urls as paths, texts as they are, so that several checks fail."""
     p = views.table(spark, d, "pages")
