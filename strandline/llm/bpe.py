@@ -203,6 +203,9 @@ def encoder(path: str) -> PrefixBpe:
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a name, or the name itself if it is an absolute path."""
+    if name.startswith("/"):
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
