@@ -37,6 +37,16 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, one byte of all of them after the other, so that the zeros lie together."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Block:
     """The tokens of some texts, as indices into the block's distinct n-grams of each length."""
 
@@ -170,21 +180,20 @@ def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, bl
             {
                 "bucket": pa.array(np.arange(n_buckets, dtype=np.int32)),
                 "block": pa.array(np.full(n_buckets, group.column("block")[0].as_py(), np.int32)),
-                "keys": listed(keys.view(np.int64), pa.int64()),
+                "keys": pa.array([_packed(keys[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 "counts": listed(counts, pa.int32()),
                 "unigrams": listed(unigram.astype(np.int8), pa.int8()),
                 "documents": pa.array(np.full(n_buckets, int(used.sum()), np.int64)),
             }
         )
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys array<bigint>, counts array<int>, unigrams array<tinyint>, documents long")
+    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts array<int>, unigrams array<tinyint>, documents long")
 
     def answer(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         column = lambda name: pa.concat_arrays(group.column(name).chunks) if group.column(name).num_chunks != 1 else group.column(name).chunk(0)
-        listed = column("keys")
-        keys, counts = listed.flatten().to_numpy(), column("counts").flatten().to_numpy().astype(np.int64)
-        lengths = listed.value_lengths().to_numpy()
+        keys = np.concatenate([_unpacked(k) for k in column("keys").to_pylist()])
+        counts, lengths = column("counts").flatten().to_numpy().astype(np.int64), column("counts").value_lengths().to_numpy()
         unigrams = column("unigrams").flatten().to_numpy().astype(bool)
         distinct, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
