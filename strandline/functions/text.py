@@ -37,8 +37,7 @@ def index_tokens(line: Column) -> Column:
     Runs are cut out before they are lowered, so that no other character turns into a letter.
     """
     runs = F.regexp_extract_all(line, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.transform(runs, F.lower), lambda t: F.length(t).between(2, MAX_TOKEN) & ~F.array_contains(stop, t))
+    return F.filter(F.transform(runs, F.lower), lambda t: F.length(t).between(2, MAX_TOKEN) & ~t.isin(STOP_WORDS))
 
 
 def index_tokens_of(line: str) -> list[str]:

@@ -34,6 +34,15 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return each.groupBy("world", "term").agg(F.count_if(~inside).alias("df"), F.count_if(inside).alias("eval_df"))
 
 
+def term_stats_of(records: DataFrame) -> DataFrame:
+    """The same straight from records of distinct ids: each brings a term once, so one aggregation is enough."""
+    lines = F.split("content", "\n")
+    body = F.when(F.col("body_line") <= 1, F.col("content")).otherwise(F.array_join(F.slice(lines, F.greatest(F.col("body_line"), F.lit(1)), F.size(lines)), "\n"))
+    terms = records.select("world", "lane", F.explode(F.array_distinct(index_tokens(body))).alias("term"))
+    inside = F.col("lane") == "evaluation"
+    return terms.groupBy("world", "term").agg(F.count_if(~inside).alias("df"), F.count_if(inside).alias("eval_df"))
+
+
 def term_trigrams(stats: DataFrame) -> DataFrame:
     return stats.select("world", F.explode(trigrams(F.col("term"))).alias("trigram"), "term")
 

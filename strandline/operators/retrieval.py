@@ -77,7 +77,8 @@ def eligible(records: DataFrame, world: str, scope: str | None = None, lanes=DEF
 
 def vocabulary(lines: DataFrame, needles: list[str]) -> list[str]:
     """The first matching terms of a world in order; one more than the cap says that there are others."""
-    terms = lines.select(F.explode(index_tokens(F.col("line"))).alias("term")).filter(_has_needle(F.col("term"), needles))
+    some = lines.filter(_has_needle(F.lower("line"), needles))  # other lines have no such term
+    terms = some.select(F.explode(index_tokens(F.col("line"))).alias("term")).filter(_has_needle(F.col("term"), needles))
     return [r[0] for r in terms.distinct().orderBy("term").limit(MAX_VOCABULARY + 1).collect()]
 
 

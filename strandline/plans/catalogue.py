@@ -46,7 +46,7 @@ def _posts(spark, d):
 
 
 def _stats(spark, d):
-    return projection.term_stats(_posts(spark, d))
+    return projection.term_stats_of(views.records(spark, d))
 
 
 @query(f"WITH {POSTS} SELECT * FROM posts")

@@ -187,7 +187,9 @@ def test_incremental_equals_rebuilt(spark):
     updated = old.join(changed.select("episode_id"), "episode_id", "left_anti").unionByName(projection.postings(changed))
     rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
     assert rows(updated) == rows(projection.postings(after))
-    assert rows(projection.term_stats(updated)) == rows(projection.term_stats(projection.postings(after)))
+    assert rows(projection.term_stats(updated)) == rows(projection.term_stats(projection.postings(after))) == rows(projection.term_stats_of(after))
+    headed = after.withColumn("content", F.concat(F.lit("head one\n"), F.col("content"))).withColumn("body_line", F.lit(2))
+    assert rows(projection.term_stats_of(headed)) == rows(projection.term_stats_of(after))
 
 
 def test_trigrams_equal_scan(spark):
