@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict, train: Column |
     return Chain(np.frombuffer(row[0], np.uint64), [(floats(w), floats(v), b) for w, v, b in zip(*row[1:])])
 
 
-def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.4) -> DataFrame:
     """(doc_id, one probability per category, score, predicted); the last category is the score.
 
     Whole texts are read. Null and empty texts have no feature and get the biases' probabilities.
