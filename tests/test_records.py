@@ -2,7 +2,6 @@
 
 import json
 import os
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
