@@ -14,8 +14,6 @@ m / (c(h) + m) to the state of h'. Weights are base-10 logarithms.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +23,8 @@ from .common import crc_remainder, table
 
 #: Words per n-gram, the weight of shorter histories, and the bytes of text that a block should hold.
 ORDER, WEIGHT, BLOCK_BYTES = 2, 20.0, 16 << 20
-START, END, UNKNOWN = 1, 2, 3
+#: Hashes of what is no word: a text's begin and its end.
+START, END = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
