@@ -39,6 +39,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
     )
 
 
+def _spread_out(keys: DataFrame, salts: int) -> DataFrame:
+    """Line keys once for each salt, so that the occurrences of a hot line meet them in several tasks."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def boilerplate(
     docs: DataFrame,
     min_sites: int = 10,
@@ -47,12 +52,14 @@ def boilerplate(
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
+    salts: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of repeated lines, boilerplate lines with ``sites`` and first occurrence)."""
+    """(occurrences of repeated lines with a salt, boilerplate lines with ``sites`` and first occurrence)."""
     lines = _lines(docs, id_col, text_col, site_col)
     key = ["h1", "h2"]
     often = lines.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select(*key)
-    seen = checkpointed(lines.join(often, key, "left_semi"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(salts)).cast("int"))
+    seen = checkpointed(salted.join(_spread_out(often, salts), [*key, "salt"], "left_semi"))
     spread = seen.groupBy(*key).agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"),
         F.min(F.struct("id", "pos")).alias("first"),
@@ -82,6 +89,7 @@ def drop_boilerplate(
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
+    salts: int = 16,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, plus ``n_lines`` and ``n_removed``.
 
@@ -90,9 +98,9 @@ def drop_boilerplate(
     lines. An empty table gives an empty result. Columns called ``n_lines`` or ``n_removed`` before
     are replaced; all others stay.
     """
-    seen, wide = boilerplate(docs, min_sites, band, lg_k, id_col, text_col, site_col)
+    seen, wide = boilerplate(docs, min_sites, band, lg_k, id_col, text_col, site_col, salts)
     gone = (
-        seen.join(wide.select("h1", "h2", "first"), ["h1", "h2"])
+        seen.join(_spread_out(wide.select("h1", "h2", "first"), salts), ["h1", "h2", "salt"])
         .filter(~F.col("first").eqNullSafe(F.struct("id", "pos")))
         .groupBy("k")
         .agg(F.collect_set("pos").alias("gone"))
