@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from .common import crc_remainder, hash_fraction, slices, table, texts, widened
 
 #: Longest n-gram; documents of each language to learn from, at most about; languages at most (by number of documents).
-MOST, SAMPLE_ROWS, LANGUAGES = 5, 1500, 200
+MOST, SAMPLE_ROWS, LANGUAGES = 5, 800, 200
 #: Words and n-grams seen fewer times in the sample are left out.
 LEAST = 2
 #: What a word or n-gram costs in a language that hasn't it, in powers of ten.
 PENALTY = 7.0
-UNKNOWN_KEPT = 100_000
+UNKNOWN_KEPT = 20_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
