@@ -12,6 +12,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,10 +90,15 @@ def tile(item: list[str], doc: list[str], least: int = MIN_TILE) -> int:
 
 
 class Benchmark:
-    """Items by id, and the runs of tokens by which documents find them."""
+    """Distinct items by place, and the runs of tokens by which documents find them."""
 
     def __init__(self, rows: list[tuple[int, str]], seed: int):
-        self.items = {i: w for i, t in rows if (w := tokens(t))}
+        self.ids, listed = [], []
+        for i, t in dict.fromkeys(rows):
+            if w := tokens(t):
+                self.ids.append(i)
+                listed.append(w)
+        self.items = dict(enumerate(listed))
         self.words, self.seeds, self.short = set(), defaultdict(set), defaultdict(set)
         for i, w in self.items.items():
             k = min(seed, len(w))
@@ -150,7 +156,7 @@ def _pairs(rows: list[tuple[int, str]], seed: int, least: int, threshold: float,
                 for i in sorted(bench.near(doc)):
                     share = coverage(bench.items[i], doc, least)
                     if share >= threshold:
-                        out.append((doc_id, i, len(bench.items[i]), share))
+                        out.append((doc_id, bench.ids[i], len(bench.items[i]), share))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((id_kind, pa.int64(), pa.int64(), pa.float64()))],
                 names=["doc_id", "item_id", "n_tokens", "coverage"],
@@ -159,12 +165,26 @@ def _pairs(rows: list[tuple[int, str]], seed: int, least: int, threshold: float,
     return run
 
 
-def _seeds(df: DataFrame, id_col: str, text_col: str, key: str, seed: int) -> DataFrame:
-    """(key, h) for the distinct seeds of a text; items shorter than a seed have none here."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(df[text_col], F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - seed + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, seed))))
-    listed = df.select(df[id_col].alias(key), words.alias("w")).filter(F.size("w") >= seed)
-    return listed.select(key, F.explode(F.array_distinct(runs)).alias("h"))
+def _seeds(df: DataFrame, seed: int, lengths: list[int] | None = None) -> DataFrame:
+    """(key, n, h) for the distinct seeds of texts (key, text), which have n tokens each.
+
+    An item of fewer than ``seed`` tokens is one seed; documents are cut into runs of all ``lengths``.
+    """
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20):
+            keys, sizes, found = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), texts(batch)):
+                w = tokens(text)
+                runs = {" ".join(w[j : j + k]) for k in lengths or {min(seed, len(w))} - {0} for j in range(len(w) - k + 1)}
+                keys += [key] * len(runs)
+                sizes += [min(seed, len(w))] * len(runs)
+                found += map(xxh64_intdigest, runs)
+            h = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), h], names=["key", "n", "h"])
+
+    return df.mapInArrow(run, "key long, n int, h long")
 
 
 def contaminated(
@@ -180,9 +200,10 @@ def contaminated(
     """(doc_id, item_id, n_tokens, coverage) of pairs whose coverage reaches ``threshold``.
 
     Every document meets every item with which it shares a seed; there is no cap. Items of fewer than
-    ``seed`` tokens must occur whole. Items without a token, null texts and empty tables give no rows;
+    ``seed`` tokens are found by their whole run. Items without a token, null texts and empty tables give no rows;
     repeated documents give repeated rows. A benchmark of at most ``worker_bytes`` of text goes to
-    every worker; a larger one is joined on hashed seeds and each pair's texts are brought together.
+    every worker; a larger one is joined on hashed seeds and each pair's texts are brought together. Both
+    ways cut the same tokens and give the same rows; equal benchmark rows count once.
     """
     bench = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -194,9 +215,13 @@ def contaminated(
         return slim.mapInArrow(_pairs(rows, seed, least, threshold, id_kind), f"doc_id {id_type}, item_id long, n_tokens long, coverage double")
     # Documents that share a text share its work: pairs are formed between texts.
     keyed = slim.withColumn("k", F.xxhash64("text"))
-    shared = _seeds(keyed, "k", "text", "k", seed).join(_seeds(bench, "item_id", "text", "item_id", seed), "h").select("k", "item_id").distinct()
+    bench = bench.distinct().withColumn("b", F.xxhash64("item_id", "text"))
+    asked = checkpointed(_seeds(bench.select(F.col("b").alias("key"), "text"), seed))
+    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # ``seed`` of them at most
+    found = _seeds(keyed.select(F.col("k").alias("key"), "text"), seed, lengths or [seed])
+    shared = found.select(F.col("key").alias("k"), "h").join(asked.select(F.col("key").alias("b"), "h"), "h").select("k", "b").distinct()
     shared = checkpointed(shared)
-    texts_of = keyed.select("k", "text", "doc_id").join(shared, "k").join(bench.withColumnRenamed("text", "item"), "item_id")
+    texts_of = keyed.select("k", "text", "doc_id").join(shared, "k").join(bench.withColumnRenamed("text", "item"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

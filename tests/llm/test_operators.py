@@ -440,6 +440,25 @@ def test_contaminated_both_ways(spark, worker_bytes):
     assert tiling.contaminated(docs.limit(0), bench).count() == 0 and tiling.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("worker_bytes", [1 << 20, 0])
+def test_contaminated_short_items_and_marks(spark, worker_bytes):
+    """Items of one to four tokens, combining marks, and an id that two items share, whichever way the benchmark goes."""
+    marked = "re\u0301sume\u0301 na\u0131\u0308ve cafe\u0301 हिन्दी भाषा"
+    items = [(1, "quartz"), (2, "Quartz vein"), (3, "vein of quartz"), (4, "a vein of quartz"), (5, marked), (6, "e\u0301"), (7, "basalt"), (7, "gneiss"), (None, "schist")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["see a vein of quartz here", "quartz, vein", "of a vein", f"x {marked} y", "the basalt or gneiss", "schist", "quart z", "resume naive cafe"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(
+        ((i, n, len(tiling.tokens(item)), tiling.coverage(tiling.tokens(item), tiling.tokens(t))) for i, t in enumerate(texts) for n, item in items if tiling.coverage(tiling.tokens(item), tiling.tokens(t)) >= 0.8),
+        key=str,
+    )
+    assert {(0, 1), (0, 3), (0, 4), (1, 1), (1, 2), (3, 5), (4, 7), (5, None)} <= {r[:2] for r in want}
+    got = sorted((tuple(r) for r in tiling.contaminated(docs, bench, worker_bytes=worker_bytes).collect()), key=str)
+    assert got == want
+    clean = {r["doc_id"] for r in tiling.clean(docs, bench, worker_bytes=worker_bytes).collect()}
+    assert clean == set(range(len(texts))) - {r[0] for r in want}
+
+
 def test_contaminated_odd_rows(spark):
     bench = spark.createDataFrame([(1, "the river and the stone"), (2, "the river")], "item_id long, text string")
     got = sorted(str(r["doc_id"]) for r in tiling.contaminated(odd_docs(spark), bench).filter("item_id = 1").collect())
