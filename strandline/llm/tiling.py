@@ -1,15 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on seeds (runs of ``seed`` equal tokens). For every pair so
-found, the longest common runs that don't overlap earlier ones are marked again and again, found by
-running Karp-Rabin hashes, and the share of the item's tokens that is covered decides. Passages whose
-parts stand in another order are covered as well.
+Documents and benchmark items are joined on seeds: equal runs of as many tokens as the shortest tile
+has, so every tile holds one. Pairs that the seeds show to be covered too little, whatever the tiles,
+are left out. For every other pair, the longest common runs that don't overlap earlier ones are marked
+again and again, found by running Karp-Rabin hashes, and the share of the item's tokens that is covered
+decides. Passages whose parts stand in another order are covered as well. Items of at most ``WHOLE``
+tokens must occur whole, as parts of them are common phrases.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, table, texts
 
-SEED, MIN_TILE, COVERAGE = 5, 3, 0.8
+MIN_TILE, COVERAGE = 3, 0.8
+#: Items of at most this many tokens must occur whole.
+WHOLE = 5
 #: Above this size of the benchmark's texts, seeds meet in a shuffle instead of in every worker.
 WORKER_BYTES = 16 << 20
 
 WORD = re.compile(r"\w+")
 BASE, PRIME = 1_000_003, (1 << 61) - 1
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -89,71 +94,98 @@ def tile(item: list[str], doc: list[str], least: int = MIN_TILE) -> int:
     return covered
 
 
+def shortest(n: int, least: int = MIN_TILE) -> int:
+    """Tokens of the shortest tile that counts for an item of ``n`` tokens."""
+    return n if n <= WHOLE else min(n, least)
+
+
+def _run_keys(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit key of each run of ``k`` codes."""
+    keys = np.zeros(max(len(codes) - k + 1, 0), np.uint64)
+    for j in range(k):
+        keys = keys * MULTIPLIER + codes[j : j + len(keys)]
+    return keys
+
+
 class Benchmark:
     """Distinct items by place, and the runs of tokens by which documents find them."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int):
-        self.ids, listed = [], []
+    def __init__(self, rows: list[tuple[int, str]], least: int = MIN_TILE):
+        self.ids, self.items = [], []
         for i, t in dict.fromkeys(rows):
             if w := tokens(t):
                 self.ids.append(i)
-                listed.append(w)
-        self.items = dict(enumerate(listed))
-        self.words, self.seeds, self.short = set(), defaultdict(set), defaultdict(set)
-        for i, w in self.items.items():
-            k = min(seed, len(w))
-            (self.seeds if k == seed else self.short)[tuple(w[:k])].add(i)
-            for j in range(1, len(w) - k + 1):
-                self.seeds[tuple(w[j : j + k])].add(i)
-            self.words.update(w)
-        self.lengths = sorted({len(s) for s in self.short} | {seed})
-
-    def near(self, doc: list[str]) -> set[int]:
-        """Items that share a seed with the document (an item of fewer tokens is its own seed)."""
-        found: set[int] = set()
-        known = list(map(self.words.__contains__, doc))
-        for k in self.lengths:
-            table = self.seeds if k == self.lengths[-1] else self.short
-            run = 0
-            for j, hit in enumerate(known, 1):
-                run = run + 1 if hit else 0
-                if run >= k and (items := table.get(tuple(doc[j - k : j]))):
-                    found |= items
-        return found
+                self.items.append(w)
+        self.codes: dict[str, int] = {}
+        self.sizes = np.array([len(w) for w in self.items], np.int64)
+        self.item_of = np.repeat(np.arange(len(self.items)), self.sizes)
+        flat = np.fromiter((self.codes.setdefault(w, len(self.codes) + 1) for item in self.items for w in item), np.uint64, len(self.item_of))
+        #: By length: the keys of runs in order, and where in the items' tokens each begins.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths = np.array([shortest(n, least) for n in self.sizes.tolist()], np.int64)
+        for k in np.unique(lengths).tolist():
+            keys = _run_keys(flat, k)
+            within = (lengths[self.item_of[: len(keys)]] == k) & (self.item_of[: len(keys)] == self.item_of[k - 1 :])
+            at = np.flatnonzero(within)
+            order = np.argsort(keys[at], kind="stable")
+            self.runs[k] = keys[at][order], at[order]
+
+    def near(self, doc: list[str], threshold: float = COVERAGE) -> list[int]:
+        """Items of which runs that the document has, too, cover the share ``threshold``.
+
+        A run has as many tokens as the shortest tile that counts for the item. Tiles lie within
+        these runs, so no item is left out that tiles could cover.
+        """
+        codes = np.fromiter((self.codes.get(w, 0) for w in doc), np.uint64, len(doc))
+        covered = []
+        for k, (keys, at) in self.runs.items():
+            asked = _run_keys(codes, k)
+            known = np.ones(len(asked), bool)
+            for j in range(k):
+                known &= codes[j : j + len(asked)] > 0
+            asked = np.unique(asked[known])
+            first = np.searchsorted(keys, asked)
+            n = np.searchsorted(keys, asked, side="right") - first
+            hits = at[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            covered.append((hits[:, None] + np.arange(k)).ravel())
+        if not covered:
+            return []
+        places, n = np.unique(self.item_of[np.unique(np.concatenate(covered))], return_counts=True)
+        return places[n / self.sizes[places] >= threshold].tolist()
 
 
 def coverage(item: list[str], doc: list[str], least: int = MIN_TILE) -> float:
-    return tile(item, doc, min(least, len(item))) / len(item) if item else 0.0
+    return tile(item, doc, shortest(len(item), least)) / len(item) if item else 0.0
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, seed: int = SEED, least: int = MIN_TILE, worker_bytes: int = WORKER_BYTES, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, least: int = MIN_TILE, worker_bytes: int = WORKER_BYTES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item; whether one does depends on its text alone."""
     bench = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > worker_bytes:
         keyed = docs.select(F.xxhash64(docs[text_col]).alias("k"), docs[text_col].alias("text"))
-        bad = contaminated(keyed, bench, threshold, seed, least, worker_bytes, "k").select("doc_id").distinct()
+        bad = contaminated(keyed, bench, threshold, least, worker_bytes, "k").select("doc_id").distinct()
         return docs.join(bad, F.xxhash64(docs[text_col]) == bad["doc_id"], "left_anti")
     rows = [(r[0], r[1]) for r in bench.collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Benchmark(rows, seed)
+        known = Benchmark(rows, least)
         for batch in slices(batches):
             listed = map(tokens, texts(batch, text_col))
-            good = [not any(coverage(known.items[i], doc, least) >= threshold for i in known.near(doc)) for doc in listed]
+            good = [not any(coverage(known.items[i], doc, least) >= threshold for i in known.near(doc, threshold)) for doc in listed]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _pairs(rows: list[tuple[int, str]], seed: int, least: int, threshold: float, id_kind: pa.DataType):
+def _pairs(rows: list[tuple[int, str]], least: int, threshold: float, id_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(rows, seed)
+        bench = Benchmark(rows, least)
         for batch in slices(batches):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 doc = tokens(text)
-                for i in sorted(bench.near(doc)):
+                for i in bench.near(doc, threshold):
                     share = coverage(bench.items[i], doc, least)
                     if share >= threshold:
                         out.append((doc_id, bench.ids[i], len(bench.items[i]), share))
@@ -165,33 +197,33 @@ def _pairs(rows: list[tuple[int, str]], seed: int, least: int, threshold: float,
     return run
 
 
-def _seeds(df: DataFrame, seed: int, lengths: list[int] | None = None) -> DataFrame:
-    """(key, n, h) for the distinct seeds of texts (key, text), which have n tokens each.
+def _seeds(df: DataFrame, least: int, lengths: list[int] | None = None) -> DataFrame:
+    """(key, n, r, h) for the distinct seeds of texts (key, text): of n tokens, with the seed r times.
 
-    An item of fewer than ``seed`` tokens is one seed; documents are cut into runs of all ``lengths``.
+    An item of at most ``WHOLE`` tokens is one seed; documents are cut into runs of all ``lengths``.
     """
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            keys, sizes, found = [], [], []
+            keys, sizes, times, found = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 w = tokens(text)
-                runs = {" ".join(w[j : j + k]) for k in lengths or {min(seed, len(w))} - {0} for j in range(len(w) - k + 1)}
+                runs = Counter(" ".join(w[j : j + k]) for k in lengths or {shortest(len(w), least)} - {0} for j in range(len(w) - k + 1))
                 keys += [key] * len(runs)
-                sizes += [min(seed, len(w))] * len(runs)
+                sizes += [len(w)] * len(runs)
+                times += runs.values()
                 found += map(xxh64_intdigest, runs)
             h = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), h], names=["key", "n", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(times, pa.int32()), h], names=["key", "n", "r", "h"])
 
-    return df.mapInArrow(run, "key long, n int, h long")
+    return df.mapInArrow(run, "key long, n int, r int, h long")
 
 
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     threshold: float = COVERAGE,
-    seed: int = SEED,
     least: int = MIN_TILE,
     worker_bytes: int = WORKER_BYTES,
     id_col: str = "doc_id",
@@ -199,8 +231,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_tokens, coverage) of pairs whose coverage reaches ``threshold``.
 
-    Every document meets every item with which it shares a seed; there is no cap. Items of fewer than
-    ``seed`` tokens are found by their whole run. Items without a token, null texts and empty tables give no rows;
+    Every document meets every item with which it shares a seed; there is no cap. Items of at most
+    ``WHOLE`` tokens must occur whole. Items without a token, null texts and empty tables give no rows;
     repeated documents give repeated rows. A benchmark of at most ``worker_bytes`` of text goes to
     every worker; a larger one is joined on hashed seeds and each pair's texts are brought together. Both
     ways cut the same tokens and give the same rows; equal benchmark rows count once.
@@ -212,14 +244,19 @@ def contaminated(
     if size <= worker_bytes:
         rows = [(r[0], r[1]) for r in bench.collect()]
         id_kind = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-        return slim.mapInArrow(_pairs(rows, seed, least, threshold, id_kind), f"doc_id {id_type}, item_id long, n_tokens long, coverage double")
+        return slim.mapInArrow(_pairs(rows, least, threshold, id_kind), f"doc_id {id_type}, item_id long, n_tokens long, coverage double")
     # Documents that share a text share its work: pairs are formed between texts.
     keyed = slim.withColumn("k", F.xxhash64("text"))
     bench = bench.distinct().withColumn("b", F.xxhash64("item_id", "text"))
-    asked = checkpointed(_seeds(bench.select(F.col("b").alias("key"), "text"), seed))
-    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # ``seed`` of them at most
-    found = _seeds(keyed.select(F.col("k").alias("key"), "text"), seed, lengths or [seed])
-    shared = found.select(F.col("key").alias("k"), "h").join(asked.select(F.col("key").alias("b"), "h"), "h").select("k", "b").distinct()
+    asked = checkpointed(_seeds(bench.select(F.col("b").alias("key"), "text"), least))
+    width = F.when(F.col("n") <= WHOLE, F.col("n")).otherwise(F.least("n", F.lit(least)))
+    lengths = sorted(r["k"] for r in asked.select(width.alias("k")).distinct().collect())  # ``WHOLE`` and one at most
+    found = _seeds(keyed.select(F.col("k").alias("key"), "text"), least, lengths or [least])
+    # A seed covers as many tokens as it has each time it stands in the item, so pairs with too few can't
+    # reach the threshold. Repeated texts add up to more, which lets more pairs through and loses none.
+    need = F.ceil(F.col("n") * threshold - 1e-6)
+    shared = found.select(F.col("key").alias("k"), "h").join(asked.select(F.col("key").alias("b"), "n", "r", "h"), "h")
+    shared = shared.groupBy("k", "b", "n").agg(F.sum("r").alias("r")).filter(F.col("r") * width >= need).select("k", "b")
     shared = checkpointed(shared)
     texts_of = keyed.select("k", "text", "doc_id").join(shared, "k").join(bench.withColumnRenamed("text", "item"), "b")
 

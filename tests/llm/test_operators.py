@@ -459,6 +459,32 @@ def test_contaminated_short_items_and_marks(spark, worker_bytes):
     assert clean == set(range(len(texts))) - {r[0] for r in want}
 
 
+@pytest.mark.parametrize("worker_bytes", [1 << 20, 0])
+def test_contaminated_equals_tiling_every_pair(spark, worker_bytes):
+    """Passages whose blocks of three to six tokens stand in another order, or with every k-th word replaced."""
+    rng = random.Random(12)
+    names = [f"w{k}" for k in range(60)] + WORDS
+    items = [(i, [rng.choice(names) for _ in range(rng.randint(1, 30))]) for i in range(60)]
+    items += [(60, [f"v{k}" for k in range(20)]), (61, "a a a a b a a a a c".split())]
+    docs = []
+    for i, item in items:
+        for size in (3, 4, 5, 6):
+            blocks = [item[j : j + size] for j in range(0, len(item), size)]
+            rng.shuffle(blocks)
+            docs.append(sum(blocks, []))
+            docs.append([f"x{i}" if j % size == size - 1 else w for j, w in enumerate(item)])
+    docs.append(sum((items[60][1][j : j + 4] for j in (16, 8, 0, 12, 4)), []))
+    docs.append([w if j % 5 < 4 else "other" for j, w in enumerate(items[60][1])])
+    want = sorted((d, i, len(item), share) for d, doc in enumerate(docs) for i, item in items if (share := tiling.coverage(item, doc)) >= 0.8)
+    assert {(len(docs) - 2, 60, 20, 1.0), (len(docs) - 1, 60, 20, 0.8)} <= set(want)
+    doc_rows = spark.createDataFrame([(d, " ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in items], "item_id long, text string")
+    got = sorted(tuple(r) for r in tiling.contaminated(doc_rows, bench, worker_bytes=worker_bytes).collect())
+    assert got == want
+    clean = {r["doc_id"] for r in tiling.clean(doc_rows, bench, worker_bytes=worker_bytes).collect()}
+    assert clean == set(range(len(docs))) - {r[0] for r in want}
+
+
 def test_contaminated_odd_rows(spark):
     bench = spark.createDataFrame([(1, "the river and the stone"), (2, "the river")], "item_id long, text string")
     got = sorted(str(r["doc_id"]) for r in tiling.contaminated(odd_docs(spark), bench).filter("item_id = 1").collect())
