@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import crc_remainder, table
 
 #: Words per n-gram, the weight of shorter histories, and the bytes of text that a block should hold.
-ORDER, WEIGHT, BLOCK_BYTES = 2, 20.0, 16 << 20
+ORDER, WEIGHT, BLOCK_BYTES = 3, 20.0, 16 << 20
 #: Hashes of what is no word: a text's begin and its end.
 START, END = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -36,14 +36,25 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers, compressed with one byte of all of them after the other, so that the zeros lie together."""
+    return pa.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True) if len(values) else b""
+
+
+def _values(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, one byte of all of them after the other, so that the zeros lie together."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_values(raw, n), dtype=np.uint64)
 
 
 class Block:
@@ -173,56 +184,58 @@ def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, bl
         counts = np.concatenate(block.counts(used))
         first = len(block.hashes[0])
         order_, keys, cuts = layout(block)
-        counts, unigram = counts[order_].astype(np.int32), order_ < first
-        listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+        # The lowest bit says whether it is a single word.
+        counts = 2 * counts[order_] + (order_ < first)
         return pa.table(
             {
                 "bucket": pa.array(np.arange(n_buckets, dtype=np.int32)),
                 "block": pa.array(np.full(n_buckets, group.column("block")[0].as_py(), np.int32)),
                 "keys": pa.array([_packed(keys[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                "counts": listed(counts, pa.int32()),
-                "unigrams": listed(unigram.astype(np.int8), pa.int8()),
+                "counts": pa.array([_planes(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                "n": pa.array(np.diff(cuts), pa.int64()),
                 "documents": pa.array(np.full(n_buckets, int(used.sum()), np.int64)),
             }
         )
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts array<int>, unigrams array<tinyint>, documents long")
+    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts binary, n long, documents long")
 
     def answer(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        column = lambda name: pa.concat_arrays(group.column(name).chunks) if group.column(name).num_chunks != 1 else group.column(name).chunk(0)
-        keys = np.concatenate([_unpacked(k) for k in column("keys").to_pylist()])
-        counts, lengths = column("counts").flatten().to_numpy().astype(np.int64), column("counts").value_lengths().to_numpy()
-        unigrams = column("unigrams").flatten().to_numpy().astype(bool)
+        lengths = group.column("n").to_pylist()
+        keys = np.concatenate([_unpacked(k, n) for k, n in zip(group.column("keys").to_pylist(), lengths)])
+        counts = np.concatenate([_values(c, n) for c, n in zip(group.column("counts").to_pylist(), lengths)]).astype(np.int64)
+        unigrams, counts = (counts & 1).astype(bool), counts >> 1
         distinct, inverse = np.unique(keys, return_inverse=True)
+        del keys
         total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
         words = np.zeros(len(distinct), bool)
         words[inverse[unigrams]] = True
         known = words & (total > 0)
-        n = group.num_rows
+        n, cuts = group.num_rows, np.append(0, np.cumsum(lengths))
+        # What the other blocks add to a block's own counts, which is often nothing.
+        others = total[inverse] - counts
         return pa.table(
             {
                 "block": group.column("block"),
                 "bucket": group.column("bucket"),
-                "totals": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(total[inverse], pa.int64())),
+                "others": pa.array([_planes(others[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 "tokens": pa.array(np.full(n, int(total[known].sum()), np.int64)),
                 "distinct": pa.array(np.full(n, int(known.sum()), np.int64)),
-                "documents": pa.array(np.full(n, int(column("documents").to_numpy().sum()), np.int64)),
+                "documents": pa.array(np.full(n, int(group.column("documents").to_numpy().sum()), np.int64)),
                 "blocks": pa.array(np.full(n, n, np.int64)),
             }
         )
 
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, totals array<bigint>, tokens long, distinct long, documents long, blocks long")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, others binary, tokens long, distinct long, documents long, blocks long")
 
     def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        block, _ = made(group)
+        block, used = made(group)
         if replies.num_rows != n_buckets or len(set(replies.column("blocks").to_pylist())) != 1:
             raise RuntimeError("a block lacks answers; the input isn't the same when it is read again")
         replies = replies.sort_by("bucket")
-        order_, _, _ = layout(block)
-        totals = np.empty(len(order_), np.int64)
-        totals[order_] = pa.concat_arrays([c.flatten() for c in replies.column("totals").chunks]).to_numpy()
+        order_, _, bounds = layout(block)
+        totals = np.concatenate(block.counts(used))
+        totals[order_] += np.concatenate([_values(o, n) for o, n in zip(replies.column("others").to_pylist(), np.diff(bounds).tolist())]).astype(np.int64)
         cuts = np.cumsum([len(h) for h in block.hashes])[:-1]
         counts = np.split(totals, cuts)
         tokens = int(replies.column("tokens").to_numpy().sum())

@@ -327,6 +327,15 @@ def test_language_model_equals_brute_force(spark, order):
         assert math.isclose(r["base_score"], w[3], abs_tol=1e-9) and math.isclose(r["score"], w[4], abs_tol=1e-9)
 
 
+def test_language_model_query_has_order_three(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(0, 30))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2, 3, language_model.WEIGHT)
+    for r in language_model.op8_language_model(spark, str(tmp_path)).collect():
+        assert math.isclose(r["score"], want[r["doc_id"]][4], abs_tol=1e-9)
+
+
 def test_language_model_odd_rows(spark):
     rows = language_model.score(odd_docs(spark), F.col("doc_id") == 1).collect()
     assert len(rows) == 9 and {r["train_tokens"] for r in rows} == {12}  # the repeated row counts twice
