@@ -8,7 +8,7 @@ characters, and scores by their mean. A text goes to the language with the best
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_remainder, hash_fraction, slices, table, texts, widened
 
-#: Longest n-gram; documents of each language to learn from, at most about; languages at most (by number of documents).
-MOST, SAMPLE_ROWS, LANGUAGES = 5, 800, 200
+#: Longest n-gram; documents of each language to learn from, at most about.
+MOST, SAMPLE_ROWS = 5, 800
 #: Words and n-grams seen fewer times in the sample are left out.
 LEAST = 2
 #: What a word or n-gram costs in a language that hasn't it, in powers of ten.
 PENALTY = 7.0
-UNKNOWN_KEPT = 20_000
+#: Unknown words that are kept, and values by language in them, at most.
+UNKNOWN_KEPT, UNKNOWN_VALUES = 20_000, 2_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,29 +40,56 @@ class Languages:
 
     def __init__(self, names: list[str], grams: list[str], kinds: np.ndarray, counts: np.ndarray):
         """``kinds``: 0 for words, n for n-grams; ``counts``: one row per gram, one column per language."""
+        row, lang = np.nonzero(counts)
+        self._fill(names, grams, kinds, np.bincount(row, minlength=len(grams)), lang, counts[row, lang])
+
+    @classmethod
+    def sparse(cls, names: list[str], grams: list[str], kinds: np.ndarray, lengths: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Languages:
+        """From the counts above zero alone: ``lengths`` of them for each gram, with their languages."""
+        model = cls.__new__(cls)
+        model._fill(names, grams, kinds, lengths, lang, n)
+        return model
+
+    def _fill(self, names: list[str], grams: list[str], kinds: np.ndarray, lengths: np.ndarray, lang: np.ndarray, n: np.ndarray) -> None:
         self.names = names
-        totals = np.array([counts[kinds == k].sum(axis=0) for k in range(MOST + 1)], float).reshape(MOST + 1, -1)
-        with np.errstate(divide="ignore"):
-            logs = np.log10(counts) - np.log10(np.maximum(totals[kinds], 1))
-        self.logs = np.append(np.where(counts > 0, logs, -PENALTY), np.full((1, len(names)), -PENALTY), axis=0)
+        of = np.repeat(kinds, lengths).astype(np.int64)
+        totals = np.zeros((MOST + 1, len(names)))
+        np.add.at(totals, (of, lang), n)
+        #: Entry k says that the gram whose range of starts holds k has ``above[k]`` more than the penalty in ``lang[k]``.
+        self.starts = np.append(0, np.cumsum(lengths)).astype(np.int64)
+        self.lang = np.asarray(lang, np.int32)
+        self.above = np.log10(n) - np.log10(totals[of, lang]) + PENALTY
         self.tables: list[dict[str, int]] = [{} for _ in range(MOST + 1)]
         for i, (g, k) in enumerate(zip(grams, kinds.tolist())):
             self.tables[k][g] = i
         self.unknown: dict[str, np.ndarray] = {}
 
+    @property
+    def logs(self) -> np.ndarray:
+        """All values as a table of grams and languages, and a last row for what isn't known."""
+        full = np.full((len(self.starts), len(self.names)), -PENALTY)
+        full[np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), self.lang] += self.above
+        return full
+
+    def total(self, ids: np.ndarray) -> np.ndarray:
+        """The sum of some grams' values by language."""
+        first, n = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.lang[at], self.above[at], len(self.names)) - PENALTY * len(ids)
+
     def backoff(self, word: str) -> np.ndarray:
         """Scores of a word that isn't known."""
         found = self.unknown.get(word)
         if found is None:
             padded = f" {word} "
-            found = self.logs[-1]
+            found = np.full(len(self.names), -PENALTY)
             for n in range(min(MOST, len(padded)), 0, -1):
                 grams = self.tables[n]
                 hits = [i for at in range(n == 1, len(padded) - n + 1 - (n == 1)) if (i := grams.get(padded[at : at + n])) is not None]
                 if hits:
-                    found = self.logs[hits].mean(axis=0)
+                    found = self.total(np.array(hits, np.int64)) / len(hits)
                     break
-            if len(self.unknown) >= UNKNOWN_KEPT:
+            if len(self.unknown) * len(self.names) >= UNKNOWN_VALUES or len(self.unknown) >= UNKNOWN_KEPT:
                 self.unknown.clear()
             self.unknown[word] = found
         return found
@@ -76,7 +104,7 @@ class Languages:
             return "und", 0.0
         ids = list(map(self.tables[0].get, found))
         known = np.array([i for i in ids if i is not None], np.int64)
-        total = self.logs[known].sum(axis=0)
+        total = self.total(known)
         if len(known) < len(found):
             rest = Counter(w for w, i in zip(found, ids) if i is None)
             total = total + np.sum([self.backoff(w) * n for w, n in rest.items()], axis=0)
@@ -101,20 +129,20 @@ def _grams(text: str) -> Counter:
 def learn(docs: DataFrame, train: Column | None = None, sample_rows: int = SAMPLE_ROWS, least: int = LEAST) -> Languages:
     """Counts of about ``sample_rows`` documents of each language, chosen by a hash of id and text.
 
-    The sample bounds the model, which goes to the driver and to every worker.
+    Every language is learned. The sample bounds the model, which goes to the driver and to every worker.
     """
     ready = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if train is None else train))
-    sizes = ready.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = ready.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return Languages([], [], np.zeros(0, np.int64), np.zeros((0, 0)))
     share = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in sizes}
-    limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    sample = ready.filter(hash_fraction(F.col("doc_id").cast("long")) < F.coalesce(limit[F.col("lang")], F.lit(0.0)))
+    limits = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
+    sample = ready.join(F.broadcast(limits), "lang").filter(hash_fraction(F.col("doc_id").cast("long")) < F.col("share"))
     place = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {n: Counter() for n in names}
+        seen: dict[str, Counter] = defaultdict(Counter)
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 seen[lang].update(_grams(text))
@@ -130,11 +158,9 @@ def learn(docs: DataFrame, train: Column | None = None, sample_rows: int = SAMPL
     each = counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
     whole = each.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(F.col("all") >= least)
     rows = whole.select("kind", "gram", F.col("by.lang").alias("lang"), F.col("by.n").alias("n")).toArrow().sort_by([("kind", "ascending"), ("gram", "ascending")]).combine_chunks()
-    counts = np.zeros((rows.num_rows, len(names)))
     flat = lambda name: pa.concat_arrays([c.flatten() for c in rows.column(name).chunks]).to_numpy() if rows.num_rows else np.zeros(0, int)
     lengths = np.concatenate([c.value_lengths().to_numpy() for c in rows.column("lang").chunks]) if rows.num_rows else np.zeros(0, int)
-    counts[np.repeat(np.arange(rows.num_rows), lengths), flat("lang")] = flat("n")
-    return Languages(names, rows.column("gram").to_pylist(), rows.column("kind").to_numpy().astype(np.int64), counts)
+    return Languages.sparse(names, rows.column("gram").to_pylist(), rows.column("kind").to_numpy().astype(np.int64), lengths, flat("lang"), flat("n"))
 
 
 def identify(docs: DataFrame, model: Languages) -> DataFrame:

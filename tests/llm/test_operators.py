@@ -138,6 +138,15 @@ def test_language_backoff(spark):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3} and kept.columns == asked.columns
 
 
+def test_language_learns_every_language(spark):
+    """More languages than any fixed number of them, each with words of its own."""
+    rows = [(3 * k + i, " ".join(f"{chr(0x4E00 + k)}{chr(0x6000 + 7 * k + j)}" for j in range(4)), f"l{k:03}") for k in range(230) for i in range(1 + (k < 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert len(model.names) == 230
+    assert all(r["lang"] == r["lang_pred"] for r in language.identify(docs, model).collect())
+
+
 def test_language_word_scores():
     model = language.Languages(["x", "y"], ["ab", "a", "b"], np.array([0, 1, 1]), np.array([[4, 1], [3, 0], [1, 5]]))
     assert np.allclose(model.logs[0], [0.0, 0.0])
