@@ -2,14 +2,16 @@
 
 Counts come from all training documents. Documents are dealt into blocks by a hash; each block sends
 its distinct n-grams, packed by hash bucket, with their training counts; buckets add up the counts of
-equal n-grams over all blocks and answer each block in the order of its question. A block then has the
-counts of exactly the n-grams that its texts use, builds its part of the automaton and scores its texts.
-No vocabulary or model is gathered in one place, and no n-gram is left out.
+equal n-grams over all blocks and answer each block in the order of its question. A block asks only the
+buckets that hold n-grams of its own, so what is exchanged grows with the n-grams, never with blocks
+times buckets. A block then has the counts of exactly the n-grams that its texts use, builds its part
+of the automaton and reads its texts from left to right. No vocabulary or model is gathered in one
+place, and no n-gram is left out.
 
 The model: P(w) = (c(w) + 1) / (N + V + 1) and, for a history h of one more word,
 P(w | h) = (c(h w) + m P(w | h')) / (c(h) + m), where h' is h without its first word. Histories seen in
-training are states. A state has an arc for each word seen after it, and a failure arc of weight
-m / (c(h) + m) to the state of h'. Weights are base-10 logarithms.
+training are states. A state has an arc for each word seen after it, to the longest history that then
+holds, and a failure arc of weight m / (c(h) + m) to the state of h'. Weights are base-10 logarithms.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table
+from .common import crc_remainder, slices, table, texts
 
 #: Words per n-gram, the weight of shorter histories, and the bytes of text that a block should hold.
 ORDER, WEIGHT, BLOCK_BYTES = 3, 20.0, 16 << 20
+#: Tokens whose arcs are looked up at a time, and distinct words that a task holds while it counts.
+TRAVERSED, KEPT = 200_000, 1_000_000
 #: Hashes of what is no word: a text's begin and its end.
 START, END = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +77,7 @@ class Block:
         self.ends = np.cumsum(self.lengths)
         starts = self.ends - self.lengths
         end = len(ids)
-        tokens = np.full(int(self.ends[-1]) if lengths else 0, end, np.int64)
+        tokens = np.full(int(self.ends[-1]) if lengths else 0, end, np.int32)
         at = 0
         for part in listed:
             tokens[at : at + len(part)] = part
@@ -93,10 +97,10 @@ class Block:
                 before[0] = padded
             before[place == 0] = padded
             wide = np.append(self.hashes[n - 1], np.uint64(START + 16 * n))
-            pairs, inverse = np.unique(before * np.int64(end + 1) + tokens, return_inverse=True)
+            pairs, inverse = np.unique(before.astype(np.int64) * (end + 1) + tokens, return_inverse=True)
             left, right = pairs // (end + 1), pairs % (end + 1)
             self.hashes.append(_mixed(wide[left], self.hashes[0][right]))
-            self.grams.append(inverse)
+            self.grams.append(inverse.astype(np.int32))
             self.histories.append(before)
 
     def counts(self, used: np.ndarray) -> list[np.ndarray]:
@@ -110,148 +114,191 @@ class Block:
 
 
 class Automaton:
-    """The states and arcs that a block's texts use.
+    """The states, arcs and failure arcs that a block's texts use.
 
-    ``arc[n]`` has the weight of each (n + 1)-gram seen in training, from the state of its first n
-    words; ``fail[n]`` the weight of leaving the state of an n-gram for the next shorter history.
+    State 0 is the empty history; the others are the histories that training saw, and the padding at a
+    text's begin. Arc i leads from its state with its word to state ``target[i]`` and weighs
+    ``weight[i]``; ``keys[n]`` has each (n + 1)-gram's arc as state * words + word, -1 if training lacks it.
     """
 
     def __init__(self, counts: list[np.ndarray], block: Block, total: int, distinct: int, documents: int, weight: float):
-        self.block = block
-        self.seen = [c > 0 for c in counts]
-        uni = (counts[0] + 1.0) / (total + distinct + 1.0)
-        below, arcs, fails = uni, [np.log10(uni)], []
+        order, self.block, self.words = len(counts), block, len(block.hashes[0])
+        #: By length: each history's state, with the padding last; one that training lacks has that of its next shorter one.
+        states, size = [], 1
+        fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
+        inner, first = self._parts(counts)
+        for n in range(order - 1):
+            history = np.append(counts[n], documents)
+            seen = history > 0
+            shorter = np.zeros(len(history), np.int64) if n == 0 else np.append(states[n - 1][inner[n]], states[n - 1][-1])
+            states.append(np.where(seen, size + np.cumsum(seen) - 1, shorter))
+            fails.append(shorter[seen])
+            fail_weights.append(np.log10(weight / (history[seen] + weight)))
+            size += int(seen.sum())
+        self.start = int(states[-1][-1]) if states else 0
+        self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(fail_weights)
+        self.keys, self.first_arc, targets, weights, at = [], [], [], [], 0
+        below = (counts[0] + 1.0) / (total + distinct + 1.0)
+        for n in range(order):
+            if n:
+                history = np.append(counts[n - 1], documents)[first[n]]
+                below = (counts[n] + weight * below[inner[n]]) / (history + weight)
+            source = states[n - 1][first[n]] if n else np.zeros(len(counts[0]), np.int64)
+            word = self.last[n]
+            self.keys.append(np.where((counts[n] > 0) | (n == 0), source * self.words + word, -1))
+            self.first_arc.append(at)
+            targets.append(states[n][: len(counts[n])] if n < order - 1 else states[n - 1][inner[n]] if n else np.zeros(len(counts[0]), np.int64))
+            weights.append(np.log10(below))
+            at += len(counts[n])
+        self.target, self.weight = np.concatenate(targets), np.concatenate(weights)
+
+    def _parts(self, counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By length: each n-gram without its first word and without its last one; ``last`` is its last word."""
+        g, inner, first, self.last = self.block.grams, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.arange(len(counts[0]))]
         for n in range(1, len(counts)):
-            # An n-gram's count as a history; the padded one, at a text's begin, counts documents.
-            history = np.append(counts[n - 1], documents).astype(float)
-            first = np.zeros(len(counts[n]), np.int64)
-            first[block.grams[n]] = block.histories[n - 1]
-            inner = np.zeros(len(counts[n]), np.int64)
-            inner[block.grams[n]] = block.grams[n - 1]
-            below = (counts[n] + weight * below[inner]) / (history[first] + weight)
-            arcs.append(np.log10(below))
-            fails.append(np.log10(weight / (history + weight)))
-        self.arcs, self.fails = arcs, fails
-
-    def weights(self) -> np.ndarray:
-        """The log10 probability of each token, read from left to right.
-
-        The state before a token is its longest history that training saw. From there the token's arc
-        is taken where there is one; else failure arcs are followed, each adding its weight, until a
-        state has one. The empty history has an arc for every word, unknown ones included.
+            for listed, of in ((inner, g[n - 1]), (first, self.block.histories[n - 1]), (self.last, g[0])):
+                listed.append(np.zeros(len(counts[n]), np.int64))
+                listed[-1][g[n]] = of
+        return inner, first
+
+    def scores(self, tokens: int = TRAVERSED) -> np.ndarray:
+        """The log10 probability of each text, read from left to right with the state carried on.
+
+        From the state, the word's arc is taken where there is one; else failure arcs are followed, each
+        adding its weight, until a state has one. The empty history has an arc for every word, unknown
+        ones included. Arcs are looked up for about ``tokens`` tokens of whole texts at a time.
         """
-        g = self.block.grams
-        weight = np.zeros(len(g[0]))
-        open_ = np.ones(len(g[0]), bool)  # tokens that have not found their arc
-        for n in range(len(g) - 1, 0, -1):
-            taken = open_ & self.seen[n][g[n]]
-            weight[taken] += self.arcs[n][g[n][taken]]
-            open_ &= ~taken
-            weight[open_] += self.fails[n - 1][self.block.histories[n - 1][open_]]
-        weight[open_] += self.arcs[0][g[0][open_]]
-        return weight
+        block, words, out = self.block, self.words, np.zeros(len(self.block.lengths))
+        target, weight, fail, fail_weight = map(memoryview, (self.target, self.weight, self.fail, self.fail_weight))
+        at = 0
+        while at < len(out):
+            begin = int(block.ends[at] - block.lengths[at])
+            stop = max(at + 1, int(np.searchsorted(block.ends, begin + tokens, "right")))
+            used = [np.unique(g[begin : block.ends[stop - 1]]) for g in block.grams]
+            keys = np.concatenate([k[u] for k, u in zip(self.keys, used)])
+            arcs = np.concatenate([u + a for u, a in zip(used, self.first_arc)])
+            arc_of = dict(zip(keys.tolist(), arcs.tolist())).get
+            for i in range(at, stop):
+                state, total = self.start, 0.0
+                for word in block.grams[0][block.ends[i] - block.lengths[i] : block.ends[i]].tolist():
+                    arc = arc_of(state * words + word)
+                    while arc is None:
+                        total += fail_weight[state]
+                        state = fail[state]
+                        arc = arc_of(state * words + word)
+                    total += weight[arc]
+                    state = target[arc]
+                out[i] = total
+            at = stop
+        return out
+
+
+def training_totals(slim: DataFrame) -> tuple[int, int, int]:
+    """Tokens, distinct tokens and documents of (text, train): words are told apart by a 64-bit hash."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        def row(hashes, n, documents):
+            h = pa.array(np.array([*hashes], np.uint64).view(np.int64))
+            pad = [0] * (len(h) - 1)
+            return pa.RecordBatch.from_arrays([h, pa.array([n, *pad], pa.int64()), pa.array([documents, *pad], pa.int64())], names=["h", "n", "documents"])
+
+        seen, n, documents = set(), 0, 0
+        for batch in slices(batches):
+            for text in texts(batch):
+                words = text.encode().lower().split()
+                n, documents = n + len(words) + 1, documents + 1
+                seen.update(words)
+            if len(seen) > KEPT:
+                yield row([END, *(xxh64_intdigest(w, 7) for w in seen)], n, documents)
+                seen, n, documents = set(), 0, 0
+        if documents:
+            yield row([END, *(xxh64_intdigest(w, 7) for w in seen)], n, documents)
+
+    each = slim.filter("train").select("text").mapInArrow(run, "h long, n long, documents long")
+    each = each.groupBy("h").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    found = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("documents"), F.lit(0))).first()
+    return tuple(found)
 
 
 def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     ``train`` is a boolean column: the rows to learn from. Null and empty texts are one end token.
-    Without training rows every token is unknown. Repeated rows count as often as they stand.
+    Without training rows every token is unknown. Repeated rows count as often as they stand. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tokens, distinct, documents = training_totals(slim)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(parts, -(-size // block_bytes))
-    n_buckets = n_blocks
+    n_blocks = n_buckets = max(parts, -(-size // block_bytes))
     # By id and text, so that a block is the same set of rows whenever it is read.
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def made(group: pa.Table) -> tuple[Block, np.ndarray]:
         return Block(group.column("text").to_pylist(), order), group.column("train").to_numpy(zero_copy_only=False)
 
-    def layout(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n-grams in the order of their hashes (ranges of which are the buckets), the hashes, and where each bucket begins."""
+    def layout(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """n-grams in the order of their hashes (ranges of which are the buckets), the hashes, the buckets that hold any, and where each begins."""
         keys = block.keys(order)
-        order_ = np.argsort(keys)
-        keys = keys[order_]
-        bucket = (keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-        return order_, keys, np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
+        place = np.argsort(keys)
+        keys = keys[place]
+        held, begins = np.unique((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32), return_index=True)
+        return place, keys, held.astype(np.int32), np.append(begins, len(keys))
 
     def ask(group: pa.Table) -> pa.Table:
         block, used = made(group)
-        counts = np.concatenate(block.counts(used))
-        first = len(block.hashes[0])
-        order_, keys, cuts = layout(block)
-        # The lowest bit says whether it is a single word.
-        counts = 2 * counts[order_] + (order_ < first)
+        place, keys, held, cuts = layout(block)
+        counts = np.concatenate(block.counts(used))[place]
         return pa.table(
             {
-                "bucket": pa.array(np.arange(n_buckets, dtype=np.int32)),
-                "block": pa.array(np.full(n_buckets, group.column("block")[0].as_py(), np.int32)),
+                "bucket": pa.array(held),
+                "block": pa.array(np.full(len(held), group.column("block")[0].as_py(), np.int32)),
                 "keys": pa.array([_packed(keys[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 "counts": pa.array([_planes(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 "n": pa.array(np.diff(cuts), pa.int64()),
-                "documents": pa.array(np.full(n_buckets, int(used.sum()), np.int64)),
             }
         )
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts binary, n long, documents long")
+    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts binary, n long")
 
     def answer(group: pa.Table) -> pa.Table:
         lengths = group.column("n").to_pylist()
         keys = np.concatenate([_unpacked(k, n) for k, n in zip(group.column("keys").to_pylist(), lengths)])
         counts = np.concatenate([_values(c, n) for c, n in zip(group.column("counts").to_pylist(), lengths)]).astype(np.int64)
-        unigrams, counts = (counts & 1).astype(bool), counts >> 1
-        distinct, inverse = np.unique(keys, return_inverse=True)
+        distinct_keys, inverse = np.unique(keys, return_inverse=True)
         del keys
-        total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-        words = np.zeros(len(distinct), bool)
-        words[inverse[unigrams]] = True
-        known = words & (total > 0)
-        n, cuts = group.num_rows, np.append(0, np.cumsum(lengths))
+        total = np.bincount(inverse, counts, len(distinct_keys)).astype(np.int64)
         # What the other blocks add to a block's own counts, which is often nothing.
-        others = total[inverse] - counts
-        return pa.table(
-            {
-                "block": group.column("block"),
-                "bucket": group.column("bucket"),
-                "others": pa.array([_planes(others[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                "tokens": pa.array(np.full(n, int(total[known].sum()), np.int64)),
-                "distinct": pa.array(np.full(n, int(known.sum()), np.int64)),
-                "documents": pa.array(np.full(n, int(group.column("documents").to_numpy().sum()), np.int64)),
-                "blocks": pa.array(np.full(n, n, np.int64)),
-            }
-        )
+        others, cuts = total[inverse] - counts, np.append(0, np.cumsum(lengths))
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "others": pa.array([_planes(others[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, others binary, tokens long, distinct long, documents long, blocks long")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, others binary")
 
     def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         block, used = made(group)
-        if replies.num_rows != n_buckets or len(set(replies.column("blocks").to_pylist())) != 1:
-            raise RuntimeError("a block lacks answers; the input isn't the same when it is read again")
         replies = replies.sort_by("bucket")
-        order_, _, bounds = layout(block)
+        place, _, held, cuts = layout(block)
+        if not np.array_equal(held, replies.column("bucket").to_numpy()):
+            raise RuntimeError("a block lacks answers; the input isn't the same when it is read again")
         totals = np.concatenate(block.counts(used))
-        totals[order_] += np.concatenate([_values(o, n) for o, n in zip(replies.column("others").to_pylist(), np.diff(bounds).tolist())]).astype(np.int64)
-        cuts = np.cumsum([len(h) for h in block.hashes])[:-1]
-        counts = np.split(totals, cuts)
-        tokens = int(replies.column("tokens").to_numpy().sum())
-        distinct = int(replies.column("distinct").to_numpy().sum())
-        automaton = Automaton(counts, block, tokens, distinct, replies.column("documents")[0].as_py(), weight)
+        totals[place] += np.concatenate([_values(o, n) for o, n in zip(replies.column("others").to_pylist(), np.diff(cuts).tolist())]).astype(np.int64)
+        counts = np.split(totals, np.cumsum([len(h) for h in block.hashes])[:-1])
+        automaton = Automaton(counts, block, tokens, distinct, documents, weight)
         starts = block.ends - block.lengths
         add = lambda values: np.add.reduceat(values, starts) if len(starts) else values[:0]
-        known = automaton.seen[0][block.grams[0]]
         columns = [
             group.column("doc_id"),
             group.column("train"),
             pa.array(block.lengths),
-            pa.array(add(known.astype(np.int64))),
+            pa.array(add((counts[0] > 0)[block.grams[0]].astype(np.int64))),
             pa.array(np.full(len(starts), tokens, np.int64)),
-            pa.array(add(automaton.arcs[0][block.grams[0]])),
-            pa.array(add(automaton.weights())),
+            pa.array(add(automaton.weight[: len(counts[0])][block.grams[0]])),
+            pa.array(automaton.scores()),
         ]
         return pa.table(dict(zip(names, columns)))
 
