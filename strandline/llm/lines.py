@@ -20,22 +20,26 @@ def _line_key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(docs[id_col].cast("string"), docs[text_col])
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """128 bits of a row's id and text, so that no row meets another one's removals."""
+    parts = [docs[id_col].cast("string"), docs[text_col]]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("row"), *parts)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """One row per non-blank line: row key, id, site, position and line key."""
+    k1, k2 = _row_key(docs, id_col, text_col)
     return (
         docs.select(
-            _row_key(docs, id_col, text_col).alias("k"),
+            k1.alias("k1"),
+            k2.alias("k2"),
             docs[id_col].alias("id"),
             # With a letter in front, as a sketch would pass over an empty name.
             F.coalesce(F.concat(F.lit("s"), docs[site_col].cast("string")), F.lit("-")).alias("site"),
             F.posexplode(F.split(docs[text_col], "\n")).alias("pos", "line"),
         )
         .filter(F.trim("line") != "")
-        .select("k", "id", "site", "pos", *_line_key(F.col("line")))
+        .select("k1", "k2", "id", "site", "pos", *_line_key(F.col("line")))
     )
 
 
@@ -58,7 +62,7 @@ def boilerplate(
     lines = _lines(docs, id_col, text_col, site_col)
     key = ["h1", "h2"]
     often = lines.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select(*key)
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(salts)).cast("int"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(salts)).cast("int"))
     seen = checkpointed(salted.join(_spread_out(often, salts), [*key, "salt"], "left_semi"))
     spread = seen.groupBy(*key).agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"),
@@ -66,7 +70,7 @@ def boilerplate(
     )
     near = F.abs(F.col("estimate") - min_sites) <= band * min_sites
     exact = (
-        seen.join(spread.filter(near).select(*key), key, "left_semi")
+        seen.join(_spread_out(spread.filter(near).select(*key), salts), [*key, "salt"], "left_semi")
         .select(*key, "site")
         .distinct()
         .groupBy(*key)
@@ -90,34 +94,39 @@ def drop_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
     salts: int = 16,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, plus ``n_lines`` and ``n_removed``.
+    """``docs`` with boilerplate lines taken out of the text, plus the ``counts`` of lines and of removed ones.
 
-    A null text stays null with zero lines. A null site counts as one site of its own. Blank lines are
-    never boilerplate. Repeated rows (same id and text) count once for each row and lose the same
-    lines. An empty table gives an empty result. Columns called ``n_lines`` or ``n_removed`` before
-    are replaced; all others stay.
+    A null text stays null with zero lines. A null site counts as one site of its own. Lines that are
+    empty or of spaces alone are never boilerplate. Repeated rows (same id and text) count once for each
+    row and lose the same lines. An empty table gives an empty result. Columns that have the names in
+    ``counts`` are replaced; all others stay.
     """
+    n_lines, n_removed = counts
     seen, wide = boilerplate(docs, min_sites, band, lg_k, id_col, text_col, site_col, salts)
     gone = (
         seen.join(_spread_out(wide.select("h1", "h2", "first"), salts), ["h1", "h2", "salt"])
         .filter(~F.col("first").eqNullSafe(F.struct("id", "pos")))
-        .groupBy("k")
+        .groupBy("k1", "k2")
         .agg(F.collect_set("pos").alias("gone"))
     )
-    k, taken = unused("_row", docs.columns), unused("_gone", docs.columns)
-    kept = docs.drop("n_lines", "n_removed").withColumn(k, _row_key(docs, id_col, text_col))
-    kept = kept.join(gone.select(F.col("k").alias(k), F.col("gone").alias(taken)), k, "left")
+    k1, k2, taken = (unused(n, docs.columns) for n in ("_row1", "_row2", "_gone"))
+    keys = dict(zip((k1, k2), _row_key(docs, id_col, text_col)))
+    kept = docs.withColumns(keys).drop(n_lines, n_removed)
+    kept = kept.join(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(taken)), [k1, k2], "left")
     lines = F.split(F.col(text_col), "\n")
-    rest = F.filter(lines, lambda _, i: ~F.array_contains(F.col(taken), i))
+    # Positions that stay, in order; the exception looks them up by hash, however many lines there are.
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(taken))
+    rest = F.transform(rest, lambda i: F.get(lines, i))
     return kept.select(
         *[
             F.when(F.col(taken).isNull(), F.col(c)).otherwise(F.array_join(rest, "\n")).alias(c) if c == text_col else F.col(c)
             for c in docs.columns
-            if c not in ("n_lines", "n_removed")
+            if c not in counts
         ],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col(taken).isNull(), 0).otherwise(F.size(taken)).cast("long").alias("n_removed"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines),
+        F.when(F.col(taken).isNull(), 0).otherwise(F.size(taken)).cast("long").alias(n_removed),
     )
 
 
