@@ -6,11 +6,17 @@ fields are equal, so none is missed). Inside a group, the Hamming distances of e
 reference fingerprints are computed once; a pair whose distances to any reference differ by more than
 the limit is discarded, as the triangle inequality allows, and the others are verified. Components of
 the links come from repeated joins, with a checkpoint after each.
+
+Bit fields come before pivots because distances to references can't deal pairs out: two unrelated
+fingerprints pass one reference with a probability of 0.46, and a window of distances that misses no
+pair has to be read with its neighbours, so each further reference as a key makes more rows than it
+separates. All references together leave about one unrelated pair in 10^8, which is what they are used for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, texts
+from .common import checkpointed, slices, table, texts, unused
 
 SEED, WORDS, LIMIT, PIVOTS = 42, 3, 3, 24
 #: First bit and width of the five fields.
@@ -49,16 +55,16 @@ def fingerprint(text: str | None) -> int:
     return int(sum(1 << int(i) for i in set_bits))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the long columns ``keep``): one row per row of ``docs``; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fp = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *keep)
+    return slim.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in keep)]))
 
 
 def _pivots() -> np.ndarray:
@@ -113,60 +119,75 @@ class Forest:
         return i != j
 
 
-def _field(fp, at: int, width: int):
-    return F.shiftrightunsigned(fp, at).bitwiseAND((1 << width) - 1)
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _linked(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links between ``nodes`` (id, fp) that join all that are within ``limit`` bits.
+def _masks() -> list[int]:
+    """Bits that two of the five fields fix."""
+    bits = [((1 << w) - 1) << a for a, w in FIELDS]
+    return [x | y for x, y in combinations(bits, 2)]
 
-    Each group gives a spanning forest of its links, not all of them. A group of over ``group_rows``
-    rows is dealt out by further bits first: with one of four parts of the remaining bits in the key,
-    every pair still meets, as three differences leave one of four parts alone.
-    """
-    keys = [
-        F.struct(F.lit(n).alias("n"), _field(F.col("fp"), *FIELDS[x]).alias("x"), _field(F.col("fp"), *FIELDS[y]).alias("y"))
-        for n, (x, y) in enumerate(combinations(range(5), 2))
-    ]
-    dealt = nodes.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = dealt.groupBy("key").count()
-    # The other three fields' bits in four parts, for groups that are too large.
-    parts = []
-    for n, (x, y) in enumerate(combinations(range(5), 2)):
-        rest = [i for f in range(5) if f not in (x, y) for i in range(FIELDS[f][0], sum(FIELDS[f]))]
-        quarter = -(-len(rest) // 4)
-        masks = [sum(1 << i for i in rest[q * quarter : (q + 1) * quarter]) for q in range(4)]
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        parts.append(F.array(*[F.struct(F.lit(q).alias("q"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for q, m in enumerate(signed)]))
-    whole = F.struct(F.lit(-1).alias("q"), F.lit(0).cast("long").alias("v"))
-    large = sizes.filter(F.col("count") > group_rows).select("key", F.lit(True).alias("large"))
-    which = F.element_at(F.array(*parts), F.col("key.n") + 1)
-    dealt = dealt.join(large, "key", "left").withColumn("part", F.explode(F.when(F.col("large"), which).otherwise(F.array(whole))))
-    pivots = _pivots()
 
-    def run(group: pa.Table) -> pa.Table:
-        if group.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        ids, fps = group.column(0).to_numpy(), group.column(1).to_numpy().view(np.uint64)
-        forest, out = Forest(len(ids)), []
-        for i, j in links(fps, pivots, limit):
-            out += [(x, y) for x, y in zip(i.tolist(), j.tolist()) if forest.join(x, y)]
-        return pa.table({"a": pa.array(ids[[x for x, _ in out]] if out else [], pa.int64()), "b": pa.array(ids[[y for _, y in out]] if out else [], pa.int64())})
+def _quarters(mask: int) -> list[int]:
+    """``mask`` with each of four parts of the bits that it leaves open: one part is equal in any pair of three differences."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(rest) * k // 4 for k in range(5)]
+    return [mask | sum(1 << i for i in rest[a:b]) for a, b in zip(cuts, cuts[1:])]
 
+
+def _in_groups(dealt: DataFrame, limit: int) -> DataFrame:
+    """(a, b): a spanning forest of the links in each group of (mask, value, fp), by pivots."""
     # Many groups have one row; they are dropped before any leaves the JVM.
-    counted = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("id", "fp")).alias("rows")).filter(F.size("rows") > 1)
+    grouped = dealt.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    pivots = _pivots()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16 << 20):
-            rows = batch.column(0)
-            flat = rows.flatten()
-            ids, fps = flat.field(0), flat.field(1)
-            ends = np.cumsum([len(x) for x in rows])
-            found = [run(pa.table({"id": ids.slice(a, b - a), "fp": fps.slice(a, b - a)})) for a, b in zip([0, *ends[:-1]], ends)]
-            if found:
-                yield from pa.concat_tables(found).combine_chunks().to_batches()
+            left, right = [], []
+            for fps in batch.column(0):
+                fps = fps.values.to_numpy().view(np.uint64)
+                forest = Forest(len(fps))
+                for i, j in links(fps, pivots, limit):
+                    for x, y in zip(i.tolist(), j.tolist()):
+                        if forest.join(x, y):
+                            left.append(fps[x])
+                            right.append(fps[y])
+            both = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (left, right)]
+            yield pa.RecordBatch.from_arrays(both, names=["a", "b"])
 
-    return counted.select("rows").mapInArrow(each, "a long, b long").distinct()
+    return grouped.select("fps").mapInArrow(run, "a long, b long")
+
+
+def _linked(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS, salts: int = 16) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) that join all that are within ``limit`` bits, at most three.
+
+    Each group gives a spanning forest of its links, not all of them. A group of over ``group_rows``
+    rows is dealt out again by one of four parts of the bits that its fields leave open, and what is
+    still too large again, so no task gathers more (nor more than 8, if that is larger); every pair still
+    meets, as three differences leave one of four parts alone.
+    """
+    if limit > LIMIT:
+        raise ValueError(f"the fields find pairs of up to {LIMIT} differences")
+    masks = _masks()
+    rows, found = nodes.select("fp"), []
+    key = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value"))
+    dealt = rows.select("fp", F.explode(F.array(*map(key, masks))).alias("key")).select("fp", "key.*")
+    while True:
+        large = checkpointed(dealt.groupBy("mask", "value").count().filter((F.col("count") > group_rows) & (F.bit_count("mask") <= 60)).select("mask", "value"))
+        listed = sorted(r["mask"] for r in large.select("mask").distinct().collect())  # ten at first, four times as many by level
+        if not listed:
+            found.append(_in_groups(dealt, limit))
+            break
+        # Rows of a large group are many: they meet its key in several tasks.
+        salted = dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+        keys = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on = ["mask", "value", "salt"]
+        found.append(_in_groups(salted.join(keys, on, "left_anti"), limit))
+        finer = dealt.sparkSession.createDataFrame([(m, [_signed(q) for q in _quarters(m % (1 << 64))]) for m in listed], "mask long, finer array<long>")
+        again = salted.join(keys, on, "left_semi").join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask"))
+        dealt = checkpointed(again.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct())
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -196,39 +217,57 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _clusters(prints: DataFrame, limit: int, group_rows: int) -> DataFrame:
+    """(fp, c, component_id) of fingerprints that have company: c names the component, component_id is its smallest id."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    linked = components(_linked(nodes, limit, group_rows))
+    named = nodes.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    smallest = named.filter(F.col("component").isNotNull() | (F.col("n") > 1)).select("fp", "c", "id")
+    return smallest.join(smallest.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("fp", "c", "component_id")
+
+
+def _spread(prints: DataFrame, clusters: DataFrame, salts: int) -> DataFrame:
+    """``prints`` with the columns of ``clusters``; a hot fingerprint's rows are dealt over ``salts`` tasks."""
+    salted = clusters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    return rows.join(salted, ["fp", "salt"], "left").drop("salt")
+
+
 def near_duplicates(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", salts: int = 8, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     Equal fingerprints are one node, so copies cost nothing beyond their own row. Null and empty texts
     have fingerprint zero and link with each other and with any text within ``limit`` bits of it.
     Repeated rows give repeated rows. A component made of null ids alone has a null component_id. An
-    empty table gives an empty result.
+    empty table gives an empty result. Ids are whole numbers.
     """
     # Ids and fingerprints are read three times below; texts only once.
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    # A node needs an id of its own: fingerprints whose smallest ids are equal or null are rare, so the fingerprint itself names the node.
-    linked = components(_linked(nodes.select(F.col("fp").alias("id"), "fp"), limit, group_rows))
-    named = nodes.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    smallest = named.filter(F.col("component").isNotNull() | (F.col("n") > 1)).select("fp", "c", "id")
-    smallest = smallest.join(smallest.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("fp", "component_id")
-    # A hot fingerprint's rows are dealt over ``salts`` tasks.
-    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return rows.join(salted, ["fp", "salt"], "left").select(
+    return _spread(prints, _clusters(prints, limit, group_rows), salts).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def one_of_each(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+def one_of_each(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", salts: int = 8, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; rows without an id stay as they are.
 
-    Rows that repeat an id count as one document. Rows without an id stay as they are.
+    Rows that share an id but not a component all stay. Of a component's rows that share the smallest
+    id, the one with the smallest hash of its text stays, and of rows that share the text, too, the one
+    with the smallest hash of all columns.
     """
-    found = near_duplicates(docs, limit, id_col, text_col)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    t = F.coalesce(docs[text_col], F.lit(""))
+    named = docs.filter(docs[id_col].isNotNull())
+    own = [F.xxhash64(docs[id_col], t), F.xxhash64(F.lit("row"), docs[id_col], t)]
+    prints = docs.select(docs[id_col].cast("long").alias("doc_id"), t.alias("text"), *[h.alias(n) for h, n in zip(own, ("r1", "r2"))])
+    prints = checkpointed(fingerprints(prints, keep=("r1", "r2")))
+    grouped = _spread(prints, _clusters(prints, limit, group_rows).select("fp", "c"), salts).filter(F.col("doc_id").isNotNull())
+    first = grouped.groupBy(F.coalesce("c", "fp").alias("c")).agg(F.min(F.struct("doc_id", "r1", "r2")).alias("first"))
+    r1, r2 = unused("_r1", docs.columns), unused("_r2", docs.columns)
+    stay = first.select(F.col("first.r1").alias(r1), F.col("first.r2").alias(r2))
+    kept = named.withColumns(dict(zip((r1, r2), own))).join(stay, [r1, r2], "left_semi")
+    plain = [c for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]
+    kept = kept.groupBy(r1, r2).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(unused("_row", docs.columns)))
+    return kept.select(f"{kept.columns[-1]}.*").unionByName(docs.filter(docs[id_col].isNull()))
 
 
 def op9_simhash(spark, sf_dir):
