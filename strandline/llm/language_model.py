@@ -16,17 +16,22 @@ holds, and a failure arc of weight m / (c(h) + m) to the state of h'. Weights ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, slices, table, texts
 
 #: Words per n-gram, the weight of shorter histories, and the bytes of text that a block should hold.
-ORDER, WEIGHT, BLOCK_BYTES = 3, 20.0, 16 << 20
+ORDER, WEIGHT, BLOCK_BYTES = 3, 20.0, 8 << 20
 #: Tokens whose arcs are looked up at a time, and distinct words that a task holds while it counts.
-TRAVERSED, KEPT = 200_000, 1_000_000
+TRAVERSED, KEPT = 100_000, 1_000_000
+#: Bits of a hash by which n-grams are told apart.
+KEY_BITS = 60
 #: Hashes of what is no word: a text's begin and its end.
 START, END = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +45,10 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _cut(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Integers, compressed with one byte of all of them after the other, so that the zeros lie together."""
     return pa.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True) if len(values) else b""
@@ -109,99 +118,99 @@ class Block:
         return [np.bincount(g[chosen], minlength=len(h)) for g, h in zip(self.grams, self.hashes)]
 
     def keys(self, order: int = ORDER) -> np.ndarray:
-        """The hash of every n-gram, those of different lengths apart."""
-        return np.concatenate([_mixed(h, np.full(len(h), n, np.uint64)) for n, h in enumerate(self.hashes)])
+        """The key of every n-gram, those of different lengths apart."""
+        return np.concatenate([_cut(_mixed(h, np.full(len(h), n, np.uint64))) for n, h in enumerate(self.hashes)])
 
 
 class Automaton:
     """The states, arcs and failure arcs that a block's texts use.
 
     State 0 is the empty history; the others are the histories that training saw, and the padding at a
-    text's begin. Arc i leads from its state with its word to state ``target[i]`` and weighs
-    ``weight[i]``; ``keys[n]`` has each (n + 1)-gram's arc as state * words + word, -1 if training lacks it.
+    text's begin. State s stands for ``depth[s]`` words and fails to ``fail[s]`` at ``fail_weight[s]``.
+    Arc a leads to state ``target[a]`` and weighs ``weight[a]``. ``arcs[n]`` gives the arc of each
+    (n + 1)-gram, from the state of its first n words, or -1 if training lacks it.
     """
 
     def __init__(self, counts: list[np.ndarray], block: Block, total: int, distinct: int, documents: int, weight: float):
-        order, self.block, self.words = len(counts), block, len(block.hashes[0])
+        order, self.block = len(counts), block
         #: By length: each history's state, with the padding last; one that training lacks has that of its next shorter one.
         states, size = [], 1
-        fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
-        inner, first = self._parts(counts)
-        for n in range(order - 1):
-            history = np.append(counts[n], documents)
-            seen = history > 0
-            shorter = np.zeros(len(history), np.int64) if n == 0 else np.append(states[n - 1][inner[n]], states[n - 1][-1])
-            states.append(np.where(seen, size + np.cumsum(seen) - 1, shorter))
-            fails.append(shorter[seen])
-            fail_weights.append(np.log10(weight / (history[seen] + weight)))
-            size += int(seen.sum())
-        self.start = int(states[-1][-1]) if states else 0
-        self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(fail_weights)
-        self.keys, self.first_arc, targets, weights, at = [], [], [], [], 0
+        fails, fail_weights, depth = [np.zeros(1, np.int32)], [np.zeros(1)], [b"\0"]
+        self.arcs, targets, weights, at = [], [], [], 0
         below = (counts[0] + 1.0) / (total + distinct + 1.0)
         for n in range(order):
+            inner = None
             if n:
-                history = np.append(counts[n - 1], documents)[first[n]]
-                below = (counts[n] + weight * below[inner[n]]) / (history + weight)
-            source = states[n - 1][first[n]] if n else np.zeros(len(counts[0]), np.int64)
-            word = self.last[n]
-            self.keys.append(np.where((counts[n] > 0) | (n == 0), source * self.words + word, -1))
-            self.first_arc.append(at)
-            targets.append(states[n][: len(counts[n])] if n < order - 1 else states[n - 1][inner[n]] if n else np.zeros(len(counts[0]), np.int64))
+                # Each n-gram without its first word, and without its last one.
+                inner, first = np.zeros(len(counts[n]), np.int32), np.zeros(len(counts[n]), np.int32)
+                inner[block.grams[n]] = block.grams[n - 1]
+                first[block.grams[n]] = block.histories[n - 1]
+                below = (counts[n] + weight * below[inner]) / (np.append(counts[n - 1], documents)[first] + weight)
+                del first
             weights.append(np.log10(below))
+            shorter = np.append(states[n - 1][inner], states[n - 1][-1]) if n else np.zeros(len(counts[0]) + 1, np.int32)
+            if n < order - 1:
+                history = np.append(counts[n], documents)
+                seen = history > 0
+                states.append(np.where(seen, size + np.cumsum(seen) - 1, shorter).astype(np.int32))
+                fails.append(shorter[seen])
+                fail_weights.append(np.log10(weight / (history[seen] + weight)))
+                depth.append(bytes([n + 1]) * int(seen.sum()))
+                size += int(seen.sum())
+                targets.append(states[n][:-1])
+            else:
+                targets.append(shorter[:-1])
+            numbers = np.arange(at, at + len(counts[n]), dtype=np.int32)
+            self.arcs.append(np.where(counts[n] > 0, numbers, -1) if n else numbers)
             at += len(counts[n])
+        self.start = int(states[-1][-1]) if states else 0
+        self.depth, self.fail, self.fail_weight = b"".join(depth), np.concatenate(fails), np.concatenate(fail_weights)
         self.target, self.weight = np.concatenate(targets), np.concatenate(weights)
 
-    def _parts(self, counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """By length: each n-gram without its first word and without its last one; ``last`` is its last word."""
-        g, inner, first, self.last = self.block.grams, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.arange(len(counts[0]))]
-        for n in range(1, len(counts)):
-            for listed, of in ((inner, g[n - 1]), (first, self.block.histories[n - 1]), (self.last, g[0])):
-                listed.append(np.zeros(len(counts[n]), np.int64))
-                listed[-1][g[n]] = of
-        return inner, first
-
     def scores(self, tokens: int = TRAVERSED) -> np.ndarray:
         """The log10 probability of each text, read from left to right with the state carried on.
 
-        From the state, the word's arc is taken where there is one; else failure arcs are followed, each
-        adding its weight, until a state has one. The empty history has an arc for every word, unknown
-        ones included. Arcs are looked up for about ``tokens`` tokens of whole texts at a time.
+        From the state, the arc of the next word is taken where there is one; else failure arcs are
+        followed, each adding its weight, until a state has one. The empty history has an arc for every
+        word, unknown ones included. A block's n-grams are numbered, so the next word's arc from a state
+        of n words is looked up by the (n + 1)-gram that ends there, for ``tokens`` tokens at a time.
         """
-        block, words, out = self.block, self.words, np.zeros(len(self.block.lengths))
-        target, weight, fail, fail_weight = map(memoryview, (self.target, self.weight, self.fail, self.fail_weight))
-        at = 0
-        while at < len(out):
-            begin = int(block.ends[at] - block.lengths[at])
-            stop = max(at + 1, int(np.searchsorted(block.ends, begin + tokens, "right")))
-            used = [np.unique(g[begin : block.ends[stop - 1]]) for g in block.grams]
-            keys = np.concatenate([k[u] for k, u in zip(self.keys, used)])
-            arcs = np.concatenate([u + a for u, a in zip(used, self.first_arc)])
-            arc_of = dict(zip(keys.tolist(), arcs.tolist())).get
-            for i in range(at, stop):
-                state, total = self.start, 0.0
-                for word in block.grams[0][block.ends[i] - block.lengths[i] : block.ends[i]].tolist():
-                    arc = arc_of(state * words + word)
-                    while arc is None:
-                        total += fail_weight[state]
-                        state = fail[state]
-                        arc = arc_of(state * words + word)
-                    total += weight[arc]
-                    state = target[arc]
-                out[i] = total
-            at = stop
+        block, ends, out = self.block, self.block.ends.tolist(), np.zeros(len(self.block.lengths))
+        depth, (target, weight, fail, fail_weight) = self.depth, map(memoryview, (self.target, self.weight, self.fail, self.fail_weight))
+        text, state, total = 0, self.start, 0.0
+        for begin in range(0, len(block.grams[0]), tokens):
+            here = [a[g[begin : begin + tokens]].tolist() for a, g in zip(self.arcs, block.grams)]
+            for i in range(len(here[0])):
+                arc = here[depth[state]][i]
+                while arc < 0:
+                    total += fail_weight[state]
+                    state = fail[state]
+                    arc = here[depth[state]][i]
+                total += weight[arc]
+                state = target[arc]
+                if begin + i + 1 == ends[text]:
+                    out[text] = total
+                    text, state, total = text + 1, self.start, 0.0
         return out
 
 
-def training_totals(slim: DataFrame) -> tuple[int, int, int]:
-    """Tokens, distinct tokens and documents of (text, train): words are told apart by a 64-bit hash."""
+def _buckets(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (ranges of keys) that hold any of some ascending keys, and where each begins."""
+    held, begins = np.unique((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(n) >> np.uint64(32), return_index=True)
+    return held.astype(np.int32), np.append(begins, len(keys))
+
+
+def training_totals(slim: DataFrame, n_buckets: int) -> tuple[int, int, int]:
+    """Tokens, distinct tokens and documents of (text, train): words are told apart by their keys."""
     from xxhash import xxh64_intdigest
 
-    def run(batches):
-        def row(hashes, n, documents):
-            h = pa.array(np.array([*hashes], np.uint64).view(np.int64))
-            pad = [0] * (len(h) - 1)
-            return pa.RecordBatch.from_arrays([h, pa.array([n, *pad], pa.int64()), pa.array([documents, *pad], pa.int64())], names=["h", "n", "documents"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            keys = np.sort(_cut(np.array([END, *(xxh64_intdigest(w, 7) for w in seen)], np.uint64)))
+            held, cuts = _buckets(keys, n_buckets)
+            first = np.arange(len(held)) == 0
+            parts = [pa.array(held), pa.array([_packed(keys[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array(np.diff(cuts)), pa.array(first * n), pa.array(first * documents)]
+            return pa.RecordBatch.from_arrays(parts, names=["bucket", "words", "n_words", "tokens", "documents"])
 
         seen, n, documents = set(), 0, 0
         for batch in slices(batches):
@@ -210,15 +219,48 @@ def training_totals(slim: DataFrame) -> tuple[int, int, int]:
                 n, documents = n + len(words) + 1, documents + 1
                 seen.update(words)
             if len(seen) > KEPT:
-                yield row([END, *(xxh64_intdigest(w, 7) for w in seen)], n, documents)
+                yield rows()
                 seen, n, documents = set(), 0, 0
         if documents:
-            yield row([END, *(xxh64_intdigest(w, 7) for w in seen)], n, documents)
+            yield rows()
+
+    def count(group: pa.Table) -> pa.Table:
+        words = [_unpacked(w, n) for w, n in zip(group.column("words").to_pylist(), group.column("n_words").to_pylist())]
+        return pa.table({"tokens": [pc.sum(group.column("tokens")).as_py()], "words": [len(np.unique(np.concatenate(words)))], "documents": [pc.sum(group.column("documents")).as_py()]})
+
+    each = slim.filter("train").select("text").mapInArrow(run, "bucket int, words binary, n_words long, tokens long, documents long")
+    each = each.groupBy("bucket").applyInArrow(count, "tokens long, words long, documents long")
+    return tuple(each.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in each.columns]).first())
+
+
+def _in_blocks(dealt: DataFrame, kind: str) -> DataFrame:
+    """Rows (doc_id, text, train, block) packed by task and block, texts compressed, for the way to their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            blocks = batch.column(3).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            batch = batch.take(pa.array(order))
+            cuts = np.append(np.unique(blocks[order], return_index=True)[1], len(blocks)).astype(np.int32)
+            raw = [t.encode() for t in texts(batch)]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (batch.column(0), batch.column(2), pa.array([len(r) for r in raw], pa.int32()))]
+            packed = [pa.compress(b"".join(raw[a:b]), "zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(cuts[:-1])), *lists, pa.array(packed, pa.binary())], names=["block", "ids", "train", "sizes", "packed"])
+
+    return dealt.mapInArrow(run, f"block int, ids array<{kind}>, train array<boolean>, sizes array<int>, packed binary")
+
+
+def _flat(group: pa.Table, name: str) -> pa.ChunkedArray:
+    return pa.chunked_array([c.flatten() for c in group.column(name).chunks], group.schema.field(name).type.value_type)
+
 
-    each = slim.filter("train").select("text").mapInArrow(run, "h long, n long, documents long")
-    each = each.groupBy("h").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
-    found = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("documents"), F.lit(0))).first()
-    return tuple(found)
+def _unpacked_texts(group: pa.Table) -> list[str]:
+    out = []
+    for sizes, packed in zip(group.column("sizes").to_pylist(), group.column("packed").to_pylist()):
+        ends = np.cumsum(sizes).tolist()
+        raw = pa.decompress(packed, ends[-1], "zstd", asbytes=True) if ends[-1] else b""
+        out += [raw[b - n : b].decode() for b, n in zip(ends, sizes)]
+    return out
 
 
 def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,25 +274,26 @@ def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, bl
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tokens, distinct, documents = training_totals(slim)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = n_buckets = max(parts, -(-size // block_bytes))
+    tokens, distinct, documents = training_totals(slim, n_buckets)
     # By id and text, so that a block is the same set of rows whenever it is read.
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    dealt = _in_blocks(slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")), kind)
 
-    def made(group: pa.Table) -> tuple[Block, np.ndarray]:
-        return Block(group.column("text").to_pylist(), order), group.column("train").to_numpy(zero_copy_only=False)
+    def made(group: pa.Table) -> tuple[pa.Table, Block, np.ndarray]:
+        # In an order of their own, as the pieces of a block come in any.
+        group = group.take(pa.array(sorted(range(group.num_rows), key=group.column("packed").to_pylist().__getitem__)))
+        return group, Block(_unpacked_texts(group), order), _flat(group, "train").to_numpy(zero_copy_only=False)
 
     def layout(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """n-grams in the order of their hashes (ranges of which are the buckets), the hashes, the buckets that hold any, and where each begins."""
         keys = block.keys(order)
-        place = np.argsort(keys)
+        place = np.argsort(keys).astype(np.int32)
         keys = keys[place]
-        held, begins = np.unique((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32), return_index=True)
-        return place, keys, held.astype(np.int32), np.append(begins, len(keys))
+        return place, keys, *_buckets(keys, n_buckets)
 
     def ask(group: pa.Table) -> pa.Table:
-        block, used = made(group)
+        group, block, used = made(group)
         place, keys, held, cuts = layout(block)
         counts = np.concatenate(block.counts(used))[place]
         return pa.table(
@@ -280,7 +323,7 @@ def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, bl
 
     def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        block, used = made(group)
+        group, block, used = made(group)
         replies = replies.sort_by("bucket")
         place, _, held, cuts = layout(block)
         if not np.array_equal(held, replies.column("bucket").to_numpy()):
@@ -288,12 +331,13 @@ def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, bl
         totals = np.concatenate(block.counts(used))
         totals[place] += np.concatenate([_values(o, n) for o, n in zip(replies.column("others").to_pylist(), np.diff(cuts).tolist())]).astype(np.int64)
         counts = np.split(totals, np.cumsum([len(h) for h in block.hashes])[:-1])
+        del place, replies
         automaton = Automaton(counts, block, tokens, distinct, documents, weight)
         starts = block.ends - block.lengths
         add = lambda values: np.add.reduceat(values, starts) if len(starts) else values[:0]
         columns = [
-            group.column("doc_id"),
-            group.column("train"),
+            _flat(group, "ids"),
+            _flat(group, "train"),
             pa.array(block.lengths),
             pa.array(add((counts[0] > 0)[block.grams[0]].astype(np.int64))),
             pa.array(np.full(len(starts), tokens, np.int64)),
