@@ -16,23 +16,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, hash_fraction, slices, table, texts, widened
+from .common import crc_remainder, hash_fraction, slices, spread, table, texts, widened
 
 #: Longest n-gram; documents of each language to learn from, at most about.
-MOST, SAMPLE_ROWS = 5, 800
+MOST, SAMPLE_ROWS = 5, 1500
 #: Words and n-grams seen fewer times in the sample are left out.
 LEAST = 2
 #: What a word or n-gram costs in a language that hasn't it, in powers of ten.
 PENALTY = 7.0
-#: Unknown words that are kept, and values by language in them, at most.
-UNKNOWN_KEPT, UNKNOWN_VALUES = 20_000, 2_000_000
+#: Unknown words whose n-grams a worker keeps, at most; beyond, they are looked up anew.
+UNKNOWN_KEPT = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORD.findall(text.lower())
+    """Runs of letters, in lower case. Fractions, raised digits and Roman numerals are no letters."""
+    found = WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Languages:
@@ -62,7 +65,7 @@ class Languages:
         self.tables: list[dict[str, int]] = [{} for _ in range(MOST + 1)]
         for i, (g, k) in enumerate(zip(grams, kinds.tolist())):
             self.tables[k][g] = i
-        self.unknown: dict[str, np.ndarray] = {}
+        self.unknown: dict[str, tuple[int, ...]] = {}
 
     @property
     def logs(self) -> np.ndarray:
@@ -71,29 +74,34 @@ class Languages:
         full[np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), self.lang] += self.above
         return full
 
-    def total(self, ids: np.ndarray) -> np.ndarray:
-        """The sum of some grams' values by language."""
+    def total(self, ids: list[int], weights: list[float] | None = None) -> np.ndarray:
+        """The sum of some grams' values by language, each multiplied by its weight, above the penalty."""
+        ids = np.array(ids, np.int64)
         first, n = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.lang[at], self.above[at], len(self.names)) - PENALTY * len(ids)
+        values = self.above[at] if weights is None else self.above[at] * np.repeat(weights, n)
+        return np.bincount(self.lang[at], values, len(self.names))
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Scores of a word that isn't known."""
+    def parts(self, word: str) -> tuple[int, ...]:
+        """The known n-grams of a word that isn't known, of the longest length that has any."""
         found = self.unknown.get(word)
         if found is None:
-            padded = f" {word} "
-            found = np.full(len(self.names), -PENALTY)
+            padded, found = f" {word} ", ()
             for n in range(min(MOST, len(padded)), 0, -1):
-                grams = self.tables[n]
-                hits = [i for at in range(n == 1, len(padded) - n + 1 - (n == 1)) if (i := grams.get(padded[at : at + n])) is not None]
-                if hits:
-                    found = self.total(np.array(hits, np.int64)) / len(hits)
+                known, border = self.tables[n].get, n == 1
+                found = tuple([i for at in range(border, len(padded) - n + 1 - border) if (i := known(padded[at : at + n])) is not None])
+                if found:
                     break
-            if len(self.unknown) * len(self.names) >= UNKNOWN_VALUES or len(self.unknown) >= UNKNOWN_KEPT:
+            if len(self.unknown) >= UNKNOWN_KEPT:
                 self.unknown.clear()
             self.unknown[word] = found
         return found
 
+    def backoff(self, word: str) -> np.ndarray:
+        """Scores of a word that isn't known: the mean of its n-grams' values."""
+        found = self.parts(word)
+        return self.total(found) / max(len(found), 1) - PENALTY
+
     def predict(self, text: str) -> tuple[str, float]:
         """Language and score: one minus the ratio of the second language's mean likelihood to the first's.
 
@@ -103,12 +111,15 @@ class Languages:
         if not found or not self.names:
             return "und", 0.0
         ids = list(map(self.tables[0].get, found))
-        known = np.array([i for i in ids if i is not None], np.int64)
-        total = self.total(known)
-        if len(known) < len(found):
-            rest = Counter(w for w, i in zip(found, ids) if i is None)
-            total = total + np.sum([self.backoff(w) * n for w, n in rest.items()], axis=0)
-        mean = total / len(found)
+        total = self.total([i for i in ids if i is not None])
+        if None in ids:
+            grams, weights = [], []
+            for w, n in Counter(w for w, i in zip(found, ids) if i is None).items():
+                if hits := self.parts(w):
+                    grams += hits
+                    weights += [n / len(hits)] * len(hits)
+            total = total + self.total(grams, weights)
+        mean = total / len(found) - PENALTY
         order = np.argsort(-mean, kind="stable")
         second = mean[order[1]] if len(order) > 1 else -PENALTY
         return self.names[order[0]], float(1 - 10 ** min(second - mean[order[0]], 0.0))
@@ -194,6 +205,6 @@ def recognised(docs: DataFrame, model: Languages) -> DataFrame:
 
 def op2_language(spark, sf_dir):
     """Language of every document, learned where crc32(doc_id) modulo 4 isn't 2."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = learn(docs, crc_remainder(docs["doc_id"], 4) != 2)
     return identify(docs.drop("lang"), model).select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
