@@ -1,10 +1,11 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
-For every prefix of a pre-token the last token of its encoding is unique. A suffix automaton, which
-reads a prefix backwards from its end, yields the tokens that end there; the longest one whose
-neighbour (the last token of the prefix before it) is compatible is stored, and back-pointers from
-the end give the ids. Two tokens are compatible if no merge across their border would have come before the merges that
-built them, which is found by undoing those merges from the latest on.
+For every prefix of a pre-token the last token of its encoding is unique. A suffix automaton reads the
+pre-token once from left to right; its state stands for the longest run of the last bytes that begins
+any token, and its suffix links yield the tokens that end there, the longest first. The first one whose
+neighbour (the last token of the prefix before it) is compatible is stored, and back-pointers from the
+end give the ids. Two tokens are compatible if no merge across their border would have come before the
+merges that built them, which is found by undoing those merges from the latest on.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,7 +21,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, table, texts, widened
+from .common import slices, spread, table, texts, widened
 
 #: Entries that a worker keeps of words and of token pairs; beyond, older ones are worked out anew.
 WORDS_KEPT, PAIRS_KEPT = 200_000, 400_000
@@ -63,18 +65,32 @@ class PrefixBpe:
             self.joined[rank[a], rank[b]] = r
         self.ids = [0] * len(rank)
         self.lengths = [0] * len(rank)
-        # Suffix automaton: state and byte to state, and the token that each state ends with, if any.
+        # Suffix automaton: (state, byte) to state, each state's suffix link, the longest token that ends in a
+        # state, and the longest token that ends another token.
         self.step: dict[int, int] = {}
-        self.token_at = [-1]
+        depth, end_of = [0], [0] * len(rank)
         for token, r in rank.items():
             self.ids[r] = vocab[token]
             self.lengths[r] = len(token)
             state = 0
-            for c in reversed(raw(token)):
-                state = self.step.setdefault(state << 8 | ord(c), len(self.token_at))
-                if state == len(self.token_at):
-                    self.token_at.append(-1)
+            for c in raw(token):
+                after = self.step.setdefault(state << 8 | ord(c), len(depth))
+                if after == len(depth):
+                    depth.append(depth[state] + 1)
+                state = after
+            end_of[r] = state
+        if sum(at < 256 for at in self.step) < 256:
+            raise ValueError("a byte-level vocabulary has a token for every byte")
+        self.link, self.token_at = array("i", [0] * len(depth)), array("i", [-1] * len(depth))
+        for r, state in enumerate(end_of):
             self.token_at[state] = r
+        for at, state in sorted(self.step.items(), key=lambda e: depth[e[1]]):
+            before = at >> 8
+            if before:
+                self.link[state] = self.follow(self.link[before], at & 255)
+                if self.token_at[state] < 0:
+                    self.token_at[state] = self.token_at[self.link[state]]
+        self.ending = array("i", [self.token_at[self.link[state]] if depth[state] > 1 else -1 for state in end_of])
         size = max(*vocab.values(), *self.special.values(), 0) + 1
         self.bytes_of = [b""] * size
         for token, i in vocab.items():
@@ -115,33 +131,38 @@ class PrefixBpe:
             else:
                 return True
 
+    def follow(self, state: int, byte: int) -> int:
+        """The state after a byte; suffix links are followed until a state goes on with it (the first one does with any)."""
+        after = self.step.get(state << 8 | byte)
+        while after is None:
+            state = self.link[state]
+            after = self.step.get(state << 8 | byte)
+        return after
+
     def word(self, piece: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
         s = piece.encode()
         n = len(s)
-        last, pairs, lengths, step, token_at = [0] * (n + 1), self.pairs, self.lengths, self.step.get, self.token_at
-        for end in range(1, n + 1):
-            state, at, ending = 0, end, []
-            while at:
-                at -= 1
-                state = step(state << 8 | s[at])
-                if state is None:
+        last, pairs, lengths, step, token_at, ending = [0] * (n + 1), self.pairs, self.lengths, self.step.get, self.token_at, self.ending
+        state = end = 0
+        for byte in s:
+            end += 1
+            after = step(state << 8 | byte)
+            state = self.follow(self.link[state], byte) if after is None else after
+            t = token_at[state]
+            while start := end - lengths[t]:
+                key = last[start] << 24 | t
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= PAIRS_KEPT:
+                        pairs.clear()
+                    fits = pairs[key] = self.compatible(last[start], t)
+                if fits:
                     break
-                if token_at[state] >= 0:
-                    ending.append(token_at[state])
-            for t in reversed(ending):
-                start = end - lengths[t]
-                if start:
-                    key = last[start] << 24 | t
-                    fits = pairs.get(key)
-                    if fits is None:
-                        if len(pairs) >= PAIRS_KEPT:
-                            pairs.clear()
-                        fits = pairs[key] = self.compatible(last[start], t)
-                    if not fits:
-                        continue
-                last[end] = t
-                break
+                t = ending[t]
+                if t < 0:
+                    raise ValueError("no token fits; the merges don't build the vocabulary")
+            last[end] = t
         out, ids = [], self.ids
         while n:
             t = last[n]
@@ -170,15 +191,26 @@ class PrefixBpe:
             return list(chain.from_iterable(map(self.kept, pieces)))
         if self.gap.search(text):
             return list(chain.from_iterable(map(self.kept, self.split.findall(text))))
-        # With single gaps alone, every blank begins a pre-token: each run between blanks stands alone.
-        words = text.split(" ")
-        found = list(map(self.words.get, words))
-        found[0] = self.pieces_of(words[0])
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    found[k] = self.spaced(words[k])
-        return list(chain.from_iterable(found))
+        # With single gaps alone, a line feed is a pre-token and every blank begins one: each run between
+        # blanks of a line stands alone.
+        out: list[int] = []
+        for n, line in enumerate(text.split("\n")):
+            if n:
+                out += self.kept("\n")
+            words = line.split(" ")
+            found = list(map(self.words.get, words))
+            found[0] = self.pieces_of(words[0])
+            if None in found:
+                for k, ids in enumerate(found):
+                    if ids is None:
+                        found[k] = self.spaced(words[k])
+            out += chain.from_iterable(found)
+        return out
+
+    def forget(self) -> None:
+        """Let go of the words, which a worker would else hold while it does other work."""
+        for kept in (self.young, self.old, self.words, self.words_before):
+            kept.clear()
 
     def pieces_of(self, run: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.kept, self.split.findall(run))))
@@ -219,6 +251,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = "byte_bpe_50k.js
         for batch in slices(batches):
             ids = [bpe.encode(t) for t in texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "token_ids"])
+        bpe.forget()
 
     docs = docs.drop("token_ids")
     return docs.mapInArrow(run, widened(docs.schema, ("token_ids", "array<int>")))
@@ -242,6 +275,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -249,4 +283,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
 
 def op5_bpe(spark, sf_dir):
     """n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
