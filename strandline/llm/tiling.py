@@ -13,13 +13,14 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, texts
+from .common import checkpointed, slices, spread, table, texts
 
 MIN_TILE, COVERAGE = 3, 0.8
 #: Items of at most this many tokens must occur whole.
@@ -55,9 +56,10 @@ def _windows(codes: list[int], free: list[bool], s: int) -> Iterator[tuple[int,
 def tile(item: list[str], doc: list[str], least: int = MIN_TILE) -> int:
     """Tokens of ``item`` that greedy tiles of at least ``least`` tokens cover in ``doc``.
 
-    Each round looks for runs of length s. Where a common run is longer than twice s, the round starts
-    again with that length; otherwise the runs found are marked from the longest on, ties in order of
-    their place in the item and then in the document. Once no run of length s is left, s goes down.
+    Each round finds the common runs of at least s unmarked tokens; where one is longer than twice s, the
+    round starts again with its length. The longest is marked, ties in order of their place in the item
+    and then in the document; of a run that marked tokens cut, the parts that are left stay in the race.
+    Then s goes down. So the longest common run of unmarked tokens is marked at every step.
     """
     code = {w: i + 1 for i, w in enumerate(dict.fromkeys(item))}
     a, b = [code[w] for w in item], [code.get(w, 0) for w in doc]
@@ -67,30 +69,38 @@ def tile(item: list[str], doc: list[str], least: int = MIN_TILE) -> int:
         at = defaultdict(list)
         for j, h in _windows(b, free_b, s):
             at[h].append(j)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        found: list[tuple[int, int, int]] = []
         longest = 0
         for i, h in _windows(a, free_a, s):
             for j in at.get(h, ()):
+                if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
+                    continue  # the run began before
                 k = 0
                 while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
                     k += 1
-                longest = max(longest, k)
-                if k > 2 * s:
-                    break
                 if k >= s:
-                    found[k].append((i, j))
+                    longest = max(longest, k)
+                    found.append((-k, i, j))
             if longest > 2 * s:
                 break
         if longest > 2 * s:
             s = longest
             continue
-        for k in sorted(found, reverse=True):
-            for i, j in found[k]:
-                if all(free_a[i : i + k]) and all(free_b[j : j + k]):
-                    free_a[i : i + k] = free_b[j : j + k] = [False] * k
-                    covered += k
-        if not found:  # else what is left at this length comes in the next round
-            s = s // 2 if s > 2 * least else least if s > least else 0
+        heapify(found)
+        while found:
+            k, i, j = heappop(found)
+            open_ = [free_a[i + t] and free_b[j + t] for t in range(-k)]
+            if all(open_):
+                free_a[i : i - k] = free_b[j : j - k] = [False] * -k
+                covered -= k
+                continue
+            begin = 0
+            for t, free in enumerate([*open_, False]):
+                if not free:
+                    if t - begin >= s:
+                        heappush(found, (begin - t, i + begin, j + begin))
+                    begin = t + 1
+        s = s // 2 if s > 2 * least else least if s > least else 0
     return covered
 
 
@@ -235,7 +245,8 @@ def contaminated(
     ``WHOLE`` tokens must occur whole. Items without a token, null texts and empty tables give no rows;
     repeated documents give repeated rows. A benchmark of at most ``worker_bytes`` of text goes to
     every worker; a larger one is joined on hashed seeds and each pair's texts are brought together. Both
-    ways cut the same tokens and give the same rows; equal benchmark rows count once.
+    ways cut the same tokens and give the same rows; equal benchmark rows count once, and items that share
+    an id are items of their own. Item ids are whole numbers.
     """
     bench = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -276,4 +287,4 @@ def contaminated(
 
 def op10_decontaminate(spark, sf_dir):
     """Documents that contain a benchmark item: doc_id, item_id, n_tokens, coverage."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
