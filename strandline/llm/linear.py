@@ -107,15 +107,17 @@ def logistic(rows: Rows, width: int, dense: np.ndarray, y: np.ndarray, ridge: fl
     return w, v, float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, classes: dict[str, Column], bound: int, train: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(labels: DataFrame, classes: dict[str, Column], bound: int, train: Column | None = None, id_col: str = "doc_id") -> DataFrame:
     """Labels of about ``bound`` rows of each named class, chosen by a hash of the id.
 
     Each class is a condition on the label columns. A row that several conditions select appears once.
-    Rows without an id, or for which ``train`` (a condition on ``doc_id``) doesn't hold, are left out.
+    Of rows that share an id the smallest by its other columns, in their order, counts. Rows without an
+    id, or for which ``train`` (a condition on ``doc_id``) doesn't hold, are left out.
     """
     ready = labels.filter(F.col(id_col).isNotNull() & (F.lit(True) if train is None else train))
     sizes = ready.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in classes.items()]).first().asDict()
     chosen = F.lit(False)
     for name, c in classes.items():
         chosen = chosen | (F.coalesce(c, F.lit(False)) & (hash_fraction(F.col(id_col).cast("long")) < min(1.0, bound / max(sizes[name], 1))))
-    return ready.filter(chosen).dropDuplicates([id_col])
+    rest = F.struct(*[c for c in labels.columns if c != id_col and not labels.schema[c].dataType.simpleString().startswith("map")])
+    return ready.filter(chosen).groupBy(id_col).agg(F.min(rest).alias("_rest")).select(id_col, "_rest.*")

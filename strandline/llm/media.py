@@ -3,7 +3,8 @@
 ``store`` writes payload bytes as raw video samples (8 x 8 pixels of three 8-bit channels, 192 bytes a
 frame) into a file of nested boxes. ``describe`` walks the boxes, decodes the sample tables and gives
 codec, duration and the byte ranges of keyframes; it never looks at the payload. ``sample_bytes`` reads
-the payload back through those tables.
+the payload back through those tables. Of several tracks the first one counts; samples that movie
+fragments hold are in no sample table and aren't listed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, table, texts, widened
+from .common import slices, spread, table, texts, widened
 
 FRAME, SIDE, RATE, KEY_EVERY = 192, 8, 25, 16
 #: Boxes that hold boxes.
@@ -104,11 +105,15 @@ class Track:
         view = memoryview(data)
         at: dict[bytes, tuple[int, int]] = {}
         for path, begin, end in boxes(view):
+            if path[-1] == b"trak" and b"trak" in at:
+                break
             at.setdefault(path[-1], (begin, end))
         numbers = lambda kind, skip, count, width=4: np.frombuffer(view, f">u{width}", count, at[kind][0] + skip).astype(np.int64)
         self.codec = bytes(view[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
         version = view[at[b"mdhd"][0]]
         self.rate, ticks = struct.unpack_from(">IQ" if version else ">II", view, at[b"mdhd"][0] + (20 if version else 12))
+        if b"stts" in at:  # how many samples last how long
+            ticks = int(numbers(b"stts", 8, 2 * numbers(b"stts", 4, 1)[0]).reshape(-1, 2).prod(axis=1).sum())
         self.duration = ticks / self.rate if self.rate else 0.0
         fixed, n = numbers(b"stsz", 4, 2)
         self.sizes = np.full(n, fixed) if fixed else numbers(b"stsz", 12, n)
@@ -137,7 +142,8 @@ class Track:
 def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``n_bytes`` and ``media``: the text's bytes, padded with blanks to whole frames, as a file.
 
-    A null or empty text becomes one frame of blanks. Columns of these names are replaced.
+    A null or empty text becomes one frame of blanks. Columns of these names are replaced. Repeated rows
+    get equal files; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,24 +156,40 @@ def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, widened(docs.schema, ("n_bytes", "long"), ("media", "binary")))
 
 
+def track_of(data: bytes | None) -> tuple[Track | None, str | None]:
+    """The track of a file, or what is wrong with it; neither for null."""
+    try:
+        return (None, None) if data is None else (Track(data), None)
+    except KeyError as e:
+        return None, f"no box {e.args[0]!r}"
+    except (ValueError, IndexError, struct.error) as e:
+        return None, str(e)
+
+
 def describe(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Add ``codec``, ``duration_s``, ``n_samples`` and ``keyframes`` (array of offset and length)."""
+    """Add ``codec``, ``duration_s``, ``n_samples``, ``keyframes`` (array of offset and length) and ``error``.
+
+    A cell that is no such file has ``error`` alone, a null cell nothing. Columns of these names are
+    replaced, all others stay; repeated rows get equal values and an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
         for batch in slices(batches):
-            found = [Track(m) if m is not None else None for m in batch.column(batch.schema.get_field_index(media_col)).to_pylist()]
+            both = [track_of(m) for m in batch.column(batch.schema.get_field_index(media_col)).to_pylist()]
+            found = [t for t, _ in both]
             new = [
                 pa.array([t and t.codec for t in found], pa.string()),
                 pa.array([t and t.duration for t in found], pa.float64()),
                 pa.array([t and len(t.sizes) for t in found], pa.int64()),
                 pa.array([t and [{"offset": a, "length": b} for a, b in t.key_ranges()] for t in found], kind),
+                pa.array([e for _, e in both], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    names = ["codec", "duration_s", "n_samples", "keyframes"]
+    names = ["codec", "duration_s", "n_samples", "keyframes", "error"]
     media = media.drop(*names)
-    kinds = ("string", "double", "long", "array<struct<offset:bigint,length:bigint>>")
+    kinds = ("string", "double", "long", "array<struct<offset:bigint,length:bigint>>", "string")
     return media.mapInArrow(run, widened(media.schema, *zip(names, kinds)))
 
 
@@ -180,26 +202,33 @@ def feature(track: Track) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored files hold, read back: sizes, digests and the feature text of ``store``'s result."""
+    """What the stored files hold, read back: sizes, digests and the feature text of ``store``'s result.
+
+    A cell that is no such file has its size and digest, ``error``, and no payload. Rows stay one to one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for data in batch.column(2).to_pylist():
-                track = Track(data)
+                track, error = track_of(data)
+                own = (len(data), hashlib.sha256(data).hexdigest()) if data is not None else (None, None)
+                if track is None:
+                    rows.append((None, None, None, *own, None, error))
+                    continue
                 payload = track.sample_bytes(data)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, feature(track), None))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             new = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=names)
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
     kind = media.schema["doc_id"].dataType.simpleString()
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     )
 
 
 def op4_media(spark, sf_dir):
     """Every text of documents as a media file, read back."""
-    return digests(store(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media"))
+    return digests(store(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_bytes", "media"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices, table, texts
+from .common import crc_remainder, slices, spread, table, texts
 from .linear import Rows, calibrate, dual_coordinate_descent, labelled_sample, sigmoid
 
 BITS, LENGTHS, REPEATS, FOLDS = 18, (1, 2, 3), (3, 4, 6, 10), 3
@@ -102,11 +102,11 @@ def fit(listed: list[np.ndarray], y: np.ndarray, group: np.ndarray, passes: int
 def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a sample of about ``sample_rows`` labelled documents of each class.
 
-    ``sample_rows`` bounds what is broadcast and what the one fitting task reads. Conflicting labels of
-    an id count as one, whichever comes; rows without a label are left out.
+    ``sample_rows`` bounds what is broadcast and what the one fitting task reads. Of conflicting labels of
+    an id the smallest counts; rows without a label are left out.
     """
     y = F.col(label_col)
-    sample = labelled_sample(docs, labels, {"one": y == 1, "zero": y == 0}, sample_rows, train).select("doc_id", y.cast("int").alias("y"))
+    sample = labelled_sample(labels.select("doc_id", label_col), {"one": y == 1, "zero": y == 0}, sample_rows, train).select("doc_id", y.cast("int").alias("y"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +154,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def op1_quality(spark, sf_dir):
     """Quality of every document, learned where crc32(doc_id) modulo 4 isn't 2."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels")
     model = learn(docs, labels, crc_remainder(labels["doc_id"], 4) != 2)
     return score(docs, model).select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")

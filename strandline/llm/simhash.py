@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, texts, unused
+from .common import checkpointed, slices, spread, table, texts, unused
 
 SEED, WORDS, LIMIT, PIVOTS = 42, 3, 3, 24
 #: First bit and width of the five fields.
@@ -272,4 +272,4 @@ def one_of_each(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", tex
 
 def op9_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices, table, texts
+from .common import crc_remainder, slices, spread, table, texts
 from .linear import Rows, labelled_sample, logistic, sigmoid
 
 LENGTHS, FOLDS = (5, 6), 4
@@ -126,26 +126,28 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict, train: Column |
     """Fit on a sample of about ``sample_rows`` labelled documents of each category and of none.
 
     ``categories`` maps a name to a condition on the label columns, in the order of the chain. The bound
-    holds for what is broadcast and for what the one fitting task reads.
+    holds for what is broadcast and for the rows that the one fitting task reads. Of conflicting labels of
+    an id the smallest row counts; rows are put in the order of their ids and of a hash of their texts, so
+    that folds don't depend on how they came.
     """
     flags = {n: F.coalesce(c, F.lit(False)) for n, c in categories.items()}
     rest = F.lit(True)
     for c in flags.values():
         rest = rest & ~c
-    sample = labelled_sample(docs, labels, {**flags, "rest_": rest}, sample_rows, train)
+    sample = labelled_sample(labels, {**flags, "rest_": rest}, sample_rows, train)
     sample = sample.select("doc_id", F.array(*[c.cast("int") for c in flags.values()]).alias("y"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             found = [np.unique(codes(t)).view(np.int64) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "y", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "y", "tie", "found"])
 
     def train_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        whole = pa.Table.from_batches(got).sort_by("doc_id")
+        whole = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("tie", "ascending")])
         listed = [x.values.to_numpy().view(np.uint64) for x in whole.column("found")]
         chain = fit(listed, np.array(whole.column("y").to_pylist()))
         yield pa.RecordBatch.from_arrays(
@@ -158,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict, train: Column |
             names=["keys", "w", "v", "b"],
         )
 
-    prepared = chosen.select("doc_id", "text", "y").mapInArrow(prepare, "doc_id long, y array<int>, found array<bigint>")
+    prepared = chosen.select("doc_id", "text", "y", F.xxhash64("text").alias("tie")).mapInArrow(prepare, "doc_id long, y array<int>, tie long, found array<bigint>")
     row = prepared.repartition(1).mapInArrow(train_one, "keys binary, w array<binary>, v array<binary>, b array<double>").first()
     if row is None:
         return Chain(np.zeros(0, np.uint64), [(np.zeros(0), np.zeros(k), 0.0) for k in range(len(categories))])
@@ -187,7 +189,7 @@ def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.
 
 def op6_toxicity(spark, sf_dir):
     """Toxicity of every document, learned where crc32(doc_id) modulo 4 isn't 2."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels")
     categories = {"p_low_quality": F.col("quality") == 0, "p_toxic": F.col("toxic") == 1}
     chain = learn(docs, labels, categories, crc_remainder(labels["doc_id"], 4) != 2)
     found = score(docs, chain, list(categories))

@@ -177,14 +177,29 @@ def write(pages: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
     return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "records long, archive binary")
 
 
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string"
 
 
-def read(archives: DataFrame, archive_col: str = "archive", payload: bool = True) -> DataFrame:
-    """The records of every archive, in bounded batches; without ``payload`` that column is left out."""
+def read(archives: DataFrame, archive_col: str = "archive", payload: bool = True, strict: bool = False) -> DataFrame:
+    """The records of every archive, in bounded batches; without ``payload`` that column is left out.
+
+    An archive that breaks off, or has a record that is ill-formed or whose payload isn't that of its
+    digest, gives what comes before and one row with nothing but ``error``, as nothing says where the
+    next record begins; with ``strict`` it ends the job. A null cell gives no rows. Revisits hold no
+    payload, so their length and digest are what their header says. Repeated archives give repeated rows.
+    """
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
     if payload:
         kinds["payload"] = pa.binary()
+    kinds["error"] = pa.string()
+
+    def kept(found: Iterator[dict]) -> Iterator[dict]:
+        try:
+            yield from found
+        except (ValueError, KeyError, zlib.error) as e:
+            if strict:
+                raise
+            yield {"error": str(e) or type(e).__name__}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(list(kinds.items()))
@@ -193,9 +208,9 @@ def read(archives: DataFrame, archive_col: str = "archive", payload: bool = True
                 data = cell.as_buffer() if cell.is_valid else b""
                 view = memoryview(data)
                 rows, size = [], 0
-                for r in records((bytes(view[i : i + (1 << 20)]) for i in range(0, len(view), 1 << 20)), payload):
+                for r in kept(records((bytes(view[i : i + (1 << 20)]) for i in range(0, len(view), 1 << 20)), payload)):
                     rows.append(r)
-                    size += len(r["payload"] or b"")
+                    size += len(r.get("payload") or b"")
                     if len(rows) >= 1000 or size >= 16 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
@@ -204,15 +219,15 @@ def read(archives: DataFrame, archive_col: str = "archive", payload: bool = True
     return archives.select(archive_col).mapInArrow(run, RECORD if payload else RECORD.replace(", payload binary", ""))
 
 
-def read_files(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, path: str, payload: bool = True, strict: bool = False) -> DataFrame:
     """Records of the ``.warc.gz`` files under a path of any file system that Spark reads."""
-    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path), "content", payload)
+    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path), "content", payload, strict)
 
 
 def op3_warc(spark, sf_dir):
     """Pages written as archives and read back: a row per page."""
     stored = checkpointed(write(with_referrals(table(spark, sf_dir, "pages"))))
-    return read(stored, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(stored, payload=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

@@ -153,6 +153,52 @@ def test_language_word_scores():
     assert np.allclose(model.backoff("ba"), (model.logs[1] + model.logs[2]) / 2)
 
 
+def brute_language(learned, text):
+    """Mean log10 frequencies over a text's words, from counts in plain dictionaries."""
+    counts = defaultdict(Counter)
+    for t, lang in learned:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            counts[lang, 0][w] += 1
+            for n in range(1, language.MOST + 1):
+                padded = w if n == 1 else f" {w} "
+                counts[lang, n].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    names = sorted({lang for lang, _ in counts})
+    known = {(n, g) for n in range(language.MOST + 1) for g in {g for lang in names for g in counts[lang, n]} if sum(counts[lang, n][g] for lang in names) >= language.LEAST}
+
+    def value(lang, n, g):
+        c = counts[lang, n][g]
+        return math.log10(c / sum(counts[lang, n][x] for x in counts[lang, n] if (n, x) in known)) if c else -language.PENALTY
+
+    total, words = dict.fromkeys(names, 0.0), "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    for w in words:
+        parts = [(0, w)] if (0, w) in known else []
+        for n in range(language.MOST, 0, -1):
+            padded = w if n == 1 else f" {w} "
+            parts = parts or [(n, padded[i : i + n]) for i in range(len(padded) - n + 1) if (n, padded[i : i + n]) in known]
+        for lang in names:
+            total[lang] += sum(value(lang, n, g) for n, g in parts) / len(parts) if parts else -language.PENALTY
+    if not words or not names:
+        return "und", 0.0
+    order = sorted(names, key=lambda x: (-round(total[x], 9), x))
+    second = total[order[1]] if len(order) > 1 else -language.PENALTY * len(words)
+    return order[0], 1 - 10 ** min((second - total[order[0]]) / len(words), 0.0)
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(15)
+    parts = {"aa": "ba ta ku mo sa ri", "bb": "gri plo tre sh bro sa", "cc": "né ça où mo ri lé"}
+    word = lambda g: "".join(rng.choice(parts[g].split()) for _ in range(rng.randint(1, 3)))
+    rows = [(i, " ".join(word(g) for _ in range(rng.randint(0, 12))), g) for i in range(30) for g in parts]
+    asked = [" ".join(word(g) for _ in range(rng.randint(0, 8))) for g in parts for _ in range(30)] + ["", "½ ² Ⅷ", "1½ba 2²", "zzz", "Ba½TA", "x"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    want = [brute_language([(t, g) for _, t, g in rows], t) for t in asked]
+    for (lang, score), t in zip(want, asked):
+        got = model.predict(t)
+        assert got[0] == lang and math.isclose(got[1], score, abs_tol=1e-9), (t, got, lang, score)
+    assert {model.predict(t)[0] for t in ("½", "²", "1½ 2²", "Ⅷ")} == {"und"}
+
+
 def test_language_odd_rows(spark):
     model = language.learn(odd_docs(spark))
     out = language.identify(odd_docs(spark), model)
@@ -196,6 +242,25 @@ def test_warc_repeated_rows_and_members(spark):
         list(warc.records(iter([wrong])))
 
 
+def test_warc_bad_archives_and_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 300, None) for i in range(4)], PAGES)
+    good = b"".join(bytes(r["archive"]) for r in warc.write(warc.with_referrals(pages)).collect())
+    wrong = warc.record(9, "u", b"abc", hashlib.sha1(b"abd").hexdigest(), None)
+    bare = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n")
+    cells = [good, good[:-20], b"no archive", wrong, bare, None, b"", good]
+    archives = spark.createDataFrame([(c,) for c in cells], "archive binary")
+    rows = warc.read(archives).collect()
+    assert len([r for r in rows if r["error"] is None]) == 4 + 3 + 4 and len([r for r in rows if r["error"]]) == 4
+    assert all(r["page_id"] is None for r in rows if r["error"])
+    with pytest.raises(Exception, match="archive ends|not a WARC|digest"):
+        warc.read(archives, strict=True).collect()
+    for k, c in enumerate((good, good)):
+        (tmp_path / f"{k}.warc.gz").write_bytes(c)
+    (tmp_path / "other.txt").write_bytes(b"x")
+    found = warc.read_files(spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] for r in found) == [0, 0, 1, 1, 2, 2, 3, 3] and all(r["payload"].decode().startswith("page") for r in found)
+
+
 # 4: media
 
 
@@ -226,6 +291,23 @@ def test_media_odd_rows(spark):
     assert media.digests(media.store(none(spark))).count() == 0
 
 
+def test_media_bad_cells_and_second_track(spark):
+    data = media.frames(bytes(range(192)) * 3)
+    cells = [data, data[:-3], b"", b"nothing", None, data[:40]]
+    frame = spark.createDataFrame([(i, 1, c) for i, c in enumerate(cells)], "doc_id long, n_bytes long, media binary")
+    by = {r["doc_id"]: r for r in media.describe(frame).collect()}
+    assert by[0]["n_samples"] == 3 and by[0]["error"] is None and by[4]["error"] is None and by[4]["codec"] is None
+    assert all(by[i]["error"] and by[i]["codec"] is None for i in (1, 2, 3, 5))
+    digests = {r["doc_id"]: r for r in media.digests(frame).collect()}
+    assert digests[0]["payload_sha256"] == hashlib.sha256(bytes(range(192)) * 3).hexdigest() and digests[1]["media_bytes"] == len(data) - 3
+    # A second track with tables of its own behind the first one.
+    at = data.index(b"moov") - 4
+    moov, other = data[at + 8 :], media.frames(bytes(192 * 40))
+    second = other[other.index(b"trak") - 4 :]
+    both = data[:at] + media._box(b"moov", moov, second)
+    assert len(media.Track(both).sizes) == 3 and media.Track(both).sample_bytes(both) == bytes(range(192)) * 3
+
+
 # 5: tokens
 
 
@@ -322,7 +404,7 @@ def brute_scores(rows, train, order, m):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model_equals_brute_force(spark, order):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(0, 30)) + (f" Rare{i}" if i % 3 == 0 else "")) for i in range(60)] + [(60, None), (61, "")]
@@ -345,6 +427,14 @@ def test_language_model_query_has_order_three(spark, tmp_path):
         assert math.isclose(r["score"], want[r["doc_id"]][4], abs_tol=1e-9)
 
 
+def test_language_model_asks_only_buckets_that_hold_ngrams():
+    """Rows in the exchange are bounded by the n-grams of a block, however many buckets there are."""
+    keys = np.sort(language_model.Block(["a b c", "b c d"], 3).keys(3))
+    held, cuts = language_model._buckets(keys, 1 << 20)
+    assert len(held) <= len(keys) and cuts[0] == 0 and cuts[-1] == len(keys) and all(np.diff(cuts) > 0)
+    assert len(language_model._buckets(keys, 1)[0]) == 1
+
+
 def test_language_model_odd_rows(spark):
     rows = language_model.score(odd_docs(spark), F.col("doc_id") == 1).collect()
     assert len(rows) == 9 and {r["train_tokens"] for r in rows} == {12}  # the repeated row counts twice
@@ -373,7 +463,7 @@ def reach(ids, fps, limit=3):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("group_rows", [2, 4096])
+@pytest.mark.parametrize("group_rows", [2, 7, 4096])
 def test_links_equal_brute_force(spark, group_rows):
     rng = random.Random(7)
     fps = set()
@@ -415,6 +505,28 @@ def test_fingerprint_by_definition():
         assert simhash.fingerprint(text) == plain(text)
 
 
+def test_one_of_each_keeps_every_text(spark):
+    """Rows that share an id: whatever their order, each component keeps one row and no unique text goes."""
+    a, b, c = (" ".join(f"{p}{k}" for k in range(40)) for p in "xyz")
+    rows = [(1, a, "p"), (1, b, "q"), (2, a, "r"), (2, c, "s"), (3, b, "t"), (3, b, "u"), (1, a, "o"), (None, a, "n")]
+    results = set()
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        docs = spark.createDataFrame(order, "doc_id long, text string, _r1 string").repartition(3)
+        results.add(tuple(sorted(map(str, simhash.one_of_each(docs).collect()))))
+    assert len(results) == 1
+    kept = spark.createDataFrame(rows, "doc_id long, text string, _r1 string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(kept).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (2, c), (None, a)], key=str)
+
+
+def test_quarters_leave_one_equal():
+    for mask in (*simhash._masks(), (1 << 58) - 1, (1 << 60) - 1):
+        while mask.bit_count() <= 60:
+            parts = [q & ~mask for q in simhash._quarters(mask)]
+            assert len(parts) == 4 and all(parts) and sum(p.bit_count() for p in parts) == 64 - mask.bit_count()
+            mask = simhash._quarters(mask)[0]
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = simhash.near_duplicates(odd_docs(spark)).collect()
     got = sorted(((r["doc_id"], r["component_id"]) for r in rows), key=str)
@@ -443,6 +555,37 @@ def test_tiling():
         assert got <= min(len(a), len(b)) and (got >= longest if longest >= 2 else got == 0)
 
 
+def greedy(a, b, least):
+    """Marks the longest common run of unmarked tokens, the first in ``a`` and then in ``b``, until all are too short."""
+    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    while True:
+        runs = []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+                    k += 1
+                runs.append((-k, i, j))
+        k, i, j = min(runs, default=(0, 0, 0))
+        if -k < max(least, 1):
+            return covered
+        free_a[i : i - k] = free_b[j : j - k] = [False] * -k
+        covered -= k
+
+
+def test_tiling_equals_greedy():
+    rng = random.Random(13)
+    for n in range(600):
+        letters = "abcd"[: rng.randint(2, 4)] if n % 3 else "abcdefgh"
+        a = [rng.choice(letters) for _ in range(rng.randint(0, 45))]
+        b = [rng.choice(letters) for _ in range(rng.randint(0, 60))]
+        if n % 2:
+            cut = rng.randint(0, len(a))
+            b[5:5] = a[cut:] + a[:cut]
+        for least in (1, 2, 3, 5):
+            assert tiling.tile(a, b, least) == greedy(a, b, least), (a, b, least)
+
+
 @pytest.mark.parametrize("worker_bytes", [1 << 20, 0])
 def test_contaminated_both_ways(spark, worker_bytes):
     rng = random.Random(11)
