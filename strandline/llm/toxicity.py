@@ -82,11 +82,28 @@ def _choose(listed: list[np.ndarray], y: np.ndarray, most: int) -> tuple[np.ndar
     return keys[any_], chosen[any_]
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which flagging has the best F1 on rows that a model has not seen.
+
+    Of cuts that are equally good, the middle of the widest gap between two rows' probabilities.
+    """
+    order = np.argsort(-p)
+    p, hits = p[order], np.cumsum(y[order] > 0)
+    if not len(p) or not hits[-1]:
+        return 0.5
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + hits[-1])
+    gap = p - np.append(p[1:], 0.0)
+    f1[gap <= 0] = -1.0  # no cut goes between equal probabilities
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    at = best[np.argmax(gap[best])]
+    return float(p[at] - gap[at] / 2)
+
+
 class Chain:
-    """Per category: weights of features, weights of earlier probabilities, and a bias."""
+    """Per category: weights of features, weights of earlier probabilities, and a bias; and from what probability the last one is flagged."""
 
-    def __init__(self, keys: np.ndarray, models: list[tuple[np.ndarray, np.ndarray, float]]):
-        self.features, self.models = Features(keys), models
+    def __init__(self, keys: np.ndarray, models: list[tuple[np.ndarray, np.ndarray, float]], threshold: float = 0.5):
+        self.features, self.models, self.threshold = Features(keys), models, threshold
 
     def predict(self, found: np.ndarray) -> list[float]:
         before: list[float] = []
@@ -119,7 +136,7 @@ def fit(listed: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURES) -> C
                 unseen[outside] = sigmoid(rows.take(outside).times(w) + before[outside] @ v + b)
         models.append(logistic(rows, len(keys), before, target))
         before = np.column_stack([before, unseen])
-    return Chain(keys, models)
+    return Chain(keys, models, best_threshold(before[:, -1], y[:, -1]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict, train: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Chain:
@@ -156,25 +173,28 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict, train: Column |
                 pa.array([[w.tobytes() for w, _, _ in chain.models]], pa.list_(pa.binary())),
                 pa.array([[v.tobytes() for _, v, _ in chain.models]], pa.list_(pa.binary())),
                 pa.array([[b for _, _, b in chain.models]], pa.list_(pa.float64())),
+                pa.array([chain.threshold], pa.float64()),
             ],
-            names=["keys", "w", "v", "b"],
+            names=["keys", "w", "v", "b", "threshold"],
         )
 
     prepared = chosen.select("doc_id", "text", "y", F.xxhash64("text").alias("tie")).mapInArrow(prepare, "doc_id long, y array<int>, tie long, found array<bigint>")
-    row = prepared.repartition(1).mapInArrow(train_one, "keys binary, w array<binary>, v array<binary>, b array<double>").first()
+    row = prepared.repartition(1).mapInArrow(train_one, "keys binary, w array<binary>, v array<binary>, b array<double>, threshold double").first()
     if row is None:
         return Chain(np.zeros(0, np.uint64), [(np.zeros(0), np.zeros(k), 0.0) for k in range(len(categories))])
     floats = lambda x: np.frombuffer(x, np.float64)
-    return Chain(np.frombuffer(row[0], np.uint64), [(floats(w), floats(v), b) for w, v, b in zip(*row[1:])])
+    return Chain(np.frombuffer(row[0], np.uint64), [(floats(w), floats(v), b) for w, v, b in zip(*row[1:4])], row[4])
 
 
-def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, names: list[str], threshold: float | None = None) -> DataFrame:
     """(doc_id, one probability per category, score, predicted); the last category is the score.
 
-    Whole texts are read. Null and empty texts have no feature and get the biases' probabilities.
+    ``threshold`` is the probability from which documents are flagged; if none is given, it is the one
+    that served best on the training rows' out-of-fold predictions. Whole texts are read. Null and empty texts have no feature and get the biases' probabilities.
     Repeated rows get equal scores; without any label every probability is 0.5 and nothing is flagged.
     """
     keys, models = chain.features.keys, chain.models
+    threshold = chain.threshold if threshold is None else threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Chain(keys, models)
