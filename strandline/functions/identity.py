@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -74,3 +77,28 @@ def rendered(formats: Formats = DEFAULT) -> Column:
     tools = F.coalesce("tools", F.array().cast("array<string>"))
     listed = F.when(F.size(tools) > 0, F.concat(F.lit("\n## Tools\n\n"), F.array_join(F.transform(tools, lambda t: F.concat(F.lit("- "), t, F.lit("\n"))), ""))).otherwise("")
     return F.concat(lines, F.lit("\n\n## User\n\n"), F.col("user_content"), F.lit("\n\n## Assistant\n\n"), F.col("assistant_result"), F.lit("\n"), listed)
+
+
+#: Hex digits of a root's digest that name its projection.
+NAME_DIGITS = 16
+
+
+def root_digest(root: str) -> str:
+    """SHA-256 of a corpus folder's plain absolute path, so that two spellings of it name one projection."""
+    return hashlib.sha256(os.path.abspath(os.path.expanduser(root)).encode()).hexdigest()
+
+
+def projection_path(root: str, environ: Mapping[str, str] = os.environ) -> str:
+    """Where the projection of a corpus folder lies if nothing else is said: outside of it, by its digest."""
+    state = environ.get("XDG_STATE_HOME", "")
+    if not state.startswith("/"):
+        state = os.path.join(environ["HOME"], ".local/state")
+    return f"{state}/strandline/index-{root_digest(root)[:NAME_DIGITS]}"
+
+
+def stable_turn_id(session: Column, leaf: Column, branch_length: Column, user: Column, assistant: Column) -> Column:
+    """The id of the entry that ends a turn, made a token; where there is none, a digest of what was said and where."""
+    text = F.concat_ws(NUL, session, branch_length.cast("string"), user, assistant)
+    named = F.concat(F.lit("turn-"), F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    token = F.substring(F.regexp_replace(leaf, r"[^A-Za-z0-9._:+/@-]", "-"), 1, 128)
+    return F.coalesce(F.when(token != "", token), named)

@@ -74,13 +74,17 @@ def _quoted(term: str) -> str:
     return "".join(c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c for c in term)
 
 
-def credited(line: Column, term: str, mode: str = "word_start") -> Column:
-    """Whether a line has the term, in any case, under the mode's rule for its borders."""
+def credit_pattern(term: str, mode: str = "word_start") -> str:
+    """What finds the term, in any case, under the mode's rule for its borders."""
     before = "" if mode == "substring" else "(?<![A-Za-z0-9_])"
     after = "(?![A-Za-z0-9_])" if mode == "whole_word" else ""
     if mode not in ("substring", "word_start", "whole_word"):
         raise ValueError(f"no such credit mode: {mode}")
-    return line.rlike(f"(?i){before}{_quoted(term)}{after}")
+    return f"(?i){before}{_quoted(term)}{after}"
+
+
+def credited(line: Column, term: str, mode: str = "word_start") -> Column:
+    return line.rlike(credit_pattern(term, mode))
 
 
 def matched_positions(line: Column, terms: list[str], mode: str = "word_start") -> Column:
@@ -109,10 +113,21 @@ BLOB_LINE = r"[{}\[\]<>|\\]|::|—>|sha256:|0x[0-9a-f]{6,}"
 LONG_RUN = r"\S{48,}"
 
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
+def line_words(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit("([A-Za-z]{2,})"), F.lit(1))
+
+
 def line_class(line: Column) -> Column:
     """blank, tool, blob, other or prose."""
-    s = F.regexp_replace(line, r"\A\s+|\s+\z", "")
-    words = F.regexp_extract_all(s, F.lit("([A-Za-z]{2,})"), F.lit(1))
+    return line_kind(stripped(line), line_words(stripped(line)))
+
+
+def line_kind(s: Column, words: Column) -> Column:
+    """The same for a line that is ``stripped`` already and its ``line_words``."""
     letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
     return (
         F.when(F.length(s) == 0, "blank")
@@ -121,3 +136,26 @@ def line_class(line: Column) -> Column:
         .when((letters / F.greatest(F.length(s), F.lit(1)) < 0.5) | (F.size(words) < 3), F.when(s.rlike(BLOB_LINE), "blob").otherwise("other"))
         .otherwise("prose")
     )
+
+
+# Longest text that is taken in, in bytes, and what says that it was cut.
+MAX_CONTENT, CUT_MARK = 1_500_000, "\n[content truncated by capture policy]"
+
+
+def first_bytes(text: Column, most: int) -> Column:
+    """As many whole characters as ``most`` bytes hold."""
+    raw = text.cast("binary")
+    # A character has four bytes at most, so one of four cuts leaves none open.
+    whole = F.filter(F.array(*[F.lit(most - k) for k in range(4)]), lambda k: F.is_valid_utf8(F.substring(raw, F.lit(1), k)))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), F.element_at(whole, 1)).cast("string"))
+
+
+def truncated(text: Column, most: int = MAX_CONTENT) -> Column:
+    """A text of at most ``most`` bytes; of a longer one the beginning and a mark."""
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(first_bytes(text, most), F.lit(CUT_MARK)))
+
+
+def host_label(name: Column) -> Column:
+    """A host's name up to its first dot, or null if that is no token."""
+    label = F.trim(F.substring_index(name, ".", 1))
+    return F.when(label.rlike(r"\A[A-Za-z0-9._:+/@-]{1,128}\z"), label)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import ascii_lower, line_class
+from strandline.functions.text import ascii_lower, line_kind, line_words, stripped
 
 # How a user part begins that a program wrote.
 SYNTHETIC = ("<task-notification>", "<local-command", "<command-name>", "<system-")
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("kind", line_class(F.col("line")))
+    """``lines`` with their ``kind``; a line is stripped and cut into words once, not in every branch."""
+    cut = lines.withColumn("s_", stripped(F.col("line"))).withColumn("w_", line_words(F.col("s_")))
+    return cut.withColumn("kind", line_kind(F.col("s_"), F.col("w_"))).drop("s_", "w_")
 
 
 def junk_by_session(lines: DataFrame, records: DataFrame, session: str = "session_id", min_bytes: int = 4096) -> DataFrame:
@@ -21,7 +23,7 @@ def junk_by_session(lines: DataFrame, records: DataFrame, session: str = "sessio
     ``lines`` and ``records`` carry the session; records also ``content`` and ``user_content``. Distinct lines are counted by hash.
     """
     kinds = ("prose", "tool", "blob", "other")
-    seen = classified(lines).filter(F.col("kind") != "blank")
+    seen = classified(lines.select(session, "line")).filter(F.col("kind") != "blank")
     counts = seen.groupBy(session).agg(
         F.count("*").alias("content_lines"),
         F.count_distinct(F.xxhash64("line")).alias("distinct_lines"),
@@ -48,15 +50,14 @@ def weak_queries(log: DataFrame) -> DataFrame:
     )
 
 
-def retrieval_metrics(ranks: DataFrame) -> DataFrame:
-    """MRR and recall over judged queries; ``rank`` is the first relevant hit's, null if there is none."""
-    near = F.col("rank") <= 10
-    return ranks.agg(
-        F.count("*").alias("queries"),
-        F.avg(F.when(near, 1 / F.col("rank")).otherwise(0.0)).alias("mrr_at_10"),
-        F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("recall_at_1"),
-        F.avg(F.when(near, 1.0).otherwise(0.0)).alias("recall_at_10"),
-    )
+def top_weak_queries(log: DataFrame, limit: int = 20) -> DataFrame:
+    """The most frequent weak queries, ties in the order of their text."""
+    return weak_queries(log).orderBy(F.desc("count"), "query").limit(limit)
+
+
+def top_junk(sessions: DataFrame, session: str = "session_id", limit: int = 25) -> DataFrame:
+    """The sessions of ``junk_by_session`` with the most machine-made text, ties in the order of their names."""
+    return sessions.orderBy(F.desc("junk_bytes"), session).limit(limit)
 
 
 def latest_by_session(entries: DataFrame, session: str, order: str, value: str) -> DataFrame:

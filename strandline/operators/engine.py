@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.identity import DEFAULT, Formats
-from strandline.sources import thesaurus
+from strandline.sources import corpus, thesaurus
+from strandline.sources.folders import checkpointed
 
 from . import projection, retrieval, verify
+from .store import Store, freshness
 
 ID, REVISION = re.compile(r"aj1-[0-9a-f]{32}"), re.compile(r"(sha256:)?[0-9a-f]{64}")
 
@@ -32,20 +34,24 @@ class SearchReport:
     best_score: float = 0.0
     next_cursor: str | None = None
     detail: str | None = None
+    edited_excluded: int = 0
     hits: list = field(default_factory=list)
 
 
-def search(records: DataFrame, query: str, now_ms: int, world: str = "main", scope: str | None = None, lanes=retrieval.DEFAULT_LANES, aliases=None, limit: int = 10, cursor: str | None = None, knobs: retrieval.Knobs = retrieval.Knobs(), stale: bool = False) -> SearchReport:
-    """A page of hits with snippets, and what was searched for.
+def search(records: DataFrame | Store, query: str, now_ms: int, world: str = "main", scope: str | None = None, lanes=retrieval.DEFAULT_LANES, aliases=None, limit: int = 10, cursor: str | None = None, knobs: retrieval.Knobs = retrieval.Knobs(), stale: bool = False) -> SearchReport:
+    """A page of hits with snippets, and what was searched for, in a stored projection or in bare records.
 
     A cursor holds for the query, world, scope, lanes and thesaurus that made it; another one is
     malformed. No hit is no_match, or index_stale where ``stale`` says that nothing is indexed yet.
     """
-    lines = projection.body_lines(records)
-    found = retrieval.search(records, lines, query, world, now_ms, scope, lanes, aliases, knobs)
+    if isinstance(records, Store):
+        found = records.search(query, world, now_ms, scope, lanes, aliases, knobs)
+    else:
+        found = retrieval.search(records, projection.body_lines(records), query, world, now_ms, scope, lanes, aliases, knobs)
     if found is None:
         return SearchReport("no_match")
     out = SearchReport("match", found.plan.base, found.plan.alias_terms, found.plan.folded_terms, detail=found.detail)
+    out.edited_excluded = found.edited.count() if found.edited is not None else 0
     totals = found.hits.agg(F.count("*"), F.max("score")).first()
     out.total, out.best_score = totals[0], totals[1] or 0.0
     guard = retrieval.guard(query, world, scope or "", lanes, thesaurus.digest(aliases or {}))
@@ -57,8 +63,9 @@ def search(records: DataFrame, query: str, now_ms: int, world: str = "main", sco
         out.outcome = "index_stale" if stale else "no_match"
         return out
     limit = max(min(limit or retrieval.DEFAULT_RESULTS, retrieval.MAX_RESULTS), 1)
-    page = retrieval.page(found.hits, found.plan, limit, offset, knobs.confidence_floor).drop("content", "body_line")
-    rows = retrieval.with_snippets(page, records, knobs.context_window).orderBy("rank").collect()
+    page = checkpointed(retrieval.page(found.hits, found.plan, limit, offset, knobs.confidence_floor).drop("content"))
+    shown = records.with_snippets(page, knobs.context_window) if isinstance(records, Store) else retrieval.with_snippets(page.drop("body_line"), records, knobs.context_window)
+    rows = shown.orderBy("rank").collect()
     keep = ("episode_id", "rel_path", "scope", "lane", "event_time_ms", "line_no", "snippet", "snippet_start", "snippet_end", "matched_terms", "score", "confidence")
     out.hits = [{k: r[k] for k in keep} | ({"revision": "sha256:" + r["recorded_digest"]} if "recorded_digest" in r else {}) for r in rows]
     if offset + limit < out.total:
@@ -123,8 +130,11 @@ def get(files: DataFrame, episode_id: str, revision: str, first: int = 0, last:
     return out
 
 
-def status(files: DataFrame, stored: DataFrame, formats: Formats = DEFAULT) -> dict:
-    """Files, records that verify, others by what is wrong with them, copies, and whether ``stored`` hashes still hold."""
+def status(files: DataFrame, stored: DataFrame | Store, formats: Formats = DEFAULT) -> dict:
+    """Files, records that verify, others by what is wrong with them, copies, and whether what is stored still holds.
+
+    ``stored`` is a projection, or the hashes (rel_path, file_hash) that an earlier one noted.
+    """
     v = verify.verified(files, formats).select("rel_path", "episode_id", "verify_status")
     ok = F.col("verify_status") == "ok"
     counts = v.agg(
@@ -135,8 +145,55 @@ def status(files: DataFrame, stored: DataFrame, formats: Formats = DEFAULT) -> d
         F.count_if(F.col("verify_status") == "digest_mismatch").alias("mismatched"),
     ).first().asDict()
     hashes = files.select("rel_path", F.sha2(F.col("content").cast("binary"), 256).alias("file_hash"))
-    report = projection.sync_report(hashes, stored).first()
-    return counts | {"copies": counts["verified"] - counts["episodes"], "freshness": "current" if report["matches"] else "stale"}
+    if isinstance(stored, Store):
+        fresh = freshness(hashes, stored)["freshness"]
+    else:
+        fresh = "current" if projection.sync_report(hashes, stored).first()["matches"] else "stale"
+    return counts | {"copies": counts["verified"] - counts["episodes"], "freshness": fresh}
+
+
+def records_in(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """(rel_path, content) of a corpus folder's records, and how many files or folders can't be read."""
+    found = corpus.read(spark, root)
+    unreadable = corpus.read(spark, root, True).filter("kind <> 'episode'").count()
+    return found.filter("kind = 'episode'").select("rel_path", F.col("content").cast("string").alias("content")), unreadable
+
+
+def sync(files: DataFrame, store: Store, unreadable: int = 0, formats: Formats = DEFAULT, signature: tuple[int, int] | None = None) -> dict:
+    """Bring the projection up to date; seven counters."""
+    return store.sync(verify.verified(files, formats), unreadable, signature)
+
+
+def signature_of(spark: SparkSession, root: str) -> tuple[int, int]:
+    """Number of a corpus folder's records and the time of their latest change; no file is read."""
+    return tuple(corpus.signature(spark, root).first())
+
+
+def fresh(spark: SparkSession, root: str, store: Store, now_ms: int) -> str:
+    """current or stale: by the signature where that is enough, else by every file's hash."""
+    if store.holds(signature_of(spark, root), now_ms):
+        return "current"
+    files = records_in(spark, root)[0]
+    return freshness(files.select("rel_path", F.sha2(F.col("content").cast("binary"), 256).alias("file_hash")), store)["freshness"]
+
+
+def reseal(files: DataFrame, root: str, store: Store | None = None, preview: bool = False, formats: Formats = DEFAULT) -> dict:
+    """Attest again what was edited: scanned, resealed, refused, write_failures, and the paths in walk order.
+
+    Records that verify stay as they are; files that are no records are refused. A preview writes nothing;
+    else the projection is brought up to date afterwards.
+    """
+    if corpus.in_shared_directory(root):
+        raise PermissionError(f"others may write where {root} lies")
+    seen = checkpointed(verify.reseal_preview(files, formats).withColumn("content", F.when(F.col("action") == "reseal", F.col("content"))))
+    counts = {r["action"]: r["count"] for r in seen.groupBy("action").count().collect()}
+    todo = seen.filter("action = 'reseal'")
+    done = todo.select("rel_path") if preview else corpus.write(todo.select("rel_path", "content", F.lit(True).alias("replace")), root).filter("outcome = 'replaced'")
+    paths = [r["rel_path"] for r in done.orderBy(F.split("rel_path", "/")).select("rel_path").collect()]  # the report lists them
+    if not preview and store is not None:
+        signature = signature_of(files.sparkSession, root)
+        sync(records_in(files.sparkSession, root)[0], store, formats=formats, signature=signature)
+    return {"scanned": sum(counts.values()), "resealed": len(paths), "refused": counts.get("refuse", 0), "write_failures": counts.get("reseal", 0) - len(paths), "paths": paths}
 
 
 def as_json(report) -> dict:

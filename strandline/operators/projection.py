@@ -20,11 +20,13 @@ def body_lines(records: DataFrame) -> DataFrame:
     return out.filter(F.col("line_no") >= F.col("body_line")).drop("pos")
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """Distinct (world, lane, term, episode_id, line_no)."""
-    tokens = body_lines(records).select("world", "lane", "episode_id", "line_no", F.explode(F.array_distinct(index_tokens(F.col("line")))).alias("term"))
-    # Terms are distinct within a line already; only an id that stands twice could repeat a row.
-    return tokens
+def postings(records: DataFrame, *more: str) -> DataFrame:
+    """Distinct (world, lane, term, episode_id, line_no, and the columns ``more``) of records of distinct ids.
+
+    A line brings each term once, so nothing has to be shuffled; take ``first_copies`` where ids repeat.
+    """
+    terms = F.explode(F.array_distinct(index_tokens(F.col("line")))).alias("term")
+    return body_lines(records).select("world", "lane", "episode_id", "line_no", *more, terms)
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -34,13 +36,13 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return each.groupBy("world", "term").agg(F.count_if(~inside).alias("df"), F.count_if(inside).alias("eval_df"))
 
 
-def term_stats_of(records: DataFrame) -> DataFrame:
-    """The same straight from records of distinct ids: each brings a term once, so one aggregation is enough."""
+def term_stats_of(records: DataFrame, *more: str) -> DataFrame:
+    """The same, by the columns ``more``, too, straight from records of distinct ids: each brings a term once, so one aggregation is enough."""
     lines = F.split("content", "\n")
     body = F.when(F.col("body_line") <= 1, F.col("content")).otherwise(F.array_join(F.slice(lines, F.greatest(F.col("body_line"), F.lit(1)), F.size(lines)), "\n"))
-    terms = records.select("world", "lane", F.explode(F.array_distinct(index_tokens(body))).alias("term"))
+    terms = records.select("world", "lane", *more, F.explode(F.array_distinct(index_tokens(body))).alias("term"))
     inside = F.col("lane") == "evaluation"
-    return terms.groupBy("world", "term").agg(F.count_if(~inside).alias("df"), F.count_if(inside).alias("eval_df"))
+    return terms.groupBy("world", *more, "term").agg(F.count_if(~inside).alias("df"), F.count_if(inside).alias("eval_df"))
 
 
 def term_trigrams(stats: DataFrame) -> DataFrame:
@@ -53,9 +55,11 @@ def new_vocabulary(fresh: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def dying_terms(stats: DataFrame, removed: DataFrame) -> DataFrame:
-    """Terms of removed postings that no other episode holds."""
+    """Terms of ``stats`` that stand in removed postings and, once these are counted out, in no other episode."""
     gone = removed.select("world", "term", "episode_id").distinct().groupBy("world", "term").agg(F.count("*").alias("gone"))
-    return stats.join(gone, ["world", "term"]).filter(F.col("df") + F.col("eval_df") == F.col("gone")).select("world", "term")
+    held = F.col("df") + F.col("eval_df")
+    same = stats["world"].eqNullSafe(gone["world"]) & (stats["term"] == gone["term"]) & (held == gone["gone"])
+    return stats.join(gone, same, "left_semi").select("world", "term")
 
 
 def candidates_by_scan(stats: DataFrame, world: str, needles: list[str]) -> DataFrame:

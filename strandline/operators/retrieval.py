@@ -1,9 +1,10 @@
 """Ranked evidence search: plan a query, credit lines, score by rarity and recency, collapse and page.
 
-Planning runs on the driver over at most 64 terms. Execution scans lines: a line is a candidate if one
-of its index tokens contains a needle, so no index has to be shuffled. Two small aggregates come back
-to the driver: the vocabulary's cut (where more than 1,024 terms match) and, per term, the number of
-records that are credited with it.
+Planning runs on the driver over at most 64 terms. ``search`` works on records that no projection holds
+and scans their lines: a line is a candidate if one of its index tokens contains a needle, so no index
+has to be shuffled. ``store.Store.search`` takes candidates from stored postings instead; both rank by
+``rank``. Two small aggregates come back to the driver: the vocabulary's cut (where more than 1,024 terms
+match) and, per term, the number of records that are credited with it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import MAX_QUERY_TERMS, MAX_VOCABULARY, MIN_NEEDLE, confidence, index_tokens, index_tokens_of, matched_positions, query_terms, recency, singular_variants
+from strandline.functions.text import MAX_QUERY_TERMS, MAX_VOCABULARY, MIN_NEEDLE, confidence, first_bytes, index_tokens, index_tokens_of, matched_positions, query_terms, recency, singular_variants
 
 # Version of the scorer in cursors, prefix of cursors, lanes searched by default, limits.
 SCORER, CURSOR = "aj-scorer.v3", "aj1."
@@ -63,7 +64,7 @@ class Knobs:
     mode: str = "word_start"
 
 
-def _has_needle(term: Column, needles: list[str]) -> Column:
+def has_needle(term: Column, needles: list[str]) -> Column:
     hit = F.lit(False)
     for n in needles:
         hit = hit | F.contains(term, F.lit(n))
@@ -77,15 +78,15 @@ def eligible(records: DataFrame, world: str, scope: str | None = None, lanes=DEF
 
 def vocabulary(lines: DataFrame, needles: list[str]) -> list[str]:
     """The first matching terms of a world in order; one more than the cap says that there are others."""
-    some = lines.filter(_has_needle(F.lower("line"), needles))  # other lines have no such term
-    terms = some.select(F.explode(index_tokens(F.col("line"))).alias("term")).filter(_has_needle(F.col("term"), needles))
+    some = lines.filter(has_needle(F.lower("line"), needles))  # other lines have no such term
+    terms = some.select(F.explode(index_tokens(F.col("line"))).alias("term")).filter(has_needle(F.col("term"), needles))
     return [r[0] for r in terms.distinct().orderBy("term").limit(MAX_VOCABULARY + 1).collect()]
 
 
 def credit(lines: DataFrame, p: Plan, mode: str = "word_start", cut: str | None = None) -> DataFrame:
     """Candidate lines with the positions of the terms that they are credited with."""
-    found = F.exists(index_tokens(F.col("line")), lambda t: _has_needle(t, p.needles) & (F.lit(True) if cut is None else t <= cut))
-    cheap = _has_needle(F.lower("line"), p.needles)  # holds for every candidate, and spares the others the tokenizer
+    found = F.exists(index_tokens(F.col("line")), lambda t: has_needle(t, p.needles) & (F.lit(True) if cut is None else t <= cut))
+    cheap = has_needle(F.lower("line"), p.needles)  # holds for every candidate, and spares the others the tokenizer
     out = lines.filter(cheap & found).withColumn("mask", matched_positions(F.col("line"), p.terms, mode))
     return out.filter(F.size("mask") > 0)
 
@@ -145,6 +146,9 @@ class Found:
     idf: list[float]
     n: int
     detail: str | None
+    scored: DataFrame
+    #: Candidates that were left out as their digest doesn't hold.
+    edited: DataFrame | None = None
 
 
 def search(records: DataFrame, lines: DataFrame, query: str, world: str, now_ms: int, scope: str | None = None, lanes=DEFAULT_LANES, aliases=None, knobs: Knobs = Knobs(), digits: int | None = None) -> Found | None:
@@ -159,12 +163,17 @@ def search(records: DataFrame, lines: DataFrame, query: str, world: str, now_ms:
     known = vocabulary(lines.filter(F.col("world") == world), p.needles)
     more = len(known) > MAX_VOCABULARY
     credited = credit(eligible(lines, world, scope, lanes), p, knobs.mode, known[MAX_VOCABULARY - 1] if more else None)
-    frequencies = document_frequency(credited).collect()
     n = records.filter((F.col("world") == world) & (F.col("lane") != "evaluation")).count()
+    return rank(p, credited, n, now_ms, knobs, digits, more)
+
+
+def rank(p: Plan, credited: DataFrame, n: int, now_ms: int, knobs: Knobs = Knobs(), digits: int | None = None, more: bool = False) -> Found:
+    """The ranking of credited lines in a world of ``n`` records; ``more`` says that terms beyond the cap matched."""
+    frequencies = document_frequency(credited).collect()  # a count for each of at most 64 terms
     n = max(n, 1, *(r["df"] for r in frequencies)) if frequencies else max(n, 1)
     idf = idf_weights(frequencies, n, len(p.terms))
-    hits = ranked(scored(credited, idf, now_ms, knobs.recency_boost, digits), knobs)
-    return Found(p, hits, idf, n, "discovery_truncated" if more or p.truncated else None)
+    lines = scored(credited, idf, now_ms, knobs.recency_boost, digits)
+    return Found(p, ranked(lines, knobs), idf, n, "discovery_truncated" if more or p.truncated else None, lines)
 
 
 def with_snippets(rows: DataFrame, records: DataFrame, context: int = 3) -> DataFrame:
@@ -178,12 +187,6 @@ def with_snippets(rows: DataFrame, records: DataFrame, context: int = 3) -> Data
     lines = F.split("content", "\n")
     some = F.slice(lines, first, F.greatest(F.least(F.col("line_no") + context, F.size(lines)) - first + 1, F.lit(0)))
 
-    def capped(s: Column) -> Column:
-        raw = s.cast("binary")
-        # The longest cut that leaves no character open.
-        ends = F.filter(F.array(*[F.lit(LINE_BYTES - k) for k in range(4)]), lambda k: F.is_valid_utf8(F.substring(raw, F.lit(1), k)))
-        return F.when(F.octet_length(s) <= LINE_BYTES, s).otherwise(F.substring(raw, F.lit(1), F.element_at(ends, 1)).cast("string"))
-
     empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("over"))
 
     def step(a: Column, x: Column) -> Column:
@@ -195,7 +198,7 @@ def with_snippets(rows: DataFrame, records: DataFrame, context: int = 3) -> Data
         stop = F.struct(a["text"].alias("text"), a["start"].alias("start"), a["end"].alias("end"), F.lit(True).alias("over"))
         return F.when(a["over"], a).when(~fits & (no > F.col("line_no")), stop).when(~fits | ~begun, fresh).otherwise(longer)
 
-    numbered = F.transform(some, lambda s, i: F.struct((i + first).cast("int").alias("no"), capped(s).alias("line")))
+    numbered = F.transform(some, lambda s, i: F.struct((i + first).cast("int").alias("no"), first_bytes(s, LINE_BYTES).alias("line")))
     made = F.aggregate(numbered, empty, step)
     out = text.withColumn("snippet_", made)
     return out.select(*[c for c in out.columns if c not in ("snippet_", "content", "body_line")], F.col("snippet_.text").alias("snippet"), F.col("snippet_.start").alias("snippet_start"), F.col("snippet_.end").alias("snippet_end"))

@@ -92,6 +92,18 @@ def session_turns(lines: DataFrame, policy_type: str = POLICY_TYPE) -> DataFrame
     return turns.withColumn("skip", ~F.coalesce(whole, F.lit(False)))
 
 
+def skip_reasons(lines: DataFrame) -> DataFrame:
+    """(session, skip_reason) of (session, line_no, value): why a log gives no turns, or null if it is read.
+
+    A log is left out if nothing stands in it, if its first line is no header, or if that is a subagent's.
+    """
+    head = lines.groupBy("session").agg(F.min_by("value", F.when(F.trim("value") != "", F.col("line_no"))).alias("head"))
+    kind, parent = (F.try_variant_get(F.try_parse_json("head"), path, "string") for path in ("$.type", "$.parentSession"))
+    subagent = F.contains("head", F.lit('"parentSession"')) & (F.try_variant_get(F.try_parse_json("head"), "$.parentSession", "variant").isNotNull() | parent.isNotNull())
+    reason = F.when(F.col("head").isNull(), "empty").when(~F.coalesce(kind == "session", F.lit(False)), "no_header").when(subagent, "subagent")
+    return head.select("session", reason.alias("skip_reason"))
+
+
 def session_token(name, fallback: str = "session"):
     """A file's name as a token: other characters become dashes, at most 128 remain."""
     clean = F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._:+/@-]", "-"), 1, 128)

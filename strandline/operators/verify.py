@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,10 +51,19 @@ def parsed(files: DataFrame, formats: Formats = DEFAULT) -> DataFrame:
     )
 
 
-def _tool_names(section: str) -> list[str] | None:
-    import re
+_ASSISTANT_AT, _TOOLS_AT = (re.compile(f"(?={re.escape(mark)})") for mark in (ASSISTANT, TOOLS))
+_LISTED = re.compile(r"(?:- [A-Za-z0-9._:+/@-]{1,128}\n)+")
 
-    return re.findall(r"- ([^\n]*)\n", section) if re.fullmatch(r"(- [A-Za-z0-9._:+/@-]{1,128}\n)+", section) else None
+
+def _splits(region: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(where the assistant's mark begins, where its text ends, tool names) of every way to read a body's rest."""
+    marks = [m.start() for m in islice(_ASSISTANT_AT.finditer(region), MAX_READINGS)]
+    lists = [(m.start(), region[m.start() + len(TOOLS) :]) for m in _TOOLS_AT.finditer(region)]
+    ends = [(at, [name[2:] for name in listed.splitlines()]) for at, listed in lists if _LISTED.fullmatch(listed)]
+    if region.endswith("\n"):
+        ends.insert(0, (len(region) - 1, []))  # without tools, before the readings with some
+    for mark in marks:
+        yield from ((mark, end, names) for end, names in ends if end >= mark + len(ASSISTANT))
 
 
 def readings(body: str) -> list[dict]:
@@ -60,26 +71,13 @@ def readings(body: str) -> list[dict]:
 
     Section marks may also stand inside the texts. At most 64 splits and 64 readings are looked at.
     """
-    out: list[dict] = []
-    if not body.startswith(USER):
-        return out
-    region, at = body[len(USER) :], -1
-    for _ in range(MAX_READINGS):
-        at = region.find(ASSISTANT, at + 1)
-        if at < 0:
-            break
-        user, rest = region[:at], region[at + len(ASSISTANT) :]
-        if rest.endswith("\n"):
-            out.append({"user_content": user, "assistant_result": rest[:-1], "tools": []})
-        mark = rest.find(TOOLS)
-        while mark >= 0 and len(out) < MAX_READINGS:
-            names = _tool_names(rest[mark + len(TOOLS) :])
-            if names is not None:
-                out.append({"user_content": user, "assistant_result": rest[:mark], "tools": names})
-            mark = rest.find(TOOLS, mark + 1)
-        if len(out) >= MAX_READINGS:
-            break
-    return out[:MAX_READINGS]
+    region = body.removeprefix(USER)
+    if len(region) == len(body):
+        return []
+    return [
+        {"user_content": region[:mark], "assistant_result": region[mark + len(ASSISTANT) : end], "tools": names}
+        for mark, end, names in islice(_splits(region), MAX_READINGS)
+    ]
 
 
 READING = "array<struct<user_content:string,assistant_result:string,tools:array<string>>>"
@@ -99,6 +97,12 @@ def with_readings(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, f"{fields}, readings {READING}")
 
 
+def digest_probe(content: Column) -> Column:
+    """The digest that a record's header names, without looking at anything else; null if there is none."""
+    head = F.regexp_extract(content, r"\A---\n(?s:(.*?))\n---\n", 1)
+    return F.nullif(F.regexp_extract(head, r"(?m)^payload_digest: sha256:([0-9a-f]{64})$", 1), F.lit(""))
+
+
 def _digest_of(reading: Column, formats: Formats) -> Column:
     return payload_digest(formats, **{n: reading[n] for n in ("user_content", "assistant_result", "tools")})
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from strandline.functions import contracts, identity, text
-from strandline.operators import analytics, capture, projection, redaction, retrieval, turns, verify
+from strandline.operators import analytics, capture, evaluation, projection, prompts, redaction, retrieval, store, turns, verify
+from strandline.sources.folders import shared_folder
 
 from . import views
 from .views import GRAMS, LINES, NOW_MS, PAYLOADS, POSTS, REC, STATS, TURNS
@@ -238,12 +241,9 @@ _P = retrieval.plan(QUERY)
 
 @query(f"WITH {_scores_sql(_P)} SELECT position, df, round(ln(n / df), 6) AS idf FROM dfs, total")
 def query_df_idf(spark, d):
-    r = views.records(spark, d)
-    credited = retrieval.credit(retrieval.eligible(projection.body_lines(r), WORLD), _P)
-    df = retrieval.document_frequency(credited)
-    n = r.filter((F.col("world") == WORLD) & (F.col("lane") != "evaluation")).count()
-    n = max(n, 1, *[x["df"] for x in df.filter("position = -1").collect()])
-    return df.filter("position >= 0").select("position", "df", F.round(F.log(F.lit(float(n)) / F.col("df")), 6).alias("idf"))
+    found = _found(spark, d)
+    df = retrieval.document_frequency(found.scored)
+    return df.filter("position >= 0").select("position", "df", F.round(F.log(F.lit(float(found.n)) / F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {REC} SELECT CASE WHEN event_time_ms > {NOW_MS} THEN 1.0 ELSE round(1 + 1.0 / (floor(({NOW_MS} - event_time_ms) / 86400000) + 1), 9) END::DOUBLE AS recency, count(*) AS n FROM rec GROUP BY 1")
@@ -258,18 +258,12 @@ def _rank_columns(df):
 
 @query(f"WITH {_scores_sql(_P)} SELECT episode_id, line_no, round(score, 6) AS score FROM scored")
 def rank_full(spark, d):
-    r = views.records(spark, d)
-    found = _found(spark, d)
-    credited = retrieval.credit(retrieval.eligible(projection.body_lines(r), WORLD), found.plan)
-    return _rank_columns(retrieval.scored(credited, found.idf, NOW_MS, digits=9))
+    return _rank_columns(_found(spark, d).scored)
 
 
 @query(f"WITH {_scores_sql(_P)} SELECT episode_id, line_no, round(score, 6) AS score FROM spans WHERE in_span = 1")
 def rank_span_dedupe(spark, d):
-    r = views.records(spark, d)
-    found = _found(spark, d)
-    credited = retrieval.credit(retrieval.eligible(projection.body_lines(r), WORLD), found.plan)
-    return _rank_columns(retrieval.ranked(retrieval.scored(credited, found.idf, NOW_MS, digits=9), per_episode=0))
+    return _rank_columns(retrieval.ranked(_found(spark, d).scored, per_episode=0))
 
 
 @query(f"WITH {_scores_sql(_P)} SELECT episode_id, line_no, round(score, 6) AS score FROM ranked")
@@ -307,9 +301,9 @@ def search_duplicate_weight(spark, d):
     return _page(spark, d, "license license rights", 50)
 
 
-@query(_page_sql(limit=50, scope="src7"))
+@query(_page_sql(limit=50, scope="src16"))
 def search_scope_filter(spark, d):
-    return _page(spark, d, limit=50, scope="src7")
+    return _page(spark, d, limit=50, scope="src16")
 
 
 @query(_page_sql("tion ble ing", 50, lanes=("evaluation",)))
@@ -349,6 +343,89 @@ def get_span(spark, d):
     return retrieval.span(projection.body_lines(views.records(spark, d)), _ONE, 1, 400)
 
 
+# The projection as it is stored
+
+
+def _store(spark, *states):
+    """A projection in a folder of its own, brought to each of some states of the corpus in turn."""
+    found = store.Store(spark, f"{shared_folder(spark)}/projection-{uuid.uuid4().hex}")
+    for state in states:
+        found.sync(state)
+    return found
+
+
+def _parsed(spark, d):
+    return views.records(spark, d).withColumn("parses", F.lit(True)).withColumn("verify_status", F.lit("ok"))
+
+
+def _earlier(spark, d):
+    """No French text yet, German ones before an edit, Spanish ones at another place."""
+    r = _parsed(spark, d).filter("world <> 'fr'")
+    r = r.withColumn("content", F.when(F.col("world") == "de", F.concat("content", F.lit(" formerly"))).otherwise(F.col("content")))
+    return r.withColumn("rel_path", F.when(F.col("world") == "es", F.concat(F.lit("old/"), F.col("rel_path"))).otherwise(F.col("rel_path")))
+
+
+def _without_low_quality(spark, d):
+    low = views.table(spark, d, "labels").filter("quality = 0").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("episode_id"))
+    return _parsed(spark, d).join(low, "episode_id", "left_anti")
+
+
+_LOW = "(SELECT lpad(doc_id::VARCHAR, 12, '0') FROM labels WHERE quality = 0)"
+
+
+@query(f"WITH {POSTS} SELECT * FROM posts")
+def projection_upsert(spark, d):
+    """Postings after a sync of an earlier state and one of the present state."""
+    return _store(spark, _earlier(spark, d), _parsed(spark, d)).read("postings").select("world", "lane", "term", "episode_id", "line_no")
+
+
+@query(f"WITH {POSTS} SELECT * FROM posts WHERE episode_id NOT IN {_LOW}")
+def projection_delete(spark, d):
+    """Postings once the documents of low quality are gone."""
+    return _store(spark, _parsed(spark, d), _without_low_quality(spark, d)).read("postings").select("world", "lane", "term", "episode_id", "line_no")
+
+
+@query(
+    f"""WITH {POSTS} SELECT world, term, count(DISTINCT episode_id) FILTER (lane <> 'evaluation') AS df, count(DISTINCT episode_id) FILTER (lane = 'evaluation') AS eval_df
+FROM posts WHERE episode_id NOT IN {_LOW} GROUP BY world, term"""
+)
+def projection_statistics(spark, d):
+    """Document frequencies, added up over partitions, after the same."""
+    return _store(spark, _parsed(spark, d), _without_low_quality(spark, d)).statistics()
+
+
+@query(f"WITH {STATS} SELECT term FROM stats WHERE world = '{WORLD}'")
+def projection_vocabulary(spark, d):
+    return _store(spark, _parsed(spark, d)).vocabulary(WORLD)
+
+
+@query(
+    f"""WITH {REC}, cur AS (SELECT world, episode_id, episode_id LIKE '%7' AS bad FROM rec)
+SELECT count(*) FILTER (NOT bad AND world <> 'en') AS indexed, count(*) FILTER (NOT bad AND world = 'en') AS unchanged, count(*) FILTER (bad AND world <> 'fr') AS removed,
+ count(*) FILTER (bad) AS skipped_malformed, count(*) FILTER (world = 'en' AND episode_id LIKE '%0') AS duplicate_ids, count(*) FILTER (episode_id LIKE '%3') AS digest_mismatch, 2::BIGINT AS unreadable FROM cur"""
+)
+def sync_accounting(spark, d):
+    """The seven counters of a sync: some files broke, some were edited in place, some lie there twice."""
+    now = _parsed(spark, d).withColumn("parses", ~F.col("episode_id").endswith("7"))
+    now = now.withColumn("verify_status", F.when(~F.col("parses"), "malformed").when(F.col("episode_id").endswith("3"), "digest_mismatch").otherwise("ok"))
+    twice = now.filter((F.col("world") == "en") & F.col("episode_id").endswith("0")).withColumn("rel_path", F.concat(F.lit("zz/"), F.col("rel_path")))
+    report = _store(spark, _earlier(spark, d)).sync(now.unionByName(twice), unreadable=2)
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{n} long" for n in report))
+
+
+@query(_page_sql())
+def search_via_postings(spark, d):
+    found = _store(spark, _parsed(spark, d)).search(QUERY, WORLD, NOW_MS, digits=9)
+    return _hits(retrieval.page(found.hits, found.plan, 10))
+
+
+@query(_page_sql("tion ble ing", 50, lanes=("evaluation",)))
+def search_via_postings_eval_lane(spark, d):
+    """Needles that more terms than the cap hold."""
+    found = _store(spark, _parsed(spark, d)).search("tion ble ing", WORLD, NOW_MS, lanes=("evaluation",), digits=9)
+    return _hits(retrieval.page(found.hits, found.plan, 50))
+
+
 # Identity, contract, capture
 
 
@@ -525,25 +602,101 @@ def miss_aggregate(spark, d):
     return analytics.weak_queries(log)
 
 
-_EXACT = f"""WITH {REC}, hit AS (
-  SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id
-), ranks AS (SELECT item_id, CASE WHEN doc_id IS NOT NULL THEN 1 END AS rank FROM hit)
-SELECT count(*) AS queries, avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END) AS mrr_at_10, avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS recall_at_1, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS recall_at_10 FROM ranks"""
+#: Judged queries: id, type, query, and what a document of one scope must hold to be relevant.
+JUDGED = (
+    ("notice", "known_item", "thanedble attion", "The and attion to thanedble the", "src3"),
+    ("short", "known_item", "therhean esndha", "And therhean is the is esndha", "src5"),
+    ("plural", "plural_probe", "licenses versions", "icense", "src8"),
+    ("loose", "paraphrase", "edouhe ofretihaou rights", "Erreth was ofretihaou", "src11"),
+    ("nothing", "negative", "quagga zyzzyva", None, None),
+    ("rare", "negative", "rights zyzzyva", None, None),
+)
+
+
+def _judged_sql(i, q) -> str:
+    p = retrieval.plan(q)
+    return f"SELECT '{i}' AS id, rank, episode_id, rel_path, line_no, score, matched FROM (WITH {_scores_sql(p)} SELECT * FROM ranked WHERE rank <= 10)"
+
 
+_RANKED = "\nUNION ALL ".join(_judged_sql(i, q) for i, _, q, _, _ in JUDGED)
+_RELEVANT = "\nUNION ALL ".join(f"SELECT '{i}' AS id, lpad(doc_id::VARCHAR, 12, '0') AS episode_id FROM documents WHERE source = '{scope}' AND contains(text, '{phrase}')" for i, _, _, phrase, scope in JUDGED if phrase)
 
-@query(_EXACT)
+
+def _rank_judged(spark, d):
+    r = views.records(spark, d)
+    queries = spark.createDataFrame([x[:3] for x in JUDGED], "id string, type string, query string")
+    n = r.filter((F.col("world") == WORLD) & (F.col("lane") != "evaluation")).count()
+    return queries, evaluation.rank_many(queries, projection.postings(r), projection.body_lines(r), n, WORLD, NOW_MS, digits=9)
+
+
+@query(f"SELECT id, rank::INTEGER AS rank, episode_id, rel_path, line_no, round(score, 6) AS score, matched FROM ({_RANKED})")
+def search_many(spark, d):
+    """Judged queries ranked in one job."""
+    return _rank_judged(spark, d)[1].withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH hits AS ({_RANKED}), relevant AS ({_RELEVANT}), judged(id, type) AS (VALUES {', '.join(f"('{i}', '{t}')" for i, t, *_ in JUDGED)}),
+each_ AS (SELECT j.id, j.type, min(h.rank) FILTER (r.id IS NOT NULL) AS rank, count(DISTINCT h.episode_id) AS distinct_top10, coalesce(max(h.score), 0) AS best
+  FROM judged j LEFT JOIN hits h ON h.id = j.id LEFT JOIN relevant r ON r.id = h.id AND r.episode_id = h.episode_id GROUP BY j.id, j.type)
+SELECT count(*) FILTER (type <> 'negative') AS queries, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END) FILTER (type <> 'negative'), 9) AS mrr_at_10,
+ avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END) FILTER (type <> 'negative') AS recall_at_1, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) FILTER (type <> 'negative') AS recall_at_10,
+ avg(distinct_top10) FILTER (type <> 'negative') AS mean_distinct_episodes_top10, count(*) FILTER (type = 'negative') AS negatives, round(max(best) FILTER (type = 'negative'), 6) AS best_negative_score FROM each_"""
+)
 def retrieval_metrics(spark, d):
-    """Benchmark items as known-item queries: found first if some document holds the passage."""
-    b, docs = views.table(spark, d, "benchmark"), views.table(spark, d, "documents")
-    # Passages and documents meet on the passage's longest inner word; its outer ones may go on in a document.
-    words = text.index_tokens(F.col("text"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    want = b.select("item_id", F.col("text").alias("passage"), longest.alias("h"))
-    have = docs.select("doc_id", "text", F.explode(F.array_distinct(words)).alias("h"))
-    hit = want.join(have, "h").filter(F.contains("text", "passage")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    ranks = b.select("item_id").join(hit, "item_id", "left").select("item_id", F.when(F.col("doc_id").isNotNull(), 1).alias("rank"))
-    return analytics.retrieval_metrics(ranks)
+    """How well the judged queries find the documents that hold their phrase."""
+    queries, hits = _rank_judged(spark, d)
+    docs = views.records(spark, d).filter("lane = 'conversation'")
+    relevant = [docs.filter((F.col("scope") == scope) & F.contains("content", F.lit(phrase))).select(F.lit(i).alias("id"), "episode_id") for i, _, _, phrase, scope in JUDGED if phrase]
+    found = evaluation.metrics(evaluation.per_query(queries, hits, reduce(lambda a, b: a.unionByName(b), relevant)))
+    return found.withColumn("mrr_at_10", F.round("mrr_at_10", 9)).withColumn("best_negative_score", F.round("best_negative_score", 6))
+
+
+_EVENTS = "SELECT user_id, event_type, epoch_ms(ts) AS t, lag(event_type) OVER w AS kind_before, lag(epoch_ms(ts)) OVER w AS t_before, props, lag(props) OVER w AS props_before FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type DESC)"
+
+
+@query(f"SELECT concat('user-', user_id) AS session_id, t_before AS event_time_ms, props_before AS user_content, props AS assistant_result FROM ({_EVENTS}) WHERE event_type = 'purchase' AND kind_before = 'signup' AND t - t_before <= 172800000")
+def prompt_stop_pairs(spark, d):
+    """Sign-ups as prompts and purchases as the replies that end them, at most two days later."""
+    e = views.table(spark, d, "events").filter("event_type IN ('signup', 'purchase')")
+    kind = F.when(F.col("event_type") == "signup", "prompt").otherwise("stop")
+    session = F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("session_id")
+    seen = e.select(session, F.lit("t").alias("turn_id"), kind.alias("kind"), F.unix_millis("ts").alias("time_ms"), F.col("props").alias("text"))
+    return prompts.paired(seen).drop("turn_id")
+
+
+@query(
+    """WITH m AS (SELECT translate(trim(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS query, unnest([role, 'conv']) AS term, conv_id, turn FROM conversations)
+SELECT query, count(DISTINCT (conv_id, turn)) AS count, list_sort(list_distinct(list(term))) AS terms FROM m WHERE query <> '' GROUP BY query ORDER BY count DESC, query LIMIT 20"""
+)
+def top_weak_queries(spark, d):
+    """The 20 most frequent messages, as weak queries."""
+    log = views.table(spark, d, "conversations").select(F.col("text").alias("query"), F.array("role", F.lit("conv")).alias("terms"))
+    return analytics.top_weak_queries(log)
+
+
+@query(_SQL["session_junk"] + " ORDER BY junk_bytes DESC, session_id LIMIT 5")
+def top_session_junk(spark, d):
+    return analytics.top_junk(session_junk(spark, d), limit=5)
+
+
+@query("SELECT page_id, CASE WHEN strlen(html) <= 300 THEN html ELSE concat(left(html, (SELECT max(n) FROM range(0, 301) t(n) WHERE strlen(left(html, n::INTEGER)) <= 300)::INTEGER), chr(10), '[content truncated by capture policy]') END AS html FROM pages")
+def truncated_content(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.truncated(F.col("html"), 300).alias("html"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_full_match(h, '[A-Za-z0-9._:+/@-]{1,128}') THEN h END AS host FROM (SELECT page_id, trim(split_part(regexp_extract(url, '^https?://([^/]*)', 1), '.', 1)) AS h FROM pages)")
+def host_labels(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.host_label(F.regexp_extract("url", "^https?://([^/]*)", 1)).alias("host"))
+
+
+@query(
+    f"""WITH {TURNS} SELECT conv_id, turn_no, concat('turn-', substr(sha256(concat('conv-', conv_id, chr(0), turn_no, chr(0), user_content, chr(0), assistant_result)), 1, 32)) AS turn_id FROM turns"""
+)
+def stable_turn_ids(spark, d):
+    found = turns.pair_turns(views.table(spark, d, "conversations"))
+    session, none = F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), F.lit(None).cast("string")
+    return found.select("conv_id", "turn_no", identity.stable_turn_id(session, none, F.col("turn_no"), F.col("user_content"), F.col("assistant_result")).alias("turn_id"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS in_force FROM conversations")

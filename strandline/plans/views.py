@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import STOP_WORDS
+from strandline.sources.folders import spread
 
 BEGIN_MS, HOUR_MS, NOW_MS = 1_700_000_000_000, 3_600_000, 1_800_000_000_000
 
@@ -16,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents by language and source, and benchmark items as records of the evaluation lane."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    b = table(spark, sf_dir, "benchmark")
 
     def one(df, number, prefix, world, scope, lane):
         name = F.concat(F.lit(prefix), F.lpad(number.cast("string"), 12, "0"))

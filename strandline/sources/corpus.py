@@ -1,76 +1,165 @@
-"""A corpus directory as a data source, and records written into it.
+"""A corpus folder as a data source, and records published into it.
 
-Spark's own file readers leave out directories that begin with an underscore, which scopes may. The
-folder must be one that every executor sees.
+Spark's own file readers leave out directories that begin with an underscore, which scopes may, and
+follow links. The folder must be one that every executor sees. Directories are opened one below the
+other without following links, for reading and for writing alike.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import stat
+import time
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from strandline.sources.folders import checkpointed
 
 # Depth of the walk, largest file, names of records.
 MAX_DEPTH, MAX_FILE = 10, 8 << 20
 RECORD = re.compile(r"aj1-.*\.md")
+#: Directories down to this depth are listed by the driver, those below by the tasks; how many make a partition.
+LISTED_DEPTH, LISTED = 2, 16
 
 
-class Chunk(InputPartition):
-    def __init__(self, paths: list[str]):
+class Directories(InputPartition):
+    def __init__(self, listed: list[tuple[str, bool]]):
         super().__init__(0)
-        self.paths = paths
+        self.listed = listed
+
+
+@contextmanager
+def opened(root: str, below: str = "", create: bool = False) -> Iterator[int]:
+    """A descriptor of a directory below ``root``; each part of the way must be a directory of its own, no link."""
+    fd = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
+    try:
+        for part in below.split("/") if below else ():
+            if create:
+                try:
+                    os.mkdir(part, 0o700, dir_fd=fd)
+                    os.fsync(fd)
+                except FileExistsError:
+                    pass
+            inner = os.open(part, os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW, dir_fd=fd)
+            os.close(fd)
+            fd = inner
+        yield fd
+    finally:
+        os.close(fd)
+
 
+def _entries(root: str, below: str) -> tuple[list[str], list[str]]:
+    """Names of the directories and of the records in one directory."""
+    with opened(root, below) as fd, os.scandir(fd) as found:
+        listed = sorted((e.name, e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)) for e in found)
+    return [n for n, d, _ in listed if d and not n.startswith(".")], [n for n, _, f in listed if f and RECORD.fullmatch(n)]
 
-def walk(root: str, below: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
+
+def walk(root: str, below: str = "", deep: bool = True) -> Iterator[tuple[str, str]]:
     """(kind, path below root) of records and of directories that can't be read; links are not followed."""
+    under = lambda name: f"{below}/{name}" if below else name
     try:
-        names = sorted(os.listdir(os.path.join(root, below)))
+        inner, records = _entries(root, below)
     except OSError:
         if not below:
             raise
         yield "unreadable", below
         return
-    for name in names:
-        path = f"{below}/{name}" if below else name
-        mode = os.lstat(os.path.join(root, path)).st_mode
-        if stat.S_ISDIR(mode):
-            if not name.startswith(".") and depth < MAX_DEPTH:
-                yield from walk(root, path, depth + 1)
-        elif stat.S_ISREG(mode) and RECORD.fullmatch(name):
-            yield "episode", path
+    yield from (("episode", under(n)) for n in records)
+    if deep and below.count("/") + bool(below) <= MAX_DEPTH - 1:
+        for name in inner:
+            yield from walk(root, under(name))
+
+
+def contained(root: str, path: str, most: int = MAX_FILE) -> tuple[os.stat_result, bytes]:
+    """One record's file below ``root``; ValueError if it is no regular file or has more than ``most`` bytes."""
+    if not safe_path(path):
+        raise ValueError(f"not a path inside the corpus: {path}")
+    folder, _, name = path.rpartition("/")
+    with opened(root, folder) as fd, open(os.open(name, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK, dir_fd=fd), "rb") as f:
+        info = os.fstat(f.fileno())
+        if not stat.S_ISREG(info.st_mode) or info.st_size > most:
+            raise ValueError(f"no record of at most {most} bytes: {path}")
+        content = f.read(most + 1)
+        if len(content) > most:  # it has grown since
+            raise ValueError(f"no record of at most {most} bytes: {path}")
+        return info, content
 
 
 class Reader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.bare, self.size = options["path"], options.get("stat_only", "false") == "true", int(options.get("chunk", 1000))
+        self.root, self.bare = options["path"], options.get("stat_only", "false") == "true"
 
     def partitions(self):
-        found = list(walk(self.root))
-        return [Chunk(found[i : i + self.size]) for i in range(0, len(found), self.size)] or [Chunk([])]
+        listed, level = [], [""]
+        for depth in range(LISTED_DEPTH + 1):
+            deep = depth == LISTED_DEPTH
+            listed += [(d, deep) for d in level]
+            level = [] if deep else [f"{d}/{n}" if d else n for d in level for n in self._inner(d)]
+        return [Directories(listed[i : i + LISTED]) for i in range(0, len(listed), LISTED)]
+
+    def _inner(self, below: str) -> list[str]:
+        try:
+            return _entries(self.root, below)[0]
+        except OSError:
+            if not below:
+                raise
+            return []
 
     def read(self, partition):
-        for kind, path in partition.paths:
-            full = os.path.join(self.root, path)
+        for below, deep in partition.listed:
+            for kind, path in walk(self.root, below, deep):
+                yield self._row(kind, path)
+
+    def _row(self, kind: str, path: str) -> tuple:
+        try:
             if kind == "unreadable":
-                yield path, None, None, None, kind
-                continue
-            try:
-                info = os.lstat(full)
-                if not stat.S_ISREG(info.st_mode) or info.st_size > MAX_FILE:
-                    yield path, None, None, info.st_size, "unreadable"
-                    continue
-                content = None
-                if not self.bare:
-                    with open(full, "rb") as f:
-                        content = f.read(MAX_FILE + 1)
-                yield path, content, max(int(info.st_mtime * 1000), 0), info.st_size, kind
-            except OSError:
-                yield path, None, None, None, "unreadable"
+                return path, None, None, None, kind
+            if self.bare:
+                folder, _, name = path.rpartition("/")
+                with opened(self.root, folder) as fd:
+                    info, content = os.stat(name, dir_fd=fd, follow_symlinks=False), None
+                if info.st_size > MAX_FILE:
+                    return path, None, None, info.st_size, "unreadable"
+            else:
+                info, content = contained(self.root, path)
+            return path, content, max(int(info.st_mtime * 1000), 0), info.st_size, kind
+        except (OSError, ValueError):
+            return path, None, None, None, "unreadable"
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    log: str
+
+
+class Writer(DataSourceWriter):
+    """Publishes rows (rel_path, content, replace); a task that runs again finds its own files and says the same."""
+
+    def __init__(self, options):
+        self.root, self.log, self.began = options["path"], options["log"], float(options["began"])
+
+    def write(self, iterator):
+        name = f"{self.log}/{uuid.uuid4().hex}.json"
+        with open(name, "w", encoding="utf-8") as log:
+            for row in iterator:
+                outcome = publish(self.root, row["rel_path"], bytes(row["content"]), row["replace"], self.began)
+                log.write(json.dumps({"rel_path": row["rel_path"], "outcome": outcome}) + "\n")
+        return Written(name)
+
+    def commit(self, messages):
+        """Logs of attempts that Spark gave up are left out."""
+        for m in messages:
+            if m is not None:
+                os.rename(m.log, m.log.removesuffix(".json") + "-done.json")
 
 
 class Corpus(DataSource):
@@ -84,6 +173,9 @@ class Corpus(DataSource):
     def reader(self, schema):
         return Reader(self.options)
 
+    def writer(self, schema, overwrite):
+        return Writer(self.options)
+
 
 def read(spark: SparkSession, root: str, stat_only: bool = False) -> DataFrame:
     spark.dataSource.register(Corpus)
@@ -101,34 +193,63 @@ def safe_path(path: str) -> bool:
     return not path.startswith("/") and "\\" not in path and all(p not in ("", ".", "..") for p in parts)
 
 
-def write(records: DataFrame, root: str) -> DataFrame:
-    """Publish (rel_path, content) under ``root``: each file whole or not at all, never over another one.
+def publish(root: str, path: str, content: bytes, replace: bool = False, began: float | None = None) -> str:
+    """Put one file under ``root``, whole or not at all: published, replaced, or exists where another one was there.
 
-    Gives (rel_path, outcome): published, or exists where a file was there. Run by the executors.
+    A file with the same bytes that came since ``began`` is this call's own, made by an earlier attempt.
     """
+    if not safe_path(path):
+        raise ValueError(f"not a path inside the corpus: {path}")
+    folder, _, name = path.rpartition("/")
+    part = f".{name}.{uuid.uuid4().hex}.tmp"
+    with opened(root, folder, create=True) as fd:
+        with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW, 0o600, dir_fd=fd), "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            if replace:
+                os.replace(part, name, src_dir_fd=fd, dst_dir_fd=fd)
+                return "replaced"
+            os.link(part, name, src_dir_fd=fd, dst_dir_fd=fd, follow_symlinks=False)
+            return "published"
+        except FileExistsError:
+            try:
+                info, there = contained(root, path)
+            except (OSError, ValueError):
+                return "exists"
+            return "published" if began is not None and info.st_mtime >= began and there == content else "exists"
+        finally:
+            with suppress(FileNotFoundError):  # a replaced one has its new name
+                os.unlink(part, dir_fd=fd)
+            os.fsync(fd)
 
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["rel_path"], batch["content"]):
-                if not safe_path(path):
-                    raise ValueError(f"not a path inside the corpus: {path}")
-                full = os.path.join(root, path)
-                os.makedirs(os.path.dirname(full), mode=0o700, exist_ok=True)
-                part = f"{full}.{os.getpid()}.tmp"
-                with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "wb") as f:
-                    f.write(content.encode() if isinstance(content, str) else bytes(content))
-                    f.flush()
-                    os.fsync(f.fileno())
-                try:
-                    os.link(part, full)
-                    out.append("published")
-                except FileExistsError:
-                    out.append("exists")
-                finally:
-                    os.unlink(part)
-            yield pd.DataFrame({"rel_path": batch["rel_path"], "outcome": out})
 
-    return records.select("rel_path", "content").mapInPandas(run, "rel_path string, outcome string")
+def write(records: DataFrame, root: str) -> DataFrame:
+    """Publish (rel_path, content) under ``root`` now; where a column ``replace`` is true, over what is there.
+
+    Gives (rel_path, outcome): published, replaced, or exists where another file was there.
+    """
+    spark = records.sparkSession
+    spark.dataSource.register(Corpus)
+    os.makedirs(root, 0o700, exist_ok=True)
+    log = os.path.join(root, f".outcomes-{uuid.uuid4().hex}")
+    os.mkdir(log, 0o700)
+    replace = F.col("replace") if "replace" in records.columns else F.lit(False)
+    rows = records.select("rel_path", F.col("content").cast("binary").alias("content"), F.coalesce(replace, F.lit(False)).alias("replace"))
+    try:
+        rows.write.format("corpus").mode("append").option("log", log).option("began", str(time.time() - 1)).save(root)
+        done = spark.read.schema("rel_path string, outcome string").option("pathGlobFilter", "*-done.json").json(log)
+        return checkpointed(done)
+    finally:
+        for name in os.listdir(log):
+            os.unlink(os.path.join(log, name))
+        os.rmdir(log)
+
+
+def in_shared_directory(root: str) -> bool:
+    """Whether others may write where ``root`` lies or would be made: into its nearest directory above that exists."""
+    above = os.path.dirname(os.path.abspath(root))
+    while not os.path.isdir(above) and above != os.path.dirname(above):
+        above = os.path.dirname(above)
+    return os.path.isdir(above) and bool(os.stat(above).st_mode & 0o022)

@@ -69,6 +69,17 @@ def removed(found: dict[str, list[str]], term: str, value: str | None = None) ->
     return {k: (rest if k == key else v) for k, v in found.items() if k != key or rest}
 
 
+def save(path: str, found: dict[str, list[str]]) -> None:
+    """Write the thesaurus whole or not at all; no other user can read it."""
+    part = f"{path}.{os.getpid()}.tmp"
+    with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        json.dump(found, f, ensure_ascii=False, indent=2)
+        f.write("\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
+
+
 def log_weak(path: str, ts: str, query: str, terms: list[str], best: float, top: str | None) -> bool:
     """Append one line unless the log is full."""
     line = json.dumps({"ts": ts, "query": query, "terms": terms, "best": best, "top": top}, ensure_ascii=False) + "\n"

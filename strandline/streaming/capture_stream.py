@@ -16,7 +16,11 @@ OUT = "episode_id string, seq long, payload_digest string, outcome string"
 
 
 class Publication(StatefulProcessor):
-    """First delivery wins; equal ones are duplicates, strict extensions replace it, others conflict."""
+    """First delivery wins; equal ones are duplicates, strict extensions replace it, others conflict.
+
+    The rows of a turn in one micro-batch come in several pieces, in any order: all are put in order before
+    the first is judged. Texts are held once for each digest, however often a delivery is repeated.
+    """
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("turn", "digest string, covered string, result string, tools string")
@@ -26,10 +30,18 @@ class Publication(StatefulProcessor):
         if self.state.exists():
             digest, covered, result, tools = self.state.get()
             turn.digest, turn.covered, turn.result, turn.tools = digest, (covered,), result, json.loads(tools)
+        order: list[tuple[int, str]] = []
+        texts: dict[str, tuple] = {}
         for pdf in rows:
-            pdf = pdf.sort_values("seq")
-            out = [turn.deliver(d, (c,), a, json.loads(t)) for d, c, a, t in zip(pdf["payload_digest"], pdf["covered"], pdf["assistant_result"], pdf["tools"])]
-            yield pd.DataFrame({"episode_id": key[0], "seq": pdf["seq"], "payload_digest": pdf["payload_digest"], "outcome": out})
+            order += zip(pdf["seq"].tolist(), pdf["payload_digest"])
+            for d, c, a, t in zip(pdf["payload_digest"], pdf["covered"], pdf["assistant_result"], pdf["tools"]):
+                if d not in texts:
+                    texts[d] = (c,), a, json.loads(t)
+        order.sort()
+        for at in range(0, len(order), 10_000):
+            part = order[at : at + 10_000]
+            out = [turn.deliver(d, *texts[d]) for _, d in part]
+            yield pd.DataFrame({"episode_id": key[0], "seq": [n for n, _ in part], "payload_digest": [d for _, d in part], "outcome": out})
         if turn.digest is not None:
             self.state.update((turn.digest, turn.covered[0], turn.result, json.dumps(turn.tools)))
 

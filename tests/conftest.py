@@ -4,6 +4,8 @@ import tempfile
 
 import pytest
 
+# Projections of folders that name none lie below this one.
+os.environ["XDG_STATE_HOME"] = tempfile.mkdtemp(prefix="spark-")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
