@@ -652,7 +652,7 @@ def retrieval_metrics(spark, d):
     return found.withColumn("mrr_at_10", F.round("mrr_at_10", 9)).withColumn("best_negative_score", F.round("best_negative_score", 6))
 
 
-_EVENTS = "SELECT user_id, event_type, epoch_ms(ts) AS t, lag(event_type) OVER w AS kind_before, lag(epoch_ms(ts)) OVER w AS t_before, props, lag(props) OVER w AS props_before FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type DESC)"
+_EVENTS = "SELECT user_id, event_type, epoch_us(ts) // 1000 AS t, lag(event_type) OVER w AS kind_before, lag(epoch_us(ts) // 1000) OVER w AS t_before, props, lag(props) OVER w AS props_before FROM events WHERE event_type IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type DESC)"
 
 
 @query(f"SELECT concat('user-', user_id) AS session_id, t_before AS event_time_ms, props_before AS user_content, props AS assistant_result FROM ({_EVENTS}) WHERE event_type = 'purchase' AND kind_before = 'signup' AND t - t_before <= 172800000")
@@ -661,7 +661,7 @@ def prompt_stop_pairs(spark, d):
     e = views.table(spark, d, "events").filter("event_type IN ('signup', 'purchase')")
     kind = F.when(F.col("event_type") == "signup", "prompt").otherwise("stop")
     session = F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("session_id")
-    seen = e.select(session, F.lit("t").alias("turn_id"), kind.alias("kind"), F.unix_millis("ts").alias("time_ms"), F.col("props").alias("text"))
+    seen = e.select(session, F.lit("t").alias("turn_id"), kind.alias("kind"), F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("time_ms"), F.col("props").alias("text"))
     return prompts.paired(seen).drop("turn_id")
 
 
