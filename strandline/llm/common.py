@@ -37,6 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    # Workers are used again by other stages: give back what the batches took.
+    pa.default_memory_pool().release_unused()
 
 
 def widened(schema: StructType, *more: tuple[str, str]) -> StructType:

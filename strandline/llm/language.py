@@ -26,6 +26,8 @@ LEAST = 2
 PENALTY = 7.0
 #: Unknown words whose n-grams a worker keeps, at most; beyond, they are looked up anew.
 UNKNOWN_KEPT = 100_000
+#: Counts that a task holds while it learns; beyond, it hands them on.
+COUNTED = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -154,16 +156,23 @@ def learn(docs: DataFrame, train: Column | None = None, sample_rows: int = SAMPL
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
-        for batch in slices(batches):
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang in list(seen):
+                c = seen.pop(lang)
+                if c:
+                    kinds, grams = zip(*c)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([place[lang]] * len(c), pa.int32()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()), pa.array(list(c.values()), pa.int64())],
+                        names=["lang", "kind", "gram", "n"],
+                    )
+
+        for batch in slices(batches, 8 << 20):
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 seen[lang].update(_grams(text))
-        for lang, c in seen.items():
-            if c:
-                kinds, grams = zip(*c)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([place[lang]] * len(c), pa.int32()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()), pa.array(list(c.values()), pa.int64())],
-                    names=["lang", "kind", "gram", "n"],
-                )
+            if sum(map(len, seen.values())) > COUNTED:
+                yield from rows()
+        yield from rows()
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang int, kind int, gram string, n long")
     each = counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
@@ -186,7 +195,7 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 8 << 20):
             found = [own.predict(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -198,9 +207,15 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
 
 def recognised(docs: DataFrame, model: Languages) -> DataFrame:
     """The rows of ``docs`` whose text has letters and evidence for some language, columns unchanged."""
-    plain = identify(docs.select("text", F.struct(*docs.columns).alias("row")), model)
-    kept = plain.filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
-    return kept.select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, 8 << 20):
+            # A score above zero goes to a language alone, never to ``und``.
+            yield batch.filter(pa.array([own.predict(t)[1] > 0 for t in texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language(spark, sf_dir):
