@@ -173,14 +173,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, le
     bench = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > worker_bytes:
-        keyed = docs.select(F.xxhash64(docs[text_col]).alias("k"), docs[text_col].alias("text"))
+        # 128 bits of the text, so that no clean one goes with a text that it isn't.
+        key = F.concat_ws(" ", F.xxhash64(docs[text_col]).cast("string"), F.xxhash64(F.lit("text"), docs[text_col]).cast("string"))
+        keyed = docs.select(key.alias("k"), docs[text_col].alias("text"))
         bad = contaminated(keyed, bench, threshold, least, worker_bytes, "k").select("doc_id").distinct()
-        return docs.join(bad, F.xxhash64(docs[text_col]) == bad["doc_id"], "left_anti")
+        return docs.join(bad, key == bad["doc_id"], "left_anti")
     rows = [(r[0], r[1]) for r in bench.collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Benchmark(rows, least)
-        for batch in slices(batches):
+        for batch in slices(batches, 8 << 20):
             listed = map(tokens, texts(batch, text_col))
             good = [not any(coverage(known.items[i], doc, least) >= threshold for i in known.near(doc, threshold)) for doc in listed]
             yield batch.filter(pa.array(good, pa.bool_()))
@@ -191,7 +193,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, le
 def _pairs(rows: list[tuple[int, str]], least: int, threshold: float, id_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(rows, least)
-        for batch in slices(batches):
+        for batch in slices(batches, 8 << 20):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 doc = tokens(text)
@@ -272,7 +274,7 @@ def contaminated(
     texts_of = keyed.select("k", "text", "doc_id").join(shared, "k").join(bench.withColumnRenamed("text", "item"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 8 << 20):
             items, docs_ = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             share = [coverage(tokens(i), tokens(d), least) for i, d in zip(items, docs_)]
             n = pa.array([len(tokens(i)) for i in items], pa.int64())
