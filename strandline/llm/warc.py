@@ -134,20 +134,23 @@ def records(chunks: Iterator[bytes], with_payload: bool = True) -> Iterator[dict
         }
 
 
-def with_referrals(pages: DataFrame) -> DataFrame:
+def with_referrals(pages: DataFrame, salts: int = 16) -> DataFrame:
     """page_id, url, html, payload_digest, refers_to.
 
     Of pages with equal payloads of at least ``SMALL`` bytes, the one with the largest page_id is
     stored and the others refer to it. A null html is an empty payload. Rows that repeat the largest
     page_id are all stored; null page_ids refer to any other, and are stored where there is none. The
-    join carries ids and digests only, and Spark splits the partition of a hot digest; pages are
-    joined by the page's own id.
+    join carries ids and digests only, and deals the pages of a digest over ``salts`` tasks; pages are
+    joined by the page's own id. An empty table gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("payload_digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
     big = pages.filter(F.octet_length("html") >= SMALL).select("page_id", "payload_digest")
     target = big.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
+    # A payload may stand on a large share of all pages.
+    target = target.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     refer = (
-        big.join(target.drop("n"), "payload_digest")
+        big.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+        .join(target, ["payload_digest", "salt"])
         .filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
         .distinct()
         .select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "refers_to")
