@@ -77,3 +77,24 @@ def paired_stream(events: DataFrame, wait_ms: int = WAIT_MS, forget: bool = True
     """
     seen = events.filter(counts(F.col("kind"), F.col("text"))).select("session_id", "turn_id", "kind", F.col("time_ms").cast("long"), "text")
     return seen.groupBy("session_id", "turn_id").transformWithStateInPandas(Waiting(wait_ms, forget), PAIR, "Append", "ProcessingTime" if forget else "None")
+
+
+# How long a turn must look the same before it counts as whole, and how long one looks.
+QUIET_MS, LOOK_MS = 150, 2000
+
+
+def settled(observed: DataFrame, quiet_ms: int = QUIET_MS, look_ms: int = LOOK_MS) -> DataFrame:
+    """(session_id, turn_id, seen_ms, payload) of turns that have come to rest, at the first look that shows it.
+
+    ``observed`` has a row for each look: session_id, turn_id, seen_ms and what was there, null where the
+    turn wasn't complete. A payload counts once it has stayed the same for ``quiet_ms``; looks that come
+    later than ``look_ms`` after a turn's first one are too late.
+    """
+    turn = Window.partitionBy("session_id", "turn_id")
+    by = turn.orderBy("seen_ms", "payload")
+    changed = ~F.col("payload").eqNullSafe(F.lag("payload").over(by))
+    runs = observed.withColumn("run", F.sum(changed.cast("long")).over(by)).withColumn("first", F.min("seen_ms").over(turn))
+    since = F.min("seen_ms").over(Window.partitionBy("session_id", "turn_id", "run"))
+    calm = runs.withColumn("since", since).filter(F.col("payload").isNotNull() & (F.col("seen_ms") - F.col("since") >= quiet_ms) & (F.col("seen_ms") - F.col("first") <= look_ms))
+    first = calm.groupBy("session_id", "turn_id").agg(F.min(F.struct("seen_ms", "payload")).alias("hit"))
+    return first.select("session_id", "turn_id", "hit.seen_ms", "hit.payload")

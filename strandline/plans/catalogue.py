@@ -665,6 +665,21 @@ def prompt_stop_pairs(spark, d):
     return prompts.paired(seen).drop("turn_id")
 
 
+@query(
+    """WITH o AS (SELECT user_id, epoch_us(ts) // 1000 AS t, nullif(event_type, 'error') AS payload FROM events),
+c AS (SELECT *, CASE WHEN payload IS DISTINCT FROM lag(payload) OVER w THEN 1 ELSE 0 END AS changed, row_number() OVER w AS rn FROM o WINDOW w AS (PARTITION BY user_id ORDER BY t, payload)),
+r AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY rn) AS run, min(t) OVER (PARTITION BY user_id) AS first FROM c),
+s AS (SELECT *, min(t) OVER (PARTITION BY user_id, run) AS since FROM r)
+SELECT concat('user-', user_id) AS session_id, min(t) AS seen_ms, arg_min(payload, t) AS payload FROM s WHERE payload IS NOT NULL AND t - since >= 3600000 AND t - first <= 864000000 GROUP BY user_id"""
+)
+def settled_turns(spark, d):
+    """Each user's events as looks at a turn: the first type that stays for an hour, within ten days; errors are no answer."""
+    e = views.table(spark, d, "events")
+    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("seen_ms")
+    looks = e.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("session_id"), F.lit("t").alias("turn_id"), ms, F.nullif("event_type", F.lit("error")).alias("payload"))
+    return prompts.settled(looks, 3_600_000, 864_000_000).drop("turn_id")
+
+
 @query(
     """WITH m AS (SELECT translate(trim(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS query, unnest([role, 'conv']) AS term, conv_id, turn FROM conversations)
 SELECT query, count(DISTINCT (conv_id, turn)) AS count, list_sort(list_distinct(list(term))) AS terms FROM m WHERE query <> '' GROUP BY query ORDER BY count DESC, query LIMIT 20"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import __main__ as cli
 from strandline.functions import identity, text
-from strandline.operators import analytics, assemble, capture, engine, evaluation, projection, prompts, reports, retrieval, sessions, store, verify
+from strandline.operators import analytics, assemble, capture, engine, evaluation, projection, prompts, reports, retrieval, sessions, store, transcripts, verify
 from strandline.sources import corpus
 from tests.test_records import BASE, parsed, stored
 
@@ -336,3 +336,42 @@ def test_digest_probe(spark, files):
     assert probed.join(good, "rel_path").filter("d <> recorded_digest").count() == 0
     odd = spark.createDataFrame([("x",), ("---\na: b\n---\npayload_digest: sha256:" + "0" * 64,)], "content string")
     assert [r[0] for r in odd.select(verify.digest_probe(F.col("content"))).collect()] == [None, None]
+
+
+def test_turns_come_to_rest(spark):
+    rows = [("s", "a", t, p) for t, p in ((0, None), (50, "x"), (100, "x"), (150, "xy"), (250, "xy"), (300, "xy"), (400, "xy"), (900, "z"))]
+    rows += [("s", "b", t, p) for t, p in ((0, "x"), (100, None), (200, "x"), (340, "x"))] + [("s", "c", t, "late") for t in (0, 2100)]
+    looks = spark.createDataFrame(rows, "session_id string, turn_id string, seen_ms long, payload string")
+    assert [tuple(r) for r in prompts.settled(looks).collect()] == [("s", "a", 300, "xy")]
+    assert {r.turn_id for r in prompts.settled(looks, look_ms=5000).collect()} == {"a", "c"}
+
+
+def test_completed_turns_stated_again(spark):
+    """What a transcript's turns are, by a plain loop over its entries."""
+    rng = random.Random(8)
+
+    def line(kind):
+        text = rng.choice(["ask me", "hi", "say it", "<system-reminder>x</system-reminder> go on", "<command-name>/do</command-name><command-args>it now</command-args>"])
+        if kind == "user":
+            return {"type": "user", "uuid": str(rng.random()), "message": {"content": text}}
+        if kind == "result":
+            return {"type": "user", "message": {"content": [{"type": "tool_result"}]}}
+        blocks = [{"type": "text", "text": rng.choice(["done", "and so", " "])}] + [{"type": "tool_use", "name": rng.choice(["read", "write", "no good"])}] * rng.randint(0, 2)
+        return {"type": "assistant", "isSidechain": rng.random() < 0.2, "message": {"content": blocks, "stop_reason": rng.choice(["end_turn", "tool_use"])}}
+
+    logs = {f"s{k}": [line(rng.choice(["user", "result", "assistant", "assistant"])) for _ in range(rng.randint(0, 14))] for k in range(25)}
+    want = []
+    for name, log in logs.items():
+        turns_ = []
+        for o in log:
+            e = transcripts.entry(json.dumps(o))
+            if e["kind"] in ("owner", "envelope"):
+                turns_.append({"user": e["text"], "said": [], "tools": [], "id": e["uuid"]})
+            elif e["kind"] == "assistant" and turns_:
+                turns_[-1]["said"] += [e["text"]] * e["terminal"]
+                turns_[-1]["tools"] = list(dict.fromkeys([*turns_[-1]["tools"], *(t for t in e["tools"] if " " not in t)]))
+        want += [(name, t["user"], "\n\n".join(t["said"]), tuple(t["tools"]), t["id"]) for t in turns_ if len(t["user"]) >= 3 and t["said"]]
+    rows = [(name, i, json.dumps(o)) for name, log in logs.items() for i, o in enumerate(log)]
+    found = transcripts.completed_turns(transcripts.entries(spark.createDataFrame(rows, "session string, line_no long, value string")))
+    got = [(r.session, r.user_content, r.assistant_result, tuple(r.tools), r.turn_id) for r in found.collect()]
+    assert sorted(got) == sorted(want) and len(want) > 10
