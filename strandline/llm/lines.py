@@ -111,11 +111,13 @@ def drop_boilerplate(
         .groupBy("k1", "k2")
         .agg(F.collect_set("pos").alias("gone"))
     )
-    k1, k2, taken = (unused(n, docs.columns) for n in ("_row1", "_row2", "_gone"))
+    k1, k2, taken, cut = (unused(n, docs.columns) for n in ("_row1", "_row2", "_gone", "_lines"))
     keys = dict(zip((k1, k2), _row_key(docs, id_col, text_col)))
     kept = docs.withColumns(keys).drop(n_lines, n_removed)
     kept = kept.join(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(taken)), [k1, k2], "left")
-    lines = F.split(F.col(text_col), "\n")
+    # A column of its own: inside a lambda the text would be split anew for every line.
+    kept = kept.withColumn(cut, F.split(F.col(text_col), "\n"))
+    lines = F.col(cut)
     # Positions that stay, in order; the exception looks them up by hash, however many lines there are.
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(taken))
     rest = F.transform(rest, lambda i: F.get(lines, i))
