@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices, table, texts
+from .common import crc_remainder, slices, spread, table, texts
 
 #: Words per n-gram, the weight of shorter histories, and the bytes of text that a block should hold.
 ORDER, WEIGHT, BLOCK_BYTES = 3, 20.0, 8 << 20
@@ -353,6 +353,6 @@ def score(docs: DataFrame, train, order: int = ORDER, weight: float = WEIGHT, bl
 
 def op8_language_model(spark, sf_dir):
     """Every document under the model of those whose remainder modulo 7 is not 2."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held = crc_remainder(docs["doc_id"], 7) == 2
     return score(docs, ~held).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
