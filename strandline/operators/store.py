@@ -192,9 +192,9 @@ def freshness(files: DataFrame, store: Store) -> dict:
 
     Files that a sync left out on purpose (ill-formed ones and further copies) don't make it stale.
     """
-    meta = store.meta() or {"skipped": 0, "duplicates": 0, "unreadable": 0}
-    report = projection.freshness(files, store.stored_hashes(), 0).first().asDict()
-    status = projection.sync_report(files, store.stored_hashes()).first().asDict()
-    aside = meta["skipped"] + meta["duplicates"]
-    current = status["edited"] == 0 and status["vanished"] == 0 and status["new"] == aside and not meta["unreadable"] and store.meta() is not None
-    return report | status | {"excluded": aside, "freshness": "current" if current else "stale", "matches": current}
+    meta = store.meta()
+    found = projection.sync_report(files, store.stored_hashes()).first().asDict()
+    aside = meta["skipped"] + meta["duplicates"] if meta else 0
+    current = meta is not None and not meta["unreadable"] and not found["edited"] and not found["vanished"] and found["new"] == aside
+    seen = {"source": found["unchanged"] + found["new"] + found["edited"], "indexed": found["unchanged"] + found["edited"] + found["vanished"], "excluded": aside}
+    return found | seen | {"matches": current, "freshness": "current" if current else "stale"}
