@@ -207,11 +207,6 @@ class PrefixBpe:
             out += chain.from_iterable(found)
         return out
 
-    def forget(self) -> None:
-        """Let go of the words, which a worker would else hold while it does other work."""
-        for kept in (self.young, self.old, self.words, self.words_before):
-            kept.clear()
-
     def pieces_of(self, run: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.kept, self.split.findall(run))))
 
@@ -230,7 +225,7 @@ class PrefixBpe:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PrefixBpe:
-    """One encoder per worker and file."""
+    """One encoder per task and file."""
     return PrefixBpe(path)
 
 
@@ -251,7 +246,7 @@ def encode(docs: DataFrame, text_col: str = "text", name: str = "byte_bpe_50k.js
         for batch in slices(batches, 8 << 20):
             ids = [bpe.encode(t) for t in texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "token_ids"])
-        bpe.forget()
+        encoder.cache_clear()  # a worker would else hold it while it does other work
 
     docs = docs.drop("token_ids")
     return docs.mapInArrow(run, widened(docs.schema, ("token_ids", "array<int>")))
@@ -275,7 +270,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.forget()
+        encoder.cache_clear()  # a worker would else hold it while it does other work
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
