@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, language_model, lines, media, quality, simhash, tiling, toxicity, warc
+from . import bpe, language, language_model, lines, media, minhash, quality, simhash, tiling, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_language_model": language_model.op8_language_model,
         "op9_simhash": simhash.op9_simhash,
         "op10_decontaminate": tiling.op10_decontaminate,
+        "op11_minhash": minhash.op11_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL}
+    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL, "op11_minhash": minhash.SQL}
