@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, language_model, lines, media, minhash, quality, simhash, tiling, toxicity, warc
+from . import bpe, dialogue, language, language_model, lines, media, minhash, quality, simhash, tiling, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_decontaminate": tiling.op10_decontaminate,
         "op11_minhash": minhash.op11_minhash,
+        "op12_repair": dialogue.op12_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL, "op11_minhash": minhash.SQL}
+    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL, "op11_minhash": minhash.SQL, "op12_repair": dialogue.SQL}
