@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dialogue, language, language_model, lines, media, minhash, quality, simhash, tiling, toxicity, warc
+from . import bpe, dialogue, language, language_model, lines, media, minhash, prefixes, quality, simhash, tiling, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_decontaminate": tiling.op10_decontaminate,
         "op11_minhash": minhash.op11_minhash,
         "op12_repair": dialogue.op12_repair,
+        "op13_prefixes": prefixes.op13_prefixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL, "op11_minhash": minhash.SQL, "op12_repair": dialogue.SQL}
+    return {"op3_warc": warc.SQL, "op7_line_dedup": lines.SQL, "op11_minhash": minhash.SQL, "op12_repair": dialogue.SQL, "op13_prefixes": prefixes.SQL}
