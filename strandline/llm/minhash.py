@@ -7,9 +7,11 @@ are filled, since later layers can only give larger values; sets of many element
 
 Equal sets are one node. Nodes that agree on the four slots of a band meet in a bucket. A bucket first
 gives a spanning forest of its nodes by estimated similarity, whose edges are verified on full sets and
-joined; then only pairs of different components are left, and of these every one whose estimate is above
-``CUTOFF`` is verified. A pair of similarity 0.8 shares no band with a probability of 5e-8, and is
-estimated below the cutoff with one of 1e-8. Buckets of many nodes are dealt out in blocks.
+joined. Then only pairs of different components are left. Components with a pair in some bucket whose
+estimate is above ``CUTOFF`` make a family, told by a spanning forest again, and in each family all pairs
+of different components are held against each other on full sets. A pair of similarity 0.8 shares no band
+with a probability of 5e-8, and is estimated below the cutoff with one of 1e-8. Large buckets and families
+are dealt out in blocks, and what leaves a task grows with the nodes, never with their pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BANDS = SLOTS // ROWS
 CUTOFF = 0.6
 #: A bucket of more nodes is dealt out in blocks of about so many (an exact step; nothing is left out).
 GROUP_ROWS = 1024
+#: A family of more elements is dealt out in blocks of about so many.
+GROUP_ELEMENTS = 1 << 18
 #: Elements whose permutations are held at once.
 AT_ONCE = 1 << 17
 #: Partners of a node that one task reads against its set.
@@ -159,96 +163,148 @@ def _forest(sig: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _across(sig: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, inner: bool) -> list[tuple[int, int]]:
-    """All pairs of rows of different components above the cutoff: of the two sides, or of one alone (``inner``)."""
-    out = []
-    for i in range(len(sig)) if inner else np.flatnonzero(side):
-        others = np.arange(i + 1, len(sig)) if inner else np.flatnonzero(~side)
-        others = others[comp[others] != comp[i]]
-        out += [(int(i), int(j)) for j in others[_alike(sig, sizes, i, others) >= CUTOFF]]
+def _bridges(sig: np.ndarray, sizes: np.ndarray, comp: np.ndarray, block: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Pairs of rows of the two blocks above the cutoff that span all components that such pairs connect."""
+    names, at = np.unique(comp, return_inverse=True)
+    forest, out = Forest(len(names)), []
+    roots = np.arange(len(names))
+    for i in np.flatnonzero(block == hi):
+        others = np.flatnonzero(block == lo)
+        if lo == hi:
+            others = others[others > i]
+        others = others[roots[at[others]] != roots[at[i]]]
+        if not len(others):
+            continue
+        joined = False
+        for j in others[_alike(sig, sizes, i, others) >= CUTOFF].tolist():
+            if forest.join(int(at[i]), int(at[j])):
+                out.append((int(i), j))
+                joined = True
+        if joined:
+            roots = np.array([forest.root(k) for k in range(len(names))])
     return out
 
 
-def _pairs(groups: DataFrame, rest: bool) -> DataFrame:
-    """Distinct (a, b) to verify, of groups with lists of (node, n, sig, comp, block) and the group's own blocks lo and hi."""
+def _across(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Linked pairs of rows of the two blocks that join all components that such pairs link."""
+    size = np.array([len(s) for s in sets])
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.append(0, np.cumsum(size))
+    names, at = np.unique(comp, return_inverse=True)
+    forest, out = Forest(len(names)), []
+    others = np.flatnonzero(block == lo)
+    flat = np.concatenate([element[start[j] : start[j + 1]] for j in others])
+    first = np.append(0, np.cumsum(size[others])[:-1])
+    mark = np.zeros(int(element.max()) + 1, np.int32)
+    for i in np.flatnonzero(block == hi):
+        own = element[start[i] : start[i + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat], first)
+        mark[own] = 0
+        near = (100 * both >= PERCENT * (size[i] + size[others] - both)) & (comp[others] != comp[i])
+        out += [(int(i), int(j)) for j in others[near] if forest.join(int(at[i]), int(at[j]))]
+    return out
+
+
+def _in_groups(groups: DataFrame, key: str, cell: str, found) -> DataFrame:
+    """(a, b): the nodes of the pairs that ``found`` gives of each group.
+
+    ``groups`` has a row (key, lo, hi, node, n, comp, block, cell) for each node; a group is one of a key's
+    pairs of blocks. ``found`` gets arrays of n, comp, block and the cells, and lo and hi.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             left, right = [], []
             for lo, hi, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                got = rows.values
-                node, sizes, comp, block = (got.field(f).to_numpy() for f in ("node", "n", "comp", "block"))
-                sig = np.frombuffer(b"".join(got.field("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-                order = np.argsort(node)
-                node, sizes, comp, block, sig = node[order], sizes[order], comp[order], block[order], sig[order]
-                for i, j in _across(sig, sizes, comp, block == lo, lo == hi) if rest else _forest(sig, sizes):
+                order = np.argsort(rows.values.field("node").to_numpy())
+                node, n, comp, block = (rows.values.field(f).to_numpy()[order] for f in ("node", "n", "comp", "block"))
+                cells = rows.values.field(cell).to_pylist()
+                for i, j in found(n, comp, block, [cells[k] for k in order], lo, hi):
                     left.append(min(node[i], node[j]))
                     right.append(max(node[i], node[j]))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    row = F.struct("node", "n", "sig", "comp", "block")
-    lists = groups.groupBy("bucket", "lo", "hi").agg(F.collect_list(row).alias("rows")).filter(F.size("rows") > 1)
+    lists = groups.groupBy(key, "lo", "hi").agg(F.collect_list(F.struct("node", "n", "comp", "block", cell)).alias("rows")).filter(F.size("rows") > 1)
     return lists.select("lo", "hi", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def _salted(rows: DataFrame, keys: DataFrame, salts: int) -> DataFrame:
-    """``rows`` (bucket, node) with the columns of ``keys`` by bucket, the rows of a large bucket over several tasks."""
+def _matrix(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint16).reshape(-1, SLOTS)
+
+
+def _salted(rows: DataFrame, keys: DataFrame, key: str, salts: int) -> DataFrame:
+    """``rows`` (key, node) with the columns of ``keys``, the rows of a large key over several tasks."""
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
-    return dealt.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["bucket", "salt"]).drop("salt")
+    return dealt.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"]).drop("salt")
 
 
 def _first_pairs(buckets: DataFrame, nodes: DataFrame, group_rows: int, salts: int) -> DataFrame:
     """The forests of all buckets. The blocks of a large one have its first node in common, which links them."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("node").alias("head"))
     many = F.ceil(F.col("rows") / group_rows).cast("int")
-    dealt = _salted(buckets, sizes.select("bucket", "head", many.alias("blocks")), salts)
+    dealt = _salted(buckets, sizes.select("bucket", "head", many.alias("blocks")), "bucket", salts)
     own = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")))
     placed = dealt.withColumn("block", F.explode(own)).select("bucket", "node", "block", F.col("block").alias("lo"), F.col("block").alias("hi"))
-    return _pairs(placed.join(nodes.select("node", "n", "sig", F.col("node").alias("comp")), "node"), False)
+    rows = placed.join(nodes.select("node", "n", "sig", F.col("node").alias("comp")), "node")
+    return _in_groups(rows, "bucket", "sig", lambda n, comp, block, cells, lo, hi: _forest(_matrix(cells), n))
 
 
-def _other_pairs(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, group_rows: int, salts: int) -> DataFrame:
-    """All pairs above the cutoff that meet in a bucket and are of different components.
+def _in_blocks(rows: DataFrame, key: str, size, most: int, salts: int) -> DataFrame:
+    """Rows (key, node, comp) of keys with several components, once for each pair (lo, hi) of blocks that they are in.
 
-    Blocks of a bucket's largest component don't meet one another, so what is dealt grows with the nodes
-    outside of it.
+    Blocks of a key's largest component don't meet one another, so what is dealt grows with the nodes
+    outside of it. A block has about ``most`` of ``size``.
     """
-    named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    each = named.groupBy("bucket", "comp").agg(F.count("*").alias("rows"))
-    sizes = each.groupBy("bucket").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).filter("comps > 1")
-    small = F.col("rows") <= group_rows
-    main, other = F.col("most.rows"), F.col("rows") - F.col("most.rows")
+    each = rows.groupBy(key, "comp").agg(F.sum(size).alias("size"))
+    sizes = each.groupBy(key).agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    small, main = F.col("size") <= most, F.col("most.size")
     keys = sizes.select(
-        "bucket",
+        key,
         F.when(small, F.lit(None)).otherwise(F.col("most.comp")).alias("giant"),
-        F.when(small, 0).otherwise(F.ceil(main / group_rows)).cast("int").alias("first"),
-        F.when(small, 1).otherwise(F.ceil(other / group_rows)).cast("int").alias("second"),
+        F.when(small, 0).otherwise(F.ceil(main / most)).cast("int").alias("first"),
+        F.when(small, 1).otherwise(F.ceil((F.col("size") - main) / most)).cast("int").alias("second"),
     )
-    dealt = _salted(named, keys, salts)
+    dealt = _salted(rows, keys, key, salts)
     in_giant = F.coalesce(F.col("comp") == F.col("giant"), F.lit(False))
     at = F.xxhash64("node", F.lit("block"))
     block = F.when(in_giant, F.pmod(at, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(at, F.col("second"))).cast("int")
     meets = F.sequence(F.when(in_giant, F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("second") - 1)
     placed = dealt.withColumn("block", block).withColumn("with", F.explode(meets))
-    placed = placed.select("bucket", "node", "comp", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-    return _pairs(placed.join(nodes.select("node", "n", "sig"), "node"), True)
+    return placed.select(key, "node", "comp", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+
 
+def _families(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, group_rows: int, salts: int) -> DataFrame | None:
+    """(node, comp, family) of all nodes whose component meets another one above the cutoff in some bucket; None if none does."""
+    named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = _in_blocks(named, "bucket", F.lit(1), group_rows, salts).join(nodes.select("node", "n", "sig"), "node")
+    met = _in_groups(rows, "bucket", "sig", lambda n, comp, block, cells, lo, hi: _bridges(_matrix(cells), n, comp, block, lo, hi))
+    met = checkpointed(met)
+    if met.isEmpty():
+        return None
+    every = checkpointed(nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    of = lambda name: every.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+    joined = components(met.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    return checkpointed(every.join(joined.select(F.col("id").alias("comp"), F.col("component").alias("family")), "comp"))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) among ``pairs`` whose full sets are similar enough.
 
-    Sets are made anew of the texts of nodes in any pair. The node with more partners is read first, once
-    for each ``PARTNERS`` of them, and its partners' sets are held against it one by one.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    degree = ends.groupBy("node").agg(F.count("*").alias("partners"))
-    wanted = nodes.join(degree, "node", "left_semi").select("node", "r1", "r2")
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set): the full sets of ``wanted`` (node, r1, r2), made anew of their texts."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), _packed([shingles(t).tobytes() for t in texts(batch)])], names=["node", "set"])
 
-    full = checkpointed(docs.join(wanted, ["r1", "r2"]).select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+    return checkpointed(docs.join(wanted, ["r1", "r2"]).select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The (a, b) among ``pairs`` whose sets in ``full`` are similar enough.
+
+    The node with more partners is read first, once for each ``PARTNERS`` of them, and its partners' sets
+    are held against it one by one.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("partners"))
     of = lambda name: degree.select(F.col("node").alias(name), F.col("partners").alias(f"{name}_partners"))
     counted = pairs.join(of("a"), "a").join(of("b"), "b")
     swap = F.col("b_partners") > F.col("a_partners")
@@ -283,19 +339,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def linked(nodes: DataFrame, docs: DataFrame, group_rows: int = GROUP_ROWS, salts: int = 16) -> DataFrame:
+def linked(nodes: DataFrame, docs: DataFrame, group_rows: int = GROUP_ROWS, salts: int = 16, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
     """(id, component) of the nodes that any link has."""
     buckets = checkpointed(_buckets(nodes))
     tried = checkpointed(_first_pairs(buckets, nodes, group_rows, salts))
-    links = checkpointed(_verified(tried, nodes, docs))
-    comps = components(links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
-    left = checkpointed(_other_pairs(buckets, nodes, comps, group_rows, salts).join(tried, ["a", "b"], "left_anti"))
-    if left.isEmpty():
-        return comps.select(F.col("node").alias("id"), F.col("comp").alias("component"))
-    return components(links.unionByName(_verified(left, nodes, docs)))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, salts: int = 16) -> DataFrame:
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    full = _sets(nodes.join(ends, "node", "left_semi").select("node", "r1", "r2"), docs)
+    links = checkpointed(_verified(tried, full))
+    comps = components(links)
+    families = _families(buckets, nodes, comps.select(F.col("id").alias("node"), F.col("component").alias("comp")), group_rows, salts)
+    if families is None:
+        return comps
+    # Nearly all of them have been in a pair already.
+    more = checkpointed(nodes.join(families, "node", "left_semi").join(full, "node", "left_anti").select("node", "r1", "r2"))
+    if not more.isEmpty():
+        full = full.unionByName(_sets(more, docs))
+    rows = _in_blocks(families.join(nodes.select("node", "n"), "node"), "family", F.col("n"), group_elements, salts)
+    rows = rows.join(full.withColumn("n", F.octet_length("set") / 8), "node")
+    arrays = lambda cells: [np.frombuffer(c, np.uint64) for c in cells]
+    found = _in_groups(rows, "family", "set", lambda n, comp, block, cells, lo, hi: _across(arrays(cells), comp, block, lo, hi))
+    return components(links.unionByName(found))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, salts: int = 16, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Two texts are linked where 100 times the common shingles are at least 80 times all of both. Texts
@@ -312,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = made.filter("n > 0").groupBy("n", "d1", "d2")
     nodes = same.agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.min(F.struct("r1", "r2")).alias("r"), F.first("sig").alias("sig"))
     nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "n", "d1", "d2", "id", "rows", "r.r1", "r.r2", "sig"))
-    comps = linked(nodes, docs, group_rows, salts)
+    comps = linked(nodes, docs, group_rows, salts, group_elements)
     named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
     company = named.filter(F.col("component").isNotNull() | (F.col("rows") > 1)).select("n", "d1", "d2", "c", "id")
     least = company.groupBy("c").agg(F.min("id").alias("component_id"))

@@ -70,12 +70,12 @@ def copies(rng, groups, each, words):
     return docs
 
 
-@pytest.mark.parametrize("group_rows", [1024, 6])
-def test_near_duplicates_equal_brute_force(spark, group_rows):
+@pytest.mark.parametrize("group_rows,group_elements", [(1024, 1 << 18), (6, 200)])
+def test_near_duplicates_equal_brute_force(spark, group_rows, group_elements):
     docs = copies(random.Random(4), 12, 12, 70)
     sets = plain_sets(docs)
     want = plain_components(sets)
-    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), group_rows=group_rows).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), group_rows=group_rows, group_elements=group_elements).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in sets.items()}
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and 12 < len(set(want.values())) < 100
