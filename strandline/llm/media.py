@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from .common import slices, spread, table, texts, widened
 
 FRAME, SIDE, RATE, KEY_EVERY = 192, 8, 25, 16
+#: Boxes lie in one another to this depth at most.
+DEPTH = 32
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
 UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -82,6 +84,8 @@ def frames(payload: bytes) -> bytes:
 
 def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, begin, end) of the contents of every box, outer ones first."""
+    if len(path) > DEPTH:
+        raise ValueError("boxes are nested too deeply")
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -108,27 +112,49 @@ class Track:
             if path[-1] == b"trak" and b"trak" in at:
                 break
             at.setdefault(path[-1], (begin, end))
-        numbers = lambda kind, skip, count, width=4: np.frombuffer(view, f">u{width}", count, at[kind][0] + skip).astype(np.int64)
+
+        def numbers(kind: bytes, skip: int, count: int, width: int = 4) -> np.ndarray:
+            """Big-endian numbers in a box; its length is looked at before any array is made."""
+            begin, end = at[kind]
+            if begin + skip + count * width > end:
+                raise ValueError(f"box {kind!r} has fewer entries than it says")
+            return np.frombuffer(view, f">u{width}", count, begin + skip).astype(np.int64)
+
+        def listed(kind: bytes, each: int = 1, width: int = 4) -> np.ndarray:
+            return numbers(kind, 8, each * int(numbers(kind, 4, 1)[0]), width)
+
         self.codec = bytes(view[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
         version = view[at[b"mdhd"][0]]
         self.rate, ticks = struct.unpack_from(">IQ" if version else ">II", view, at[b"mdhd"][0] + (20 if version else 12))
         if b"stts" in at:  # how many samples last how long
-            ticks = int(numbers(b"stts", 8, 2 * numbers(b"stts", 4, 1)[0]).reshape(-1, 2).prod(axis=1).sum())
+            ticks = sum(a * b for a, b in listed(b"stts", 2).reshape(-1, 2).tolist())
         self.duration = ticks / self.rate if self.rate else 0.0
-        fixed, n = numbers(b"stsz", 4, 2)
+        fixed, n = numbers(b"stsz", 4, 2).tolist()
+        if fixed * n > len(data):
+            raise ValueError("samples are larger than the file")
         self.sizes = np.full(n, fixed) if fixed else numbers(b"stsz", 12, n)
+        if self.sizes.sum() > len(data):
+            raise ValueError("samples are larger than the file")
         wide = b"stco" not in at
-        kind = b"co64" if wide else b"stco"
-        chunks = numbers(kind, 8, numbers(kind, 4, 1)[0], 8 if wide else 4)
-        runs = numbers(b"stsc", 8, 3 * numbers(b"stsc", 4, 1)[0]).reshape(-1, 3)
-        spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
-        per_chunk = np.repeat(runs[:, 1], spans)
+        chunks = listed(b"co64" if wide else b"stco", width=8 if wide else 4)
+        runs = listed(b"stsc", 3).reshape(-1, 3)
+        firsts = np.append(runs[:, 0], len(chunks) + 1)
+        if (np.diff(firsts) < 0).any() or n and firsts[0] != 1:
+            raise ValueError("runs of chunks are out of order")
+        per_chunk = np.repeat(runs[:, 1], np.diff(firsts))
+        ends = np.cumsum(per_chunk)
+        if n > (ends[-1] if len(ends) else 0):
+            raise ValueError("samples without a chunk")
         # A sample lies behind the samples before it in its chunk.
         before = np.cumsum(self.sizes) - self.sizes
-        first = np.cumsum(per_chunk) - per_chunk
-        chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
-        self.offsets = chunks[chunk_of] + before - before[np.minimum(first, max(n - 1, 0))][chunk_of]
-        self.keys = numbers(b"stss", 8, numbers(b"stss", 4, 1)[0]) - 1 if b"stss" in at else np.arange(n)
+        chunk_of = np.searchsorted(ends, np.arange(n), "right")
+        first = (ends - per_chunk)[chunk_of]
+        self.offsets = chunks[chunk_of] + before - before[first]
+        if ((self.offsets < 0) | (self.offsets > len(data) - self.sizes)).any():
+            raise ValueError("a sample lies beyond the file")
+        self.keys = listed(b"stss") - 1 if b"stss" in at else np.arange(n)
+        if ((self.keys < 0) | (self.keys >= n)).any():
+            raise ValueError("a keyframe is no sample")
 
     def sample_bytes(self, data: bytes) -> bytes:
         ends = self.offsets + self.sizes
@@ -162,14 +188,16 @@ def track_of(data: bytes | None) -> tuple[Track | None, str | None]:
         return (None, None) if data is None else (Track(data), None)
     except KeyError as e:
         return None, f"no box {e.args[0]!r}"
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         return None, str(e)
 
 
 def describe(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Add ``codec``, ``duration_s``, ``n_samples``, ``keyframes`` (array of offset and length) and ``error``.
 
-    A cell that is no such file has ``error`` alone, a null cell nothing. Columns of these names are
+    A cell that is no such file has ``error`` alone, a null cell nothing. Tables are held against the file
+    before they are used: counts beyond their box, samples beyond the file or larger than it in sum, keyframes
+    that are no samples and boxes nested too deeply are errors. Columns of these names are
     replaced, all others stay; repeated rows get equal values and an empty table gives an empty result.
     """
 
