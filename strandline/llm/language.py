@@ -142,16 +142,17 @@ def _grams(text: str) -> Counter:
 def learn(docs: DataFrame, train: Column | None = None, sample_rows: int = SAMPLE_ROWS, least: int = LEAST) -> Languages:
     """Counts of about ``sample_rows`` documents of each language, chosen by a hash of id and text.
 
-    Every language is learned. The sample bounds the model, which goes to the driver and to every worker.
+    Every language is learned. Ids are whole numbers. The sample bounds the model, which goes to the driver and to every worker.
     """
-    ready = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if train is None else train))
+    ready = docs.filter(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & docs["text"].isNotNull() & (F.lit(True) if train is None else train))
+    ready = ready.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["lang"])
     sizes = ready.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return Languages([], [], np.zeros(0, np.int64), np.zeros((0, 0)))
     share = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in sizes}
     limits = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
-    sample = ready.join(F.broadcast(limits), "lang").filter(hash_fraction(F.col("doc_id").cast("long")) < F.col("share"))
+    sample = ready.join(F.broadcast(limits), "lang").filter(hash_fraction(F.col("doc_id")) < F.col("share"))
     place = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +207,20 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Languages) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and evidence for some language, columns unchanged."""
+    """The rows of ``docs`` whose text has letters and evidence for some language, columns unchanged.
+
+    Only texts go to Python and only truth values come back; the other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for batch in slices(batches, 8 << 20):
-            # A score above zero goes to a language alone, never to ``und``.
-            yield batch.filter(pa.array([own.predict(t)[1] > 0 for t in texts(batch)], pa.bool_()))
+        for batch in batches:
+            # A score above zero goes to a language alone, never to ``und``. One text at a time is made a string.
+            yield pa.array((own.predict(t.as_py() or "")[1] > 0 for t in batch), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(known(docs["text"]))
 
 
 def op2_language(spark, sf_dir):
