@@ -11,13 +11,13 @@ tokens must occur whole, as parts of them are common phrases.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, spread, table, texts
@@ -26,7 +26,9 @@ MIN_TILE, COVERAGE = 3, 0.8
 #: Items of at most this many tokens must occur whole.
 WHOLE = 5
 #: Above this size of the benchmark's texts, seeds meet in a shuffle instead of in every worker.
-WORKER_BYTES = 16 << 20
+WORKER_BYTES = 4 << 20
+#: Tasks over which the documents that hold one seed are dealt.
+SALTS = 16
 
 WORD = re.compile(r"\w+")
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -180,14 +182,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, le
         return docs.join(bad, key == bad["doc_id"], "left_anti")
     rows = [(r[0], r[1]) for r in bench.collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Benchmark(rows, least)
-        for batch in slices(batches, 8 << 20):
-            listed = map(tokens, texts(batch, text_col))
-            good = [not any(coverage(known.items[i], doc, least) >= threshold for i in known.near(doc, threshold)) for doc in listed]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        holds = lambda doc: any(coverage(known.items[i], doc, least) >= threshold for i in known.near(doc, threshold))
+        for batch in batches:
+            yield pa.array((not holds(tokens(t.as_py())) for t in batch), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(good(docs[text_col]))
 
 
 def _pairs(rows: list[tuple[int, str]], least: int, threshold: float, id_kind: pa.DataType):
@@ -209,27 +211,78 @@ def _pairs(rows: list[tuple[int, str]], least: int, threshold: float, id_kind: p
     return run
 
 
-def _seeds(df: DataFrame, least: int, lengths: list[int] | None = None) -> DataFrame:
-    """(key, n, r, h) for the distinct seeds of texts (key, text): of n tokens, with the seed r times.
-
-    An item of at most ``WHOLE`` tokens is one seed; documents are cut into runs of all ``lengths``.
-    """
+def _seeds(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, h): the distinct runs of ``lengths`` tokens of texts (key, text)."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            keys, sizes, times, found = [], [], [], []
+            keys, found = [], []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 w = tokens(text)
-                runs = Counter(" ".join(w[j : j + k]) for k in lengths or {shortest(len(w), least)} - {0} for j in range(len(w) - k + 1))
+                runs = {" ".join(w[j : j + k]) for k in lengths for j in range(len(w) - k + 1)}
                 keys += [key] * len(runs)
-                sizes += [len(w)] * len(runs)
-                times += runs.values()
                 found += map(xxh64_intdigest, runs)
             h = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(times, pa.int32()), h], names=["key", "n", "r", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), h], names=["key", "h"])
+
+    return df.mapInArrow(run, "key long, h long")
+
+
+def _item_seeds(items: DataFrame, least: int) -> DataFrame:
+    """(b, n, k, place, h): the seeds of items (b, text) of n tokens, k tokens each, by place."""
+    from xxhash import xxh64_intdigest
 
-    return df.mapInArrow(run, "key long, n int, r int, h long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            rows = []
+            for b, text in zip(batch.column(0).to_pylist(), texts(batch)):
+                w = tokens(text)
+                k = shortest(len(w), least)
+                rows += [(b, len(w), k, j, xxh64_intdigest(" ".join(w[j : j + k]))) for j in range(len(w) - k + 1) if k]
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.uint64)
+            made = [np.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64) if m.dtype == np.uint64 else m) for m in made], names=["b", "n", "k", "place", "h"])
+
+    return items.mapInArrow(run, "b long, n int, k int, place int, h long")
+
+
+def _asked(seeds: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (b, h): seeds of each item of which any document that reaches ``threshold`` has one.
+
+    A token that tiles cover lies in one of its seeds that the document has, too. A document without any
+    seed of some tokens covers none of these, and if they are more than it may leave out, it can't reach
+    the threshold. So the tokens with the rarest seeds are taken, as many as that, with all their seeds.
+    ``held`` says how many documents have a seed (h, documents).
+    """
+    rows = seeds.join(held, "h", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    tokens_ = rows.select("b", "n", "documents", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("k") - 1)).alias("token"))
+    cost = tokens_.groupBy("b", "n", "token").agg(F.max("documents").alias("cost"))
+    spare = F.col("n") - F.ceil(F.col("n") * threshold - 1e-6)
+    rarest = cost.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("cost", "token"))).filter(F.col("at") <= spare + 1)
+    within = F.explode(F.sequence(F.col("place"), F.col("place") + F.col("k") - 1))
+    return seeds.select("b", "h", within.alias("token")).join(rarest.select("b", "token"), ["b", "token"], "left_semi").select("b", "h").distinct()
+
+
+def _candidates(keyed: DataFrame, items: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(k, b): texts (k, text) and items (b, text) that share a seed without which the threshold is out of reach."""
+    seeds = checkpointed(_item_seeds(items.select("b", "text"), least))
+    lengths = sorted(r["k"] for r in seeds.select("k").distinct().collect())  # ``WHOLE`` and one at most
+    found = _seeds(keyed.select(F.col("k").alias("key"), "text"), lengths or [least])
+    # Only seeds that the benchmark has are of use; what is left of the documents is written once.
+    found = checkpointed(found.join(seeds.select("h").distinct(), "h", "left_semi").distinct())
+    asked = _asked(seeds, found.groupBy("h").agg(F.count("*").alias("documents")), threshold)
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    copies = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", salt).join(copies, ["h", "salt"]).select(F.col("key").alias("k"), "b").distinct()
+
+
+def _reaches(item: list[str], doc: list[str], threshold: float, least: int) -> bool:
+    """Whether seeds that the document has, too, cover enough of the item."""
+    k = shortest(len(item), least)
+    runs = {tuple(doc[j : j + k]) for j in range(len(doc) - k + 1)}
+    covered = {t for j in range(len(item) - k + 1) if tuple(item[j : j + k]) in runs for t in range(j, j + k)}
+    return len(covered) >= threshold * len(item) > 0
 
 
 def contaminated(
@@ -243,7 +296,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_tokens, coverage) of pairs whose coverage reaches ``threshold``.
 
-    Every document meets every item with which it shares a seed; there is no cap. Items of at most
+    Every document meets every item of which it has one of the rarest seeds, as many of them as a document
+    that reaches the threshold can't do without; there is no cap. Items of at most
     ``WHOLE`` tokens must occur whole. Items without a token, null texts and empty tables give no rows;
     repeated documents give repeated rows. A benchmark of at most ``worker_bytes`` of text goes to
     every worker; a larger one is joined on hashed seeds and each pair's texts are brought together. Both
@@ -261,23 +315,14 @@ def contaminated(
     # Documents that share a text share its work: pairs are formed between texts.
     keyed = slim.withColumn("k", F.xxhash64("text"))
     bench = bench.distinct().withColumn("b", F.xxhash64("item_id", "text"))
-    asked = checkpointed(_seeds(bench.select(F.col("b").alias("key"), "text"), least))
-    width = F.when(F.col("n") <= WHOLE, F.col("n")).otherwise(F.least("n", F.lit(least)))
-    lengths = sorted(r["k"] for r in asked.select(width.alias("k")).distinct().collect())  # ``WHOLE`` and one at most
-    found = _seeds(keyed.select(F.col("k").alias("key"), "text"), least, lengths or [least])
-    # A seed covers as many tokens as it has each time it stands in the item, so pairs with too few can't
-    # reach the threshold. Repeated texts add up to more, which lets more pairs through and loses none.
-    need = F.ceil(F.col("n") * threshold - 1e-6)
-    shared = found.select(F.col("key").alias("k"), "h").join(asked.select(F.col("key").alias("b"), "n", "r", "h"), "h")
-    shared = shared.groupBy("k", "b", "n").agg(F.sum("r").alias("r")).filter(F.col("r") * width >= need).select("k", "b")
-    shared = checkpointed(shared)
+    shared = checkpointed(_candidates(keyed, bench, threshold, least))
     texts_of = keyed.select("k", "text", "doc_id").join(shared, "k").join(bench.withColumnRenamed("text", "item"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
-            items, docs_ = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            share = [coverage(tokens(i), tokens(d), least) for i, d in zip(items, docs_)]
-            n = pa.array([len(tokens(i)) for i in items], pa.int64())
+            both = [(tokens(i), tokens(d)) for i, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            share = [coverage(i, d, least) if _reaches(i, d, threshold, least) else 0.0 for i, d in both]
+            n = pa.array([len(i) for i, _ in both], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(share, pa.float64())], names=["doc_id", "item_id", "n_tokens", "coverage"])
 
     return (

@@ -652,3 +652,78 @@ def test_contaminated_odd_rows(spark):
     got = sorted(str(r["doc_id"]) for r in tiling.contaminated(odd_docs(spark), bench).filter("item_id = 1").collect())
     assert got == ["1", "1", "7", "None"]
     assert tiling.clean(odd_docs(spark), bench).columns == odd_docs(spark).columns
+
+
+def test_common_seeds_bring_no_pairs(spark):
+    """Documents and items that all share a phrase meet only where they share something rare."""
+    docs = spark.createDataFrame([(k, f"one of the d{k} e{k} f{k} g{k} h{k} one of the") for k in range(300)], "k long, text string")
+    item = lambda k: f"one of the a{k} b{k} c{k} d{k} e{k} f{k} g{k}"
+    items = spark.createDataFrame([(k, item(k)) for k in range(300)], "b long, text string")
+    pairs = tiling._candidates(docs, items, 0.8, 3)
+    assert pairs.count() <= 600
+    held = docs.unionByName(spark.createDataFrame([(1000, "so " + item(7)), (1001, "one of the a8 b8 c8 d8 e8 f8 x g8")], docs.schema))
+    bench = items.withColumnRenamed("b", "item_id")
+    for worker_bytes in (0, 1 << 20):
+        got = {(r["doc_id"], r["item_id"]) for r in tiling.contaminated(held.withColumnRenamed("k", "doc_id"), bench, worker_bytes=worker_bytes).collect()}
+        assert got == {(1000, 7), (1001, 8)}
+
+
+# 2, 4: clashing columns and bad cells
+
+
+def test_language_of_documents_with_clashing_columns(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 20) if i % 2 else prose(rng, 20)[::-1], "en" if i % 2 else "ne", 0.5, i, "k") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, share double, n long, kind string")
+    model = language.learn(docs, F.col("doc_id") % 3 != 0)
+    got = language.identify(docs, model).filter("lang_pred <> lang").count()
+    assert got == 0 and language.recognised(docs, model).columns == docs.columns and language.recognised(docs, model).count() == 60
+
+
+def test_mutated_media_are_errors_or_values(spark):
+    """2,000 files with changed bytes: every cell gives a value or an error, in little memory."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    whole = media.frames(bytes(range(192)) * 40)
+    at = whole.index(b"moov")
+    tracemalloc.start()
+    kinds = set()
+    for _ in range(2000):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(at, len(data))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        data = bytes(data[: rng.choice([len(data)] * 4 + [rng.randrange(len(data))])])
+        track, error = media.track_of(data)
+        kinds.add(track is None)
+        if track is not None:
+            assert all(0 <= a and a + n <= len(data) for a, n in track.key_ranges()) and len(track.sample_bytes(data)) <= len(data)
+            media.feature(track)
+        else:
+            assert error
+    assert kinds == {True, False} and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_bad_tables_of_media(spark):
+    whole = media.frames(bytes(range(192)) * 40)
+    put = lambda kind, skip, value: (lambda at: whole[:at] + value + whole[at + len(value) :])(whole.index(kind) + 4 + skip)
+    nested = b""
+    for _ in range(3000):
+        nested = media._box(b"moov", nested)
+    cells = {
+        "none": None,
+        "good": whole,
+        "late key": put(b"stss", 8, b"\0\0\1\0"),
+        "key 0": put(b"stss", 8, bytes(4)),
+        "many samples": put(b"stsz", 8, b"\xff" * 4),
+        "far chunk": put(b"stco", 8, b"\x7f" * 4),
+        "nested": nested,
+        "runs": put(b"stsc", 8, b"\0\0\0\x09"),
+        "few": put(b"stsc", 12, bytes(4)),
+    }
+    frame = spark.createDataFrame([(i, 1, m) for i, m in enumerate(cells.values())], "doc_id long, n_bytes long, media binary")
+    found = {r["doc_id"]: r for r in media.describe(frame).collect()}
+    bad = {name for i, name in enumerate(cells) if found[i]["error"]}
+    assert bad == set(cells) - {"none", "good"}
+    assert {r["doc_id"] for r in media.digests(frame).filter("error IS NULL AND payload_sha256 IS NOT NULL").collect()} == {1}
