@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, spread, table, texts, unused
-from .simhash import Forest, components
+from .simhash import Forest
+from .simhash import components as by_joins
 
 SEED, WORDS, PERCENT = 42, 4, 80
 #: Slots of a signature and rows of a band.
@@ -38,6 +39,8 @@ GROUP_ROWS = 1024
 GROUP_ELEMENTS = 1 << 18
 #: Elements whose permutations are held at once.
 AT_ONCE = 1 << 17
+#: Up to so many links (16 MB) are joined by one task; more of them by repeated joins.
+ONE_TASK = 1 << 20
 #: Partners of a node that one task reads against its set.
 PARTNERS = 256
 
@@ -339,6 +342,28 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def components(edges: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """(id, component): the smallest id reachable over (a, b), for every id that has a link.
+
+    The links are counted first: up to ``most`` of them are joined by union-find in one task, which spares
+    rounds of joins over few rows, and more of them by these rounds. Both give the same rows.
+    """
+    edges = checkpointed(edges)
+    if edges.count() > most:
+        return by_joins(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.column_stack([c.to_numpy() for c in b.columns]) for b in batches)])
+        ids, at = np.unique(pairs, return_inverse=True)
+        forest = Forest(len(ids))
+        for i, j in at.reshape(-1, 2).tolist():
+            forest.join(i, j)
+        roots = ids[[forest.root(i) for i in range(len(ids))]] if len(ids) else ids
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["id", "component"])
+
+    return checkpointed(edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long"))
+
+
 def linked(nodes: DataFrame, docs: DataFrame, group_rows: int = GROUP_ROWS, salts: int = 16, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
     """(id, component) of the nodes that any link has."""
     buckets = checkpointed(_buckets(nodes))
