@@ -124,7 +124,7 @@ def run(args, spark) -> dict:
     if args.command == "search":
         aliases = thesaurus.load(args.thesaurus) if args.thesaurus else None
         stale = store.meta() is None
-        report = engine.search(store, args.query, args.now_ms or int(time.time() * 1000), args.world, args.scope, args.lanes or retrieval.DEFAULT_LANES, aliases, args.limit, args.cursor, stale=stale)
+        report = engine.search(store, args.query, args.now_ms or int(time.time() * 1000), args.world, args.scope, args.lanes or retrieval.DEFAULT_LANES, aliases, args.limit, args.cursor, stale=stale, sources=corpus.hashes_at(args.root))
         return report if args.text else engine.as_json(report)
     if args.command == "get":
         try:

@@ -38,14 +38,16 @@ class SearchReport:
     hits: list = field(default_factory=list)
 
 
-def search(records: DataFrame | Store, query: str, now_ms: int, world: str = "main", scope: str | None = None, lanes=retrieval.DEFAULT_LANES, aliases=None, limit: int = 10, cursor: str | None = None, knobs: retrieval.Knobs = retrieval.Knobs(), stale: bool = False) -> SearchReport:
+def search(records: DataFrame | Store, query: str, now_ms: int, world: str = "main", scope: str | None = None, lanes=retrieval.DEFAULT_LANES, aliases=None, limit: int = 10, cursor: str | None = None, knobs: retrieval.Knobs = retrieval.Knobs(), stale: bool = False, sources=None) -> SearchReport:
     """A page of hits with snippets, and what was searched for, in a stored projection or in bare records.
 
     A cursor holds for the query, world, scope, lanes and thesaurus that made it; another one is
-    malformed. No hit is no_match, or index_stale where ``stale`` says that nothing is indexed yet.
+    malformed. No hit is no_match, or index_stale where ``stale`` says that nothing is indexed yet. With
+    ``sources`` (``corpus.hashes_at``, ``store.hashes_of``) a stored projection's candidates are held against
+    their files as they are now; what was edited since the last sync is left out and counted.
     """
     if isinstance(records, Store):
-        found = records.search(query, world, now_ms, scope, lanes, aliases, knobs)
+        found = records.search(query, world, now_ms, scope, lanes, aliases, knobs, sources=sources)
     else:
         found = retrieval.search(records, projection.body_lines(records), query, world, now_ms, scope, lanes, aliases, knobs)
     if found is None:
@@ -161,7 +163,7 @@ def records_in(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
 
 def sync(files: DataFrame, store: Store, unreadable: int = 0, formats: Formats = DEFAULT, signature: tuple[int, int] | None = None) -> dict:
     """Bring the projection up to date; seven counters."""
-    return store.sync(verify.verified(files, formats), unreadable, signature)
+    return store.sync(files, unreadable, signature, lambda some: verify.verified(some, formats))
 
 
 def signature_of(spark: SparkSession, root: str) -> tuple[int, int]:

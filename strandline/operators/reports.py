@@ -6,6 +6,7 @@ from collections import OrderedDict
 from datetime import UTC, datetime
 
 from . import engine
+from .store import hashes_of
 
 #: References that are remembered, results that a tool gives if nothing is said, and at most.
 REMEMBERED, TOOL_RESULTS, MOST_TOOL_RESULTS = 256, 6, 25
@@ -93,7 +94,7 @@ class Tools:
         self.references = References()
 
     def memory_search(self, query: str, limit: int = TOOL_RESULTS) -> str:
-        report = engine.search(self.store, query, self.now_ms, self.world, limit=min(max(limit, 1), MOST_TOOL_RESULTS))
+        report = engine.search(self.store, query, self.now_ms, self.world, limit=min(max(limit, 1), MOST_TOOL_RESULTS), sources=hashes_of(self.files))
         if report.outcome != "match":
             return search_text(query, report)
         out = [f"{len(report.hits)} of {report.total}:"]

@@ -7,6 +7,7 @@ other without following links, for reading and for writing alike.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -17,9 +18,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from strandline.sources.folders import checkpointed
 
@@ -31,9 +33,9 @@ LISTED_DEPTH, LISTED = 2, 16
 
 
 class Directories(InputPartition):
-    def __init__(self, listed: list[tuple[str, bool]]):
+    def __init__(self, listed: list[tuple[str, bool]], paths: list[str] | None = None):
         super().__init__(0)
-        self.listed = listed
+        self.listed, self.paths = listed, paths or []
 
 
 @contextmanager
@@ -97,8 +99,20 @@ def contained(root: str, path: str, most: int = MAX_FILE) -> tuple[os.stat_resul
 class Reader(DataSourceReader):
     def __init__(self, options):
         self.root, self.bare = options["path"], options.get("stat_only", "false") == "true"
+        self.only: list[str] | None = None
+
+    def pushFilters(self, filters):
+        """Filters that name paths are taken over: nothing is listed then, and no other file is opened."""
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("rel_path",):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = sorted(p for p in named if p is not None and (self.only is None or p in self.only))
+            else:
+                yield f
 
     def partitions(self):
+        if self.only is not None:
+            return [Directories([], self.only[i : i + LISTED]) for i in range(0, len(self.only), LISTED)] or [Directories([])]
         listed, level = [], [""]
         for depth in range(LISTED_DEPTH + 1):
             deep = depth == LISTED_DEPTH
@@ -115,10 +129,24 @@ class Reader(DataSourceReader):
             return []
 
     def read(self, partition):
+        for path in partition.paths:
+            if self._is_record(path):
+                yield self._row("episode", path)
         for below, deep in partition.listed:
             for kind, path in walk(self.root, below, deep):
                 yield self._row(kind, path)
 
+    def _is_record(self, path: str) -> bool:
+        """Whether the walk would come upon this path."""
+        folder, _, name = path.rpartition("/")
+        if not safe_path(path) or not RECORD.fullmatch(name) or path.count("/") > MAX_DEPTH or any(p.startswith(".") for p in path.split("/")):
+            return False
+        try:
+            with opened(self.root, folder) as fd:
+                return stat.S_ISREG(os.stat(name, dir_fd=fd, follow_symlinks=False).st_mode)
+        except OSError:
+            return False
+
     def _row(self, kind: str, path: str) -> tuple:
         try:
             if kind == "unreadable":
@@ -179,9 +207,24 @@ class Corpus(DataSource):
 
 def read(spark: SparkSession, root: str, stat_only: bool = False) -> DataFrame:
     spark.dataSource.register(Corpus)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else filters on paths would come after the files
     return spark.read.format("corpus").option("stat_only", str(stat_only).lower()).load(root)
 
 
+def hashes_at(root: str):
+    """What ``sources`` of a search asks for: hashes of the records at some paths below ``root``, read by the tasks that have the paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with suppress(OSError, ValueError):  # gone, or no record any more
+                    rows.append((path, hashlib.sha256(contained(root, path)[1]).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["rel_path", "file_hash"])
+
+    return lambda paths: paths.select("rel_path").mapInArrow(run, "rel_path string, file_hash string")
+
+
 def signature(spark: SparkSession, root: str) -> DataFrame:
     """Number of records and their latest change, without reading them."""
     found = read(spark, root, True).filter(F.col("kind") == "episode")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,41 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file under a name that isn't there yet, whole or not at all; false if another one was first."""
+    fs_ = spark._jvm.org.apache.hadoop.fs
+    conf, last = spark._jsc.hadoopConfiguration(), fs_.Path(path)
+    part = fs_.Path(last.getParent(), f".{last.getName()}.{uuid.uuid4().hex}")
+    stream = last.getFileSystem(conf).create(part, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = getattr(fs_, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    try:
+        fs_.FileContext.getFileContext(last.getFileSystem(conf).getUri(), conf).rename(part, last, how)
+    except Py4JJavaError as e:
+        last.getFileSystem(conf).delete(part, False)
+        if exists(spark, path):
+            return False
+        raise e
+    return True

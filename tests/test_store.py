@@ -35,13 +35,17 @@ def rows(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str)
 
 
+def files_read(df):
+    return len(df.inputFiles())
+
+
 def fresh(records):
     good = projection.first_copies(records.filter("parses"))
-    return rows(projection.postings(good).drop("month")), rows(projection.term_stats_of(good))
+    return rows(projection.postings(good)), rows(projection.term_stats_of(good))
 
 
 def kept(found):
-    return rows(found.read("postings").drop("month")), rows(found.statistics())
+    return rows(found.read("postings")), rows(found.statistics())
 
 
 def test_sync_equals_building_anew(spark, files, tmp_path):
@@ -75,8 +79,8 @@ def test_search_in_store_equals_scan(spark, files, tmp_path):
     lines, _, more = found.candidates("main", ["fox"])
     plan = lines._jdf.queryExecution().explainString(lines.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     scans = [x for x in plan.split("\n\n") if x.lstrip().startswith("(") and "Scan parquet" in x.strip().split("\n")[0]]
-    assert not more and len(scans) >= 3 and all("PartitionFilters" in x and "world" in x.split("PartitionFilters")[1] for x in scans)
-    assert any("term" in x.split("PushedFilters")[1] for x in scans if "PushedFilters" in x)
+    assert not more and len(scans) >= 3 and any("PushedFilters" in x and "term" in x.split("PushedFilters")[1] for x in scans)
+    assert files_read(found._scan("postings", store.parts_of(["fox"], 8))) == 1 < files_read(found._scan("postings"))
     # What was edited is left out, and counted.
     hit = first.hits[0]
     engine.sync(edited(files, hit["rel_path"]), found)
@@ -375,3 +379,149 @@ def test_completed_turns_stated_again(spark):
     found = transcripts.completed_turns(transcripts.entries(spark.createDataFrame(rows, "session string, line_no long, value string")))
     got = [(r.session, r.user_content, r.assistant_result, tuple(r.tools), r.turn_id) for r in found.collect()]
     assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_terms_of_emptied_parts_go(spark, tmp_path):
+    """A record that has no index term left takes its postings, frequencies, vocabulary and trigrams with it."""
+    found = store.Store(spark, str(tmp_path / "index"))
+    base = spark.createDataFrame([("a/1.md", "license rights fox"), ("a/2.md", "rights")], "rel_path string, content string")
+    extra = {"world": "main", "scope": "s", "lane": "conversation", "event_time_ms": 5, "body_line": 1, "parses": True, "verify_status": "ok"}
+    whole = lambda df: df.withColumns({k: F.lit(v) for k, v in extra.items()} | {"episode_id": F.col("rel_path")})
+    found.sync(whole(base))
+    assert {r.term for r in found.vocabulary("main").collect()} == {"license", "rights", "fox"}
+    report = found.sync(whole(base.withColumn("content", F.when(F.col("rel_path") == "a/1.md", "the").otherwise(F.col("content")))))
+    assert (report["indexed"], report["unchanged"]) == (1, 1)
+    assert rows(found.read("postings")) == [("a/2.md", "conversation", 1, "rights", "main")]
+    assert rows(found.statistics()) == [(1, 0, "rights", "main")] and {r.term for r in found.read("trigrams").collect()} == {"rights"}
+    assert found.terms_with("main", ["licen"]).collect() == [] and found.search("license", "main", NOW).hits.count() == 0
+    found.sync(whole(base.limit(0)))
+    assert found.read("postings").count() == found.statistics().count() == found.read("trigrams").count() == found.read("files").count() == 0
+
+
+def test_readers_keep_their_snapshot(spark, files, tmp_path):
+    root = str(tmp_path / "index")
+    engine.sync(files, store.Store(spark, root))
+    reader = store.Store(spark, root)
+    before = engine.as_json(engine.search(reader, "fox den", NOW, limit=50))
+    hit = before["hits"][0]
+    writer = store.Store(spark, root)
+    engine.sync(edited(files, hit["rel_path"]).filter(F.col("rel_path") != before["hits"][-1]["rel_path"]), writer)
+    assert engine.as_json(engine.search(reader, "fox den", NOW, limit=50)) == before
+    after = engine.search(writer, "fox den", NOW, limit=50)
+    assert after.edited_excluded == 1 and after.total < before["total"]
+    reader.refresh()
+    assert engine.as_json(engine.search(reader, "fox den", NOW, limit=50)) == engine.as_json(after)
+
+
+@pytest.mark.parametrize("broken", ["files", "episodes", "texts", "postings", "terms", "trigrams", "commit"])
+def test_a_sync_that_breaks_off_changes_nothing(spark, files, tmp_path, monkeypatch, broken):
+    root = str(tmp_path / "index")
+    found = store.Store(spark, root, parts=2)
+    engine.sync(files, found)
+    paths = sorted(r.rel_path for r in files.collect())
+    now = edited(files, paths[0]).filter(F.col("rel_path") != paths[1])
+    held, write = kept(found), store.Store._write
+
+    def failing(self, name, *rest):
+        made = write(self, name, *rest)
+        if name == broken:
+            raise OSError("killed")
+        return made
+
+    monkeypatch.setattr(store.Store, "_write", failing)
+    monkeypatch.setattr(store, "put_new", lambda *a: broken != "commit" and store_put(*a))
+    with pytest.raises((OSError, RuntimeError)):
+        engine.sync(now, store.Store(spark, root))
+    monkeypatch.undo()
+    again = store.Store(spark, root)
+    assert kept(again) == held
+    report = engine.sync(now, again)
+    assert (report["indexed"], report["removed"]) == (1, 1) and kept(again) == fresh(verify.verified(now))
+
+
+store_put = store.put_new
+
+
+def test_two_syncs_at_once(spark, files, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    a, b = store.Store(spark, root), store.Store(spark, root)
+    engine.sync(files, a)
+    monkeypatch.setattr(b, "refresh", lambda: None)  # it began before the other one ended
+    with pytest.raises(RuntimeError):
+        engine.sync(files.limit(3), b)
+    assert store.Store(spark, root).snapshot == a.snapshot
+
+
+def test_compaction_and_vacuum(spark, files, tmp_path):
+    found = store.Store(spark, str(tmp_path / "index"), parts=2, kept=2)
+    paths = sorted(r.rel_path for r in files.collect())
+    for k in range(4):
+        now = files.filter(~F.col("rel_path").isin(paths[:k]))
+        engine.sync(edited(now, paths[5 + k]), found)
+    want = fresh(verify.verified(edited(now, paths[8])))
+    asked = engine.as_json(engine.search(found, "fox den", NOW, limit=50))
+    assert kept(found) == want and len(found.snapshot["tables"]["texts"]) > 2
+    grams = rows(found.read("trigrams"))
+    found.compact()
+    assert kept(found) == want and rows(found.read("trigrams")) == grams and all(len(found.snapshot["tables"][n]) == 1 for n in store.GROWING)
+    assert engine.as_json(engine.search(found, "fox den", NOW, limit=50)) == asked
+    assert engine.sync(edited(now, paths[8]), found)["indexed"] == 0
+    engine.sync(files, found)
+    segments = {n for n in os.listdir(tmp_path / "index" / "texts")}
+    assert segments == {f"seg={s}" for k in found._numbers() for s in found._snapshot(k)["tables"]["texts"]} and len(found._numbers()) == 2
+
+
+def test_trigrams_equal_the_scan(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 9)))
+    records = [(f"{k}.md", " ".join(word() for _ in range(30))) for k in range(12)]
+    extra = {"world": "main", "scope": "s", "lane": "conversation", "event_time_ms": 5, "body_line": 1, "parses": True, "verify_status": "ok"}
+    state = lambda some: spark.createDataFrame(some, "rel_path string, content string").withColumns({k: F.lit(v) for k, v in extra.items()} | {"episode_id": F.col("rel_path")})
+    found = store.Store(spark, str(tmp_path / "index"))
+    found.sync(state(records))
+    found.sync(state(records[3:9] + [("new.md", " ".join(word() for _ in range(30)))]))
+    every = [r.term for r in found.vocabulary("main").collect()]
+    for _ in range(12):
+        needles = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 5))) for _ in range(rng.randint(1, 3))]
+        assert {r.term for r in found.terms_with("main", needles).collect()} == {t for t in every if any(n in t for n in needles)}
+    assert {r.term for r in found.terms_with("main", ["ab", "abc"]).collect()} == {t for t in every if "ab" in t}
+    assert store.parts_of(["abc", "bca"], 8) == sorted({r[0] for r in spark.createDataFrame([("abc",), ("bca",)], "g string").select(store.part_of(F.col("g"), 8)).collect()})
+
+
+def test_search_verifies_files(spark, tmp_path):
+    """What was edited or went since the last sync is left out and counted, and no other file is opened."""
+    root, index = str(tmp_path / "journal"), str(tmp_path / "index")
+    os.mkdir(root, 0o700)
+    corpus.write(stored(spark, turns(12)), root)
+    found = store.Store(spark, index)
+    engine.sync(engine.records_in(spark, root)[0], found)
+    sources = corpus.hashes_at(root)
+    first = engine.search(found, "fox den", NOW, limit=50, sources=sources)
+    assert first.edited_excluded == 0 and engine.as_json(first) == engine.as_json(engine.search(found, "fox den", NOW, limit=50))
+    one, two = list(dict.fromkeys(h["rel_path"] for h in first.hits))[:2]
+    with open(f"{root}/{one}", "a") as f:
+        f.write("more\n")
+    os.unlink(f"{root}/{two}")
+    after = engine.search(found, "fox den", NOW, limit=50, sources=sources)
+    assert after.edited_excluded == 2 and not {one, two} & {h["rel_path"] for h in after.hits} and after.total == len([h for h in first.hits if h["rel_path"] not in (one, two)])
+    files = engine.records_in(spark, root)[0]
+    assert engine.as_json(engine.search(found, "fox den", NOW, limit=50, sources=store.hashes_of(files))) == engine.as_json(after)
+    engine.sync(files, found)
+    # The one that has no good digest any more is still there, the other one isn't.
+    assert engine.search(found, "fox den", NOW, limit=50, sources=sources).edited_excluded == 1
+
+
+def test_paths_are_pushed_to_the_corpus(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "journal")
+    os.mkdir(root, 0o700)
+    corpus.write(stored(spark, turns(6)), root)
+    files = corpus.read(spark, root)
+    paths = sorted(p for _, p in corpus.walk(root))
+    for name in os.listdir(root):  # a walk would not get through here
+        os.chmod(f"{root}/{name}", 0o711)
+    assert [r.rel_path for r in files.filter(F.col("rel_path") == paths[2]).collect()] == [paths[2]]
+    some = files.filter(F.col("rel_path").isin(paths[0], paths[4], "none/aj1-x.md", "../aj1-x.md")).select("rel_path", "size")
+    assert sorted(r.rel_path for r in some.collect()) == [paths[0], paths[4]] and all(r.size for r in some.collect())
+    reader = corpus.Reader({"path": root})
+    assert list(reader.pushFilters([corpus.EqualTo(("rel_path",), paths[1]), corpus.In(("size",), (1,))])) == [corpus.In(("size",), (1,))]
+    assert [p.paths for p in reader.partitions()] == [[paths[1]]] and [r[0] for p in reader.partitions() for r in reader.read(p)] == [paths[1]]
