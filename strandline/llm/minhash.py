@@ -16,6 +16,7 @@ are dealt out in blocks, and what leaves a task grows with the nodes, never with
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ GROUP_ELEMENTS = 1 << 18
 AT_ONCE = 1 << 17
 #: Up to so many links (16 MB) are joined by one task; more of them by repeated joins.
 ONE_TASK = 1 << 20
-#: Partners of a node that one task reads against its set.
+#: Partners of a node in a group that are read against its set together.
 PARTNERS = 256
 
 
@@ -151,7 +152,7 @@ def _alike(sig: np.ndarray, sizes: np.ndarray, i: int, among: np.ndarray) -> np.
 
 
 def _forest(sig: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the rows by the largest estimates above the cutoff."""
+    """A spanning forest of the rows by the largest estimates above the cutoff: (row that is in the tree, row that joins it)."""
     rest, out = np.arange(len(sig)), []
     best, via = np.zeros(len(sig)), np.zeros(len(sig), np.int64)
     while len(rest):
@@ -209,27 +210,31 @@ def _across(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, lo: int
     return out
 
 
-def _in_groups(groups: DataFrame, key: str, cell: str, found) -> DataFrame:
-    """(a, b): the nodes of the pairs that ``found`` gives of each group.
+def _in_groups(groups: DataFrame, key: str, cell: str, found, name: str = "node") -> DataFrame:
+    """(a, b, part): the ``name`` of both rows of the pairs that ``found`` gives of each group.
 
     ``groups`` has a row (key, lo, hi, node, n, comp, block, cell) for each node; a group is one of a key's
-    pairs of blocks. ``found`` gets arrays of n, comp, block and the cells, and lo and hi.
+    pairs of blocks. ``found`` gets arrays of n, comp, block and the cells, and lo and hi. Every ``PARTNERS``
+    pairs of a first row in a group make a part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
-            left, right = [], []
+            left, right, part = [], [], []
             for lo, hi, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 order = np.argsort(rows.values.field("node").to_numpy())
                 node, n, comp, block = (rows.values.field(f).to_numpy()[order] for f in ("node", "n", "comp", "block"))
-                cells = rows.values.field(cell).to_pylist()
+                cells, seen = rows.values.field(cell).to_pylist(), Counter()
+                named = comp if name == "comp" else node
                 for i, j in found(n, comp, block, [cells[k] for k in order], lo, hi):
-                    left.append(min(node[i], node[j]))
-                    right.append(max(node[i], node[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                    left.append(named[i])
+                    right.append(named[j])
+                    part.append(seen[i] // PARTNERS)
+                    seen[i] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(part, pa.int32())], names=["a", "b", "part"])
 
     lists = groups.groupBy(key, "lo", "hi").agg(F.collect_list(F.struct("node", "n", "comp", "block", cell)).alias("rows")).filter(F.size("rows") > 1)
-    return lists.select("lo", "hi", "rows").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("lo", "hi", "rows").mapInArrow(run, "a long, b long, part int")
 
 
 def _matrix(cells: list[bytes]) -> np.ndarray:
@@ -250,7 +255,7 @@ def _first_pairs(buckets: DataFrame, nodes: DataFrame, group_rows: int, salts: i
     own = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")))
     placed = dealt.withColumn("block", F.explode(own)).select("bucket", "node", "block", F.col("block").alias("lo"), F.col("block").alias("hi"))
     rows = placed.join(nodes.select("node", "n", "sig", F.col("node").alias("comp")), "node")
-    return _in_groups(rows, "bucket", "sig", lambda n, comp, block, cells, lo, hi: _forest(_matrix(cells), n))
+    return _in_groups(rows, "bucket", "sig", lambda n, comp, block, cells, lo, hi: _forest(_matrix(cells), n)).distinct()
 
 
 def _in_blocks(rows: DataFrame, key: str, size, most: int, salts: int) -> DataFrame:
@@ -281,14 +286,14 @@ def _families(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, group_rows
     """(node, comp, family) of all nodes whose component meets another one above the cutoff in some bucket; None if none does."""
     named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = _in_blocks(named, "bucket", F.lit(1), group_rows, salts).join(nodes.select("node", "n", "sig"), "node")
-    met = _in_groups(rows, "bucket", "sig", lambda n, comp, block, cells, lo, hi: _bridges(_matrix(cells), n, comp, block, lo, hi))
-    met = checkpointed(met)
+    met = _in_groups(rows, "bucket", "sig", lambda n, comp, block, cells, lo, hi: _bridges(_matrix(cells), n, comp, block, lo, hi), "comp")
+    met = checkpointed(met.drop("part"))
     if met.isEmpty():
         return None
-    every = checkpointed(nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
-    of = lambda name: every.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
-    joined = components(met.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    return checkpointed(every.join(joined.select(F.col("id").alias("comp"), F.col("component").alias("family")), "comp"))
+    family = components(met).select(F.col("id").alias("comp"), F.col("component").alias("family"))
+    # A component has the name of its first node; one that has no link is that node alone.
+    alone = family.select(F.col("comp").alias("node"), "comp", "family")
+    return checkpointed(comps.join(family, "comp").select("node", "comp", "family").unionByName(alone).distinct())
 
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -302,21 +307,11 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The (a, b) among ``pairs`` whose sets in ``full`` are similar enough.
+    """The (a, b) among ``pairs`` (a, b, part) whose sets in ``full`` are similar enough.
 
-    The node with more partners is read first, once for each ``PARTNERS`` of them, and its partners' sets
-    are held against it one by one.
+    The first set is read once for each part of its partners, and these are held against it one by one.
     """
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("partners"))
-    of = lambda name: degree.select(F.col("node").alias(name), F.col("partners").alias(f"{name}_partners"))
-    counted = pairs.join(of("a"), "a").join(of("b"), "b")
-    swap = F.col("b_partners") > F.col("a_partners")
-    hub = counted.select(
-        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"),
-        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("node"),
-        F.ceil(F.greatest("a_partners", "b_partners") / PARTNERS).alias("parts"),
-    )
-    hub = checkpointed(hub.select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    hub = pairs.withColumnsRenamed({"a": "hub", "b": "node"})
     heads = hub.select("hub", "part").distinct().join(full.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("node"), "set")
     rows = heads.unionByName(hub.join(full, "node").select("hub", "part", "node", "set"))
 
@@ -345,10 +340,9 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = ONE_TASK) -> DataFrame:
     """(id, component): the smallest id reachable over (a, b), for every id that has a link.
 
-    The links are counted first: up to ``most`` of them are joined by union-find in one task, which spares
+    Links that are written already are counted first: up to ``most`` of them are joined by union-find in one task, which spares
     rounds of joins over few rows, and more of them by these rounds. Both give the same rows.
     """
-    edges = checkpointed(edges)
     if edges.count() > most:
         return by_joins(edges)
 
@@ -376,14 +370,14 @@ def linked(nodes: DataFrame, docs: DataFrame, group_rows: int = GROUP_ROWS, salt
     if families is None:
         return comps
     # Nearly all of them have been in a pair already.
-    more = checkpointed(nodes.join(families, "node", "left_semi").join(full, "node", "left_anti").select("node", "r1", "r2"))
+    more = checkpointed(families.select("node").join(full.select("node"), "node", "left_anti"))
     if not more.isEmpty():
-        full = full.unionByName(_sets(more, docs))
+        full = full.unionByName(_sets(nodes.join(more, "node").select("node", "r1", "r2"), docs))
     rows = _in_blocks(families.join(nodes.select("node", "n"), "node"), "family", F.col("n"), group_elements, salts)
     rows = rows.join(full.withColumn("n", F.octet_length("set") / 8), "node")
     arrays = lambda cells: [np.frombuffer(c, np.uint64) for c in cells]
     found = _in_groups(rows, "family", "set", lambda n, comp, block, cells, lo, hi: _across(arrays(cells), comp, block, lo, hi))
-    return components(links.unionByName(found))
+    return components(checkpointed(links.unionByName(found.drop("part"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, salts: int = 16, group_elements: int = GROUP_ELEMENTS) -> DataFrame:
