@@ -106,3 +106,24 @@ def metrics(each: DataFrame) -> DataFrame:
         F.count_if(kind == NEGATIVE).alias("negatives"),
         F.max(F.when(kind == NEGATIVE, F.col("best_score"))).alias("best_negative_score"),
     )
+
+
+def parity(one: DataFrame, two: DataFrame, digits: int = 9) -> DataFrame:
+    """How two rankings (id, rank, episode_id, line_no, score) compare as ordered sequences, a row for each id that either has.
+
+    ``moved_at`` is the first rank at which they differ, null where they don't, and ``why`` says how: score (the
+    same line with another score), order (both lines are in both rankings), entered (the second ranking's line
+    isn't in the first one), left (the other way round, or the second one ends here). Scores are compared at
+    ``digits``. Queries that find nothing in either ranking have no row.
+    """
+    hit = lambda df, name: df.select("id", "rank", F.struct("episode_id", "line_no").alias(name), F.round("score", digits).alias(f"{name}_score"))
+    listed = lambda df, name: df.groupBy("id").agg(F.collect_set(F.struct("episode_id", "line_no")).alias(name))  # noqa: E731  of a page each
+    a, b = hit(one, "a"), hit(two, "b")
+    both = a.join(b, ["id", "rank"], "full_outer")
+    same = F.col("a").eqNullSafe(F.col("b")) & F.col("a_score").eqNullSafe(F.col("b_score"))
+    first = both.groupBy("id").agg(F.min(F.when(~same, F.struct("rank", "a", "b"))).alias("m"), F.greatest(F.count("a"), F.count("b")).alias("hits"))
+    known = first.join(listed(one, "in_a"), "id", "left").join(listed(two, "in_b"), "id", "left")
+    x, y = F.col("m.a"), F.col("m.b")
+    inside = lambda names, v: F.coalesce(F.array_contains(names, v), F.lit(False))
+    why = F.when(F.col("m").isNotNull(), F.when(x.eqNullSafe(y), "score").when(y.isNull(), "left").when(~inside("in_a", y), "entered").when(x.isNotNull() & ~inside("in_b", x), "left").otherwise("order"))
+    return known.select("id", "hits", F.col("m").isNull().alias("same"), F.col("m.rank").alias("moved_at"), why.alias("why"), x["episode_id"].alias("one_episode"), y["episode_id"].alias("two_episode"))

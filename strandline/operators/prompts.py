@@ -98,3 +98,49 @@ def settled(observed: DataFrame, quiet_ms: int = QUIET_MS, look_ms: int = LOOK_M
     calm = runs.withColumn("since", since).filter(F.col("payload").isNotNull() & (F.col("seen_ms") - F.col("since") >= quiet_ms) & (F.col("seen_ms") - F.col("first") <= look_ms))
     first = calm.groupBy("session_id", "turn_id").agg(F.min(F.struct("seen_ms", "payload")).alias("hit"))
     return first.select("session_id", "turn_id", "hit.seen_ms", "hit.payload")
+
+
+class Settling(StatefulProcessor):
+    """Holds what a turn looked like last, since when, and when it was first looked at, until its window is over."""
+
+    def __init__(self, quiet_ms: int = QUIET_MS, look_ms: int = LOOK_MS):
+        self.quiet_ms, self.look_ms = quiet_ms, look_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("turn", "first_ms long, since_ms long, payload string, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        looks = sorted(((at, "" if p is None else p, p) for pdf in rows for at, p in zip(pdf["seen_ms"].tolist(), pdf["payload"])), key=lambda x: x[:2])
+        held = self.state.get() if self.state.exists() else None
+        if held is None:
+            # Whatever comes of it, nothing of a turn is kept beyond its window.
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.look_ms)
+        first, since, payload, done = held or (looks[0][0], looks[0][0], looks[0][2], False)
+        out = []
+        for at, _, p in looks:
+            if p != payload:
+                since, payload = at, p
+            if not done and p is not None and at - since >= self.quiet_ms and at - first <= self.look_ms:
+                done = True
+                out.append((*key, at, p))
+        self.state.update((first, since, payload, done))
+        yield pd.DataFrame(out, columns=["session_id", "turn_id", "seen_ms", "payload"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["session_id", "turn_id", "seen_ms", "payload"])
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(observed: DataFrame, quiet_ms: int = QUIET_MS, look_ms: int = LOOK_MS) -> DataFrame:
+    """``settled`` over a stream of looks. Needs the RocksDB state store.
+
+    Looks within a micro-batch may come in any order, micro-batches in that of their looks. A turn is given up,
+    and its state goes, once ``look_ms`` have passed by the clock since it was first seen; looks that come
+    after that begin a new window. A stream with such timers doesn't end by itself.
+    """
+    looks = observed.select("session_id", "turn_id", F.col("seen_ms").cast("long"), "payload")
+    return looks.groupBy("session_id", "turn_id").transformWithStateInPandas(Settling(quiet_ms, look_ms), "session_id string, turn_id string, seen_ms long, payload string", "Append", "ProcessingTime")

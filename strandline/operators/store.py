@@ -179,6 +179,36 @@ class Store:
             self._commit(new)
         return report
 
+    def upsert(self, files: DataFrame, derive) -> dict:
+        """Take in (rel_path, content) of files that came or changed, without a look at any other: indexed and unchanged files.
+
+        What was noted of the rest of the corpus still holds. Equal files change nothing, so it can be done again.
+        """
+        self.refresh()
+        if self.snapshot is None:
+            report = self.sync(files, derive=derive)
+            return {"indexed": report["indexed"], "unchanged": report["unchanged"]}
+        old, parts = self.snapshot, self.snapshot["parts"]
+        hashed = files.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256))
+        given = checkpointed(hashed.select("rel_path", "file_hash"))
+        changed = [r[0] for r in given.select(part_of(F.col("rel_path"), parts)).distinct().collect()]
+        before = self._scan("files", changed).select("rel_path", "episode_id", F.col("file_hash").alias("hash_")).join(given, "rel_path")
+        before = checkpointed(before.select("rel_path", "episode_id", F.col("hash_").alias("file_hash"), (F.col("hash_") == F.col("file_hash")).alias("same")))
+        todo = given.join(before.filter("same").select("rel_path"), "rel_path", "left_anti").select("rel_path")
+        came = derive(hashed.join(todo, "rel_path", "left_semi"))
+        came = came if "recorded_digest" in came.columns else came.withColumn("recorded_digest", F.lit(None).cast("string"))
+        came = checkpointed(came.select(*[c.split()[0] for c in TABLES["files"].split(", ")]))
+        gone = before.filter("NOT same")
+        plus, minus = sums(came.select("rel_path", "file_hash"), parts), sums(gone.select("rel_path", "file_hash"), parts)
+        indexed = 0
+        if plus:
+            new = old | {"number": old["number"] + 1, "sums": dict(old["sums"]), "files_seen": None, "latest_ms": None}
+            for p, more in plus.items():
+                new["sums"][p] = [x + y - z for x, y, z in zip(new["sums"].get(p, [0, 0, 0]), more, minus.get(p, [0, 0, 0]))]
+            indexed, _ = self._change(new, hashed, came, gone.select("rel_path", "episode_id"), sorted(map(int, plus)))
+            self._commit(new)
+        return {"indexed": indexed, "unchanged": given.count() - indexed}
+
     def _change(self, new: dict, hashed: DataFrame, came: DataFrame, gone: DataFrame, changed: list[int]) -> tuple[int, int]:
         """Write the segments of a sync into ``new``: files that came (with what they hold) and paths that went or had other content."""
         first, parts, segment = self.snapshot is None, new["parts"], f"{new['number']:012d}-{uuid.uuid4().hex[:8]}"

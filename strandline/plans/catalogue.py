@@ -426,6 +426,76 @@ def search_via_postings_eval_lane(spark, d):
     return _hits(retrieval.page(found.hits, found.plan, 50))
 
 
+_KNOWN = _page_sql().replace("AND regexp_matches(l.line, t.pattern)", f"AND l.episode_id NOT IN {_LOW} AND regexp_matches(l.line, t.pattern)")
+
+
+@query(_KNOWN)
+def search_verifies_sources(spark, d):
+    """Documents of low quality were edited or went after the last sync: searches leave them out, and count the rest alone."""
+    found = _store(spark, _parsed(spark, d))
+    low = views.table(spark, d, "labels").filter("quality = 0").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("episode_id"), F.lit(True).alias("low")).distinct()
+    now = _parsed(spark, d).join(low, "episode_id", "left").filter(~(F.coalesce("low", F.lit(False)) & F.col("episode_id").endswith("1")))
+    now = now.withColumn("content", F.when(F.col("low"), F.concat("content", F.lit(" and more"))).otherwise(F.col("content")))
+    hits = found.search(QUERY, WORLD, NOW_MS, digits=9, sources=store.hashes_of(now))
+    return _hits(retrieval.page(hits.hits, hits.plan, 10))
+
+
+@query(f"WITH {POSTS} SELECT DISTINCT world, term FROM posts WHERE episode_id NOT IN {_LOW}")
+def projection_emptied_records(spark, d):
+    """The vocabulary once the documents of low quality were edited so that no term is left in them."""
+    low = views.table(spark, d, "labels").filter("quality = 0").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("episode_id"), F.lit(True).alias("low")).distinct()
+    now = _parsed(spark, d).join(low, "episode_id", "left").withColumn("content", F.when(F.col("low"), "the").otherwise(F.col("content"))).drop("low")
+    return _store(spark, _parsed(spark, d), now).statistics().select("world", "term")
+
+
+@query(f"WITH {GRAMS} SELECT * FROM grams")
+def projection_trigrams(spark, d):
+    """The stored index of trigrams after a sync of an earlier state and one of the present state."""
+    return _store(spark, _earlier(spark, d), _parsed(spark, d)).read("trigrams")
+
+
+@query(_SQL["vocab_candidates_scan"])
+def vocab_candidates_stored(spark, d):
+    """Terms that hold a needle, from the parts of the stored index that have the needles' trigrams."""
+    return _store(spark, _earlier(spark, d), _parsed(spark, d)).terms_with(WORLD, NEEDLES).orderBy("term").limit(1024)
+
+
+@query(f"WITH {POSTS} SELECT * FROM posts")
+def projection_compacted(spark, d):
+    """Postings after three syncs and a compaction."""
+    found = _store(spark, _earlier(spark, d), _without_low_quality(spark, d), _parsed(spark, d))
+    found.compact()
+    return found.read("postings").select("world", "lane", "term", "episode_id", "line_no")
+
+
+def _parity_sql(*pages: str) -> str:
+    return f"""WITH a AS (SELECT * FROM ({pages[0]})), b AS (SELECT * FROM ({pages[1]})),
+both_ AS (SELECT coalesce(a.rank, b.rank) AS rank, a.episode_id AS ae, a.line_no AS al, a.score AS sa, b.episode_id AS be, b.line_no AS bl, b.score AS sb FROM a FULL JOIN b ON a.rank = b.rank),
+moved AS (SELECT * FROM both_ WHERE (ae, al, sa) IS DISTINCT FROM (be, bl, sb) ORDER BY rank LIMIT 1)
+SELECT (SELECT count(*) FROM both_) AS hits, m.rank IS NULL AS same, m.rank AS moved_at,
+ CASE WHEN m.rank IS NULL THEN NULL WHEN ae IS NOT DISTINCT FROM be AND al IS NOT DISTINCT FROM bl THEN 'score' WHEN be IS NULL THEN 'left'
+  WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.episode_id = m.be AND a.line_no = m.bl) THEN 'entered'
+  WHEN ae IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b WHERE b.episode_id = m.ae AND b.line_no = m.al) THEN 'left' ELSE 'order' END AS why,
+ ae AS one_episode, be AS two_episode FROM (SELECT 1) LEFT JOIN moved m ON true"""
+
+
+def _parity(spark, d, how):
+    one, two = _page(spark, d, limit=50), _page(spark, d, limit=50, **how)
+    return evaluation.parity(*[h.withColumn("id", F.lit("q")) for h in (one, two)], 6).drop("id")
+
+
+@query(_parity_sql(_page_sql(limit=50), _page_sql(limit=50, mode="whole_word")))
+def ranking_parity(spark, d):
+    """The first place at which a ranking moves when whole words are asked for, and why."""
+    return _parity(spark, d, {"knobs": retrieval.Knobs(mode="whole_word")})
+
+
+@query(_parity_sql(_page_sql(limit=50), _page_sql(limit=50, window=8)))
+def ranking_parity_window(spark, d):
+    """The same for wider spans."""
+    return _parity(spark, d, {"knobs": retrieval.Knobs(context_window=8)})
+
+
 # Identity, contract, capture
 
 

@@ -7,7 +7,6 @@ other without following links, for reading and for writing alike.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -211,18 +210,22 @@ def read(spark: SparkSession, root: str, stat_only: bool = False) -> DataFrame:
     return spark.read.format("corpus").option("stat_only", str(stat_only).lower()).load(root)
 
 
-def hashes_at(root: str):
-    """What ``sources`` of a search asks for: hashes of the records at some paths below ``root``, read by the tasks that have the paths."""
+def contents_at(root: str):
+    """A function from (rel_path) to (rel_path, content) of the records there below ``root``, read by the tasks that have the paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for path in batch.column(0).to_pylist():
                 with suppress(OSError, ValueError):  # gone, or no record any more
-                    rows.append((path, hashlib.sha256(contained(root, path)[1]).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["rel_path", "file_hash"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([contained(root, path)[1]], pa.binary())], names=["rel_path", "content"])
+
+    return lambda paths: paths.select("rel_path").mapInArrow(run, "rel_path string, content binary")
 
-    return lambda paths: paths.select("rel_path").mapInArrow(run, "rel_path string, file_hash string")
+
+def hashes_at(root: str):
+    """What ``sources`` of a search asks for: hashes of the records at some paths below ``root``."""
+    ask = contents_at(root)
+    return lambda paths: ask(paths).select("rel_path", F.sha2("content", 256).alias("file_hash"))
 
 
 def signature(spark: SparkSession, root: str) -> DataFrame:
