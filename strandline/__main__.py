@@ -10,6 +10,7 @@ import json
 import os
 import sys
 import time
+from datetime import UTC, datetime
 
 VERSION = "2"
 EXITS = dict.fromkeys(("match", "no_match", "published", "duplicate", "superseded", "saved"), 0) | {"malformed": 2, "conflict": 3}
@@ -28,13 +29,15 @@ def parser() -> argparse.ArgumentParser:
         if root:
             p.add_argument("--index", help="folder of the projection")
         if world:
-            p.add_argument("--world", default="main")
+            p.add_argument("--world")
             p.add_argument("--scope")
+            p.add_argument("--config", help="the owner's configuration")
         return p
 
     command("capture", "payloads")
     search = command("search", "query", world=True)
-    search.add_argument("--limit", type=int, default=10)
+    search.add_argument("--limit", type=int)
+    search.add_argument("--miss-log", help="log of weak queries, written if the configuration says so")
     search.add_argument("--cursor")
     search.add_argument("--lanes", type=lanes, default=None)
     search.add_argument("--thesaurus")
@@ -98,8 +101,11 @@ def run(args, spark) -> dict:
     from strandline.operators import analytics, capture, engine, projection, retrieval
     from strandline.operators.reports import lines_of
     from strandline.operators.store import Store
-    from strandline.sources import corpus, thesaurus
+    from strandline.sources import config, corpus, thesaurus
 
+    owner = config.load(getattr(args, "config", None))
+    world = getattr(args, "world", None) or owner.default_world or "main"
+    now_ms = getattr(args, "now_ms", None) or int(time.time() * 1000)
     if args.command == "alias":
         rows = analytics.top_weak_queries(thesaurus.weak_log(spark, args.term), args.limit).collect()
         return {"candidates": [r.asDict() for r in rows]}
@@ -122,9 +128,15 @@ def run(args, spark) -> dict:
         alone = next(iter(counts)) if len(counts) == 1 else "match"
         return {"outcome": alone, "outcomes": counts, "written": paths, "index": state}
     if args.command == "search":
-        aliases = thesaurus.load(args.thesaurus) if args.thesaurus else None
+        words = args.thesaurus or owner.thesaurus_path
+        aliases = thesaurus.load(words) if words else None
+        knobs = retrieval.Knobs(owner.context_window, owner.recency_boost, owner.min_score, owner.confidence_floor)
         stale = store.meta() is None
-        report = engine.search(store, args.query, args.now_ms or int(time.time() * 1000), args.world, args.scope, args.lanes or retrieval.DEFAULT_LANES, aliases, args.limit, args.cursor, stale=stale, sources=corpus.hashes_at(args.root))
+        report = engine.search(store, args.query, now_ms, world, args.scope, args.lanes or retrieval.DEFAULT_LANES, aliases, args.limit or owner.max_results, args.cursor, knobs, stale, corpus.hashes_at(args.root))
+        if owner.miss_log and report.outcome in ("match", "no_match") and report.best_score < owner.confidence_floor:
+            log = args.miss_log or os.path.join(os.path.dirname(identity.projection_path(args.root)), "weak-queries.jsonl")
+            ts = datetime.fromtimestamp(now_ms // 1000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+            thesaurus.log_weak(log, ts, args.query, report.query_terms, report.best_score, report.hits[0]["episode_id"] if report.hits else None, owner.miss_log_max_bytes)
         return report if args.text else engine.as_json(report)
     if args.command == "get":
         try:
@@ -144,7 +156,7 @@ def run(args, spark) -> dict:
         report = engine.get(files, args.episode_id, args.revision, first, last, row and row["rel_path"], scope=args.scope)
         return report if args.text else engine.as_json(report)
     if args.command == "catalog":
-        rows = projection.catalog(store.read("episodes").select("world", "scope"), args.world, args.scope or "default").collect()
+        rows = projection.catalog(store.read("episodes").select("world", "scope"), world, args.scope or owner.scope).collect()
         return {"pairs": [r.asDict() for r in sorted(rows, key=lambda r: (not r["is_default"], r["world"], r["scope"]))]}
     signature = engine.signature_of(spark, args.root)
     files, unreadable = engine.records_in(spark, args.root)
@@ -152,7 +164,7 @@ def run(args, spark) -> dict:
         return engine.sync(files, store, unreadable, signature=signature)
     if args.command == "reseal":
         return engine.reseal(files, args.root, store, args.preview)
-    return engine.status(files, store)
+    return engine.status_at(spark, args.root, store, now_ms)
 
 
 def main(argv: list[str] | None = None) -> int:

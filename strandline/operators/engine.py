@@ -36,6 +36,11 @@ class SearchReport:
     detail: str | None = None
     edited_excluded: int = 0
     hits: list = field(default_factory=list)
+    query: str = ""
+    #: What the projection holds, where one was searched: records that searches see, and files that were left out.
+    index: dict | None = None
+    #: Which world, scope and lanes were searched, and with which thesaurus.
+    identities: dict | None = None
 
 
 def search(records: DataFrame | Store, query: str, now_ms: int, world: str = "main", scope: str | None = None, lanes=retrieval.DEFAULT_LANES, aliases=None, limit: int = 10, cursor: str | None = None, knobs: retrieval.Knobs = retrieval.Knobs(), stale: bool = False, sources=None) -> SearchReport:
@@ -50,9 +55,11 @@ def search(records: DataFrame | Store, query: str, now_ms: int, world: str = "ma
         found = records.search(query, world, now_ms, scope, lanes, aliases, knobs, sources=sources)
     else:
         found = retrieval.search(records, projection.body_lines(records), query, world, now_ms, scope, lanes, aliases, knobs)
+    shown = {"world": world, "scope": scope, "lanes": list(lanes), "thesaurus": thesaurus.digest(aliases or {}), "scorer": retrieval.SCORER}
+    index = {"indexed": records.snapshot["episodes"], "excluded": records.snapshot["skipped"] + records.snapshot["duplicates"]} if isinstance(records, Store) and records.snapshot else None
     if found is None:
-        return SearchReport("no_match")
-    out = SearchReport("match", found.plan.base, found.plan.alias_terms, found.plan.folded_terms, detail=found.detail)
+        return SearchReport("no_match", query=query, index=index, identities=shown)
+    out = SearchReport("match", found.plan.base, found.plan.alias_terms, found.plan.folded_terms, detail=found.detail, query=query, index=index, identities=shown)
     out.edited_excluded = found.edited.count() if found.edited is not None else 0
     totals = found.hits.agg(F.count("*"), F.max("score")).first()
     out.total, out.best_score = totals[0], totals[1] or 0.0
@@ -60,14 +67,14 @@ def search(records: DataFrame | Store, query: str, now_ms: int, world: str = "ma
     try:
         offset = retrieval.cursor_offset(cursor, guard) if cursor is not None else 0
     except ValueError:
-        return SearchReport("malformed", out.query_terms, out.alias_terms, out.folded_terms, out.total, out.best_score, detail="cursor does not match this query")
+        return SearchReport("malformed", out.query_terms, out.alias_terms, out.folded_terms, out.total, out.best_score, detail="cursor does not match this query", query=query, index=index, identities=shown)
     if not out.total:
         out.outcome = "index_stale" if stale else "no_match"
         return out
     limit = max(min(limit or retrieval.DEFAULT_RESULTS, retrieval.MAX_RESULTS), 1)
     page = checkpointed(retrieval.page(found.hits, found.plan, limit, offset, knobs.confidence_floor).drop("content"))
-    shown = records.with_snippets(page, knobs.context_window) if isinstance(records, Store) else retrieval.with_snippets(page.drop("body_line"), records, knobs.context_window)
-    rows = shown.orderBy("rank").collect()
+    rows = records.with_snippets(page, knobs.context_window) if isinstance(records, Store) else retrieval.with_snippets(page.drop("body_line"), records, knobs.context_window)
+    rows = rows.orderBy("rank").collect()
     keep = ("episode_id", "rel_path", "scope", "lane", "event_time_ms", "line_no", "snippet", "snippet_start", "snippet_end", "matched_terms", "score", "confidence")
     out.hits = [{k: r[k] for k in keep} | ({"revision": "sha256:" + r["recorded_digest"]} if "recorded_digest" in r else {}) for r in rows]
     if offset + limit < out.total:
@@ -154,6 +161,16 @@ def status(files: DataFrame, stored: DataFrame | Store, formats: Formats = DEFAU
     return counts | {"copies": counts["verified"] - counts["episodes"], "freshness": fresh}
 
 
+def status_at(spark: SparkSession, root: str, store: Store, now_ms: int, formats: Formats = DEFAULT) -> dict:
+    """``status`` of a corpus folder. Where the signature says that nothing changed, the projection's own table is counted and no file is opened."""
+    if not store.holds(signature_of(spark, root), now_ms):
+        return status(records_in(spark, root)[0], store, formats)
+    is_ = lambda name: F.count_if(F.col("verify_status") == name)
+    ok = F.when(F.col("verify_status") == "ok", F.col("episode_id"))
+    counts = store.read("files").agg(F.count("*").alias("files"), F.count_distinct(ok).alias("episodes"), is_("ok").alias("verified"), is_("malformed").alias("malformed"), is_("digest_mismatch").alias("mismatched")).first().asDict()
+    return counts | {"copies": counts["verified"] - counts["episodes"], "freshness": "current"}
+
+
 def records_in(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     """(rel_path, content) of a corpus folder's records, and how many files or folders can't be read."""
     found = corpus.read(spark, root)

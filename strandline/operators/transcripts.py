@@ -21,16 +21,25 @@ LEGACY_TYPES = {"conversation": "imported-conversation", "conversation_journal":
 _TAGS = "|".join(SYNTHETIC_TAGS)
 #: Blocks at the head, one after the other; one that isn't closed goes on to the end.
 _HEAD = re.compile(rf"\A(?:\s*<({_TAGS})>(?:(?:(?!</\1>).)*</\1>|.*))*\s*", re.DOTALL)
-#: A block that ends the text, from the last place where its tag opens.
-_TAIL = re.compile(rf"\s*<({_TAGS})>(?:(?!<\1>).)*</\1>\s*\Z", re.DOTALL)
+_CLOSED = tuple(f"</{t}>" for t in SYNTHETIC_TAGS)
 
 
 def strip_synthetic(text: str) -> str:
-    """A prompt without the tagged blocks at its two ends; an open one at the head takes all."""
-    rest, cut = _HEAD.sub("", text, count=1), 1
-    while cut:
-        rest, cut = _TAIL.subn("", rest, count=1)
-    return rest.strip()
+    """A prompt without the tagged blocks at its two ends; an open one at the head takes all.
+
+    A block at the end begins at the last place where its tag opens. Every character is looked at a few times.
+    """
+    rest = _HEAD.sub("", text, count=1)
+    end = len(rest.rstrip())
+    while rest.endswith(_CLOSED, 0, end):
+        tag = rest[rest.rfind("</", 0, end) + 2 : end]
+        begin = rest.rfind(f"<{tag}", 0, end)
+        if begin < 0:
+            break
+        while begin and rest[begin - 1].isspace():
+            begin -= 1
+        end = begin
+    return rest[:end].strip()
 
 
 def _inner(text: str, tag: str) -> str:

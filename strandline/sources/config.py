@@ -113,6 +113,14 @@ def parse(raw: bytes) -> Config:
     return out
 
 
+def load(path: str | None) -> Config:
+    """The owner's configuration; the defaults where there is no file."""
+    if path is None or not os.path.exists(path):
+        return Config()
+    with open(path, "rb") as f:
+        return parse(f.read(MAX_BYTES + 1))
+
+
 def _shown(value, depth: int = 0) -> str:
     """Two blanks a level; numbers in plain decimal notation; only what JSON demands is escaped."""
     pad = "  " * (depth + 1)

@@ -80,11 +80,12 @@ def save(path: str, found: dict[str, list[str]]) -> None:
     os.replace(part, path)
 
 
-def log_weak(path: str, ts: str, query: str, terms: list[str], best: float, top: str | None) -> bool:
+def log_weak(path: str, ts: str, query: str, terms: list[str], best: float, top: str | None, most: int = MAX_LOG) -> bool:
     """Append one line unless the log is full."""
     line = json.dumps({"ts": ts, "query": query, "terms": terms, "best": best, "top": top}, ensure_ascii=False) + "\n"
-    if os.path.exists(path) and os.path.getsize(path) + len(line.encode()) > MAX_LOG:
+    if os.path.exists(path) and os.path.getsize(path) + len(line.encode()) > most:
         return False
+    os.makedirs(os.path.dirname(os.path.abspath(path)), 0o700, exist_ok=True)
     with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_APPEND, 0o600), "a", encoding="utf-8") as f:
         f.write(line)
     return True

@@ -265,3 +265,17 @@ def test_weak_queries(spark, tmp_path):
         f.write("not json\n")
     got = {r["query"]: (r["count"], r["terms"]) for r in analytics.weak_queries(thesaurus.weak_log(spark, path)).collect()}
     assert got == {"fox": (2, ["den", "fox"]), "bär": (1, ["r"])}
+
+
+def test_strip_synthetic_is_linear():
+    """Runs of blanks and many blocks take time in proportion to the text."""
+    import time
+
+    block = "<system-reminder>x</system-reminder>"
+    began = time.perf_counter()
+    assert transcripts.strip_synthetic("ask" + " " * 400_000 + "this") == "ask" + " " * 400_000 + "this"
+    assert transcripts.strip_synthetic("ask this" + (" " * 50 + block) * 5000) == "ask this"
+    assert transcripts.strip_synthetic(block * 5000 + " ask this") == "ask this"
+    assert time.perf_counter() - began < 3
+    assert transcripts.strip_synthetic("a <system-reminder>b <system-reminder>c</system-reminder>") == "a <system-reminder>b"
+    assert transcripts.strip_synthetic("a </system-reminder>") == "a </system-reminder>"
