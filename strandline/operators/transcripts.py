@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.contracts import is_token
@@ -78,6 +78,18 @@ def entry(raw: str) -> dict | None:
     return out | {"kind": "other"}
 
 
+def logs(spark: SparkSession, paths: str) -> DataFrame:
+    """(session, line_no, value) of log files, one JSON object a line; a session is named by its file.
+
+    Large files are read in pieces. Of files of one name in several folders the first by path counts.
+    """
+    at = {"session": F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""), "path_": F.col("_metadata.file_path"), "block_": F.col("_metadata.file_block_start"), "row_": F.monotonically_increasing_id()}
+    lines = spark.read.text(paths).withColumns(at)
+    by = Window.partitionBy("session")
+    first = lines.withColumn("first_", F.min("path_").over(by)).filter("path_ = first_")
+    return first.select("session", F.row_number().over(by.orderBy("block_", "row_")).cast("long").alias("line_no"), "value")
+
+
 ENTRY = "kind string, text string, terminal boolean, tools array<string>, uuid string, timestamp string"
 
 

@@ -103,6 +103,12 @@ def digest_probe(content: Column) -> Column:
     return F.nullif(F.regexp_extract(head, r"(?m)^payload_digest: sha256:([0-9a-f]{64})$", 1), F.lit(""))
 
 
+def header_value(content: Column | str, name: str) -> Column:
+    """The last value of a header line by its name, without looking at anything else; null if there is none."""
+    head = F.regexp_extract(content, r"\A---\n(?s:(.*?))\n---\n", 1)
+    return F.try_element_at(F.regexp_extract_all(head, F.lit(rf"(?m)^{name}: (.*)$"), F.lit(1)), F.lit(-1))
+
+
 def _digest_of(reading: Column, formats: Formats) -> Column:
     return payload_digest(formats, **{n: reading[n] for n in ("user_content", "assistant_result", "tools")})
 

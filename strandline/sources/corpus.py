@@ -7,6 +7,7 @@ other without following links, for reading and for writing alike.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -293,6 +294,42 @@ def write(records: DataFrame, root: str) -> DataFrame:
         os.rmdir(log)
 
 
+def remove_one(root: str, path: str, file_hash: str) -> str:
+    """Take one record away if it still is what ``file_hash`` says: deleted, changed, or gone where nothing is there.
+
+    What can't be read as a record counts as changed, and stays.
+    """
+    folder, _, name = path.rpartition("/")
+    try:
+        content = contained(root, path)[1]
+        if hashlib.sha256(content).hexdigest() != file_hash:
+            return "changed"
+        with opened(root, folder) as fd:
+            os.unlink(name, dir_fd=fd)
+            os.fsync(fd)
+        return "deleted"
+    except FileNotFoundError:
+        return "gone"
+    except (OSError, ValueError):
+        return "changed"
+
+
+def remove(records: DataFrame, root: str) -> DataFrame:
+    """Take (rel_path, file_hash) away below ``root`` as the result is computed: (rel_path, outcome).
+
+    A task that runs again finds the files of its first attempt gone, so gone and deleted mean the same to a caller
+    that saw them. An edit between the look and the removal goes with the file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            outcomes = [remove_one(root, p, h) for p, h in zip(paths, hashes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outcomes, pa.string())], names=["rel_path", "outcome"])
+
+    return records.select("rel_path", "file_hash").mapInArrow(run, "rel_path string, outcome string")
+
+
 def in_shared_directory(root: str) -> bool:
     """Whether others may write where ``root`` lies or would be made: into its nearest directory above that exists."""
     above = os.path.dirname(os.path.abspath(root))
