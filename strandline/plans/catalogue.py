@@ -10,11 +10,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from strandline.functions import contracts, identity, text
-from strandline.operators import analytics, capture, evaluation, projection, prompts, redaction, retrieval, store, turns, verify
-from strandline.sources.folders import shared_folder
+from strandline.operators import analytics, capture, evaluation, projection, prompts, redaction, repair, retrieval, store, transcripts, turns, verify
+from strandline.sources import corpus
+from strandline.sources.folders import local_path, shared_folder
 
 from . import views
-from .views import GRAMS, LINES, NOW_MS, PAYLOADS, POSTS, REC, STATS, TURNS
+from .views import BEGIN_MS, GRAMS, HOUR_MS, LINES, LOGGED, NOW_MS, PAYLOADS, POSTS, REC, STATS, TURNS
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -555,6 +556,50 @@ def reseal_preview(spark, d):
     return verify.reseal_preview(_stored_records(spark, d)).select("rel_path", "action")
 
 
+# Transcripts, and the repair of records by them
+
+
+@query(f"WITH {LOGGED} SELECT session_id, turn, turn_id, user_content, assistant_result, 'search,read' AS tools, event_time_ms FROM logged")
+def transcript_turns(spark, d):
+    """Conversations as logs with injected entries, command envelopes, tagged blocks and tool calls, read as turns."""
+    found = transcripts.completed_turns(transcripts.entries(views.log_lines(spark, d)))
+    return found.select(F.col("session").alias("session_id"), "turn", "turn_id", "user_content", "assistant_result", F.array_join("tools", ",").alias("tools"), "event_time_ms")
+
+
+_REPLAYED = f"""{LOGGED}, old AS (
+  SELECT concat(CASE role WHEN 'system' THEN 'lost-' ELSE 'conv-' END, conv_id) AS session_id, concat('u', turn) AS old_turn_id, {BEGIN_MS} + conv_id * {HOUR_MS} + turn * 1000 AS old_time_ms,
+         CASE role WHEN 'user' THEN no END AS turn FROM entered WHERE role <> 'assistant'
+), replayed AS (
+  SELECT o.*, l.turn_id, l.event_time_ms, CASE WHEN starts_with(session_id, 'lost') THEN 'no_transcript' WHEN l.turn_id IS NULL THEN 'not_publishable' ELSE 'replace' END AS action
+  FROM old o LEFT JOIN logged l USING (session_id, turn)
+)"""
+
+
+@query(f"WITH {_REPLAYED} SELECT session_id, old_turn_id, action, turn_id, turn_id <> old_turn_id AS reanchored FROM replayed")
+def repair_report(spark, d):
+    """What a repair would do with records of an earlier policy, some of which are anchored on what no one typed."""
+    records = repair.outdated(views.old_files(spark, d))
+    report = repair.replayed(records, transcripts.entries(views.log_lines(spark, d)), views.OLD_POLICY)
+    return report.select("session_id", "old_turn_id", "action", "turn_id", "reanchored")
+
+
+_path = lambda turn, time, policy: f"concat(strftime(make_timestamp({time} * 1000), '%Y/%m/%d'), '/aj1-', substr(sha256(concat('episode-id.v1', chr(0), 'chat', chr(0), session_id, chr(0), {turn}, chr(0), 'main', chr(0), '{policy}')), 1, 32), '.md')"
+
+
+@query(
+    f"""WITH {_REPLAYED} SELECT DISTINCT {_path('turn_id', 'event_time_ms', 'every-turn')} AS rel_path, session_id, turn_id, 'every-turn' AS capture_policy, 'ok' AS verify_status FROM replayed WHERE action = 'replace'
+UNION ALL SELECT {_path('old_turn_id', 'old_time_ms', views.OLD_POLICY)}, session_id, old_turn_id, '{views.OLD_POLICY}', 'ok' FROM replayed WHERE action <> 'replace'"""
+)
+def repair_applied(spark, d):
+    """The corpus after that repair: published into a folder, repaired there and read back."""
+    folder = f"{local_path(shared_folder(spark))}/repair-{uuid.uuid4().hex}"
+    root = f"{folder}/corpus"
+    corpus.write(views.old_files(spark, d), root)
+    held = lambda: corpus.read(spark, root).filter("kind = 'episode'").select("rel_path", F.col("content").cast("string").alias("content"))
+    repair.Repair(spark, root, f"file://{folder}/ledger").run(held(), transcripts.entries(views.log_lines(spark, d)), views.OLD_POLICY, "every-turn", "1.0", NOW_MS)
+    return verify.verified(held()).select("rel_path", "session_id", "turn_id", "capture_policy", "verify_status")
+
+
 @query()
 def redacted_messages(spark, d):
     """Conversations as JSON lines without their content; hashing words by line has no SQL."""

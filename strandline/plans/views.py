@@ -136,3 +136,61 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("branch_of"),
         F.lit(None).cast("string").alias("host"),
     )
+
+
+OLD_POLICY = "every-turn.v0"
+
+
+def _time_ms():
+    return BEGIN_MS + F.col("conv_id") * HOUR_MS + F.col("turn") * 1000
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of session logs.
+
+    Of the user's messages one in four is injected by a program, one in eight a command's envelope, and the
+    others end in a block that a program added.
+    """
+    text = F.col("text")
+    block = lambda kind, **v: F.struct(F.lit(kind).alias("type"), *[c.alias(n) for n, c in v.items()])
+    injected = F.col("turn") % 4 == 2
+    typed = F.when(injected, text).when(F.col("turn") % 8 == 4, F.concat(F.lit("<command-name>/ask</command-name><command-args>"), text, F.lit("</command-args>")))
+    typed = typed.otherwise(F.concat(text, F.lit("\n<system-reminder>seen</system-reminder>\n")))
+    none = F.lit(None).cast("string")
+    said = F.array(block("text", text=text, name=none), block("tool_use", text=none, name=F.lit("search")), block("tool_use", text=none, name=F.lit("read")))
+    common = [F.concat(F.lit("u"), F.col("turn").cast("string")).alias("uuid"), F.date_format(F.timestamp_millis(_time_ms()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")]
+    line = (
+        F.when(F.col("role") == "user", F.to_json(F.struct(F.lit("user").alias("type"), injected.alias("isMeta"), *common, F.struct(typed.alias("content")).alias("message"))))
+        .when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant").alias("type"), *common, F.struct(F.lit("end_turn").alias("stop_reason"), said.alias("content")).alias("message"))))
+        .otherwise(F.to_json(F.struct(F.lit("system").alias("type"), *common)))
+    )
+    session = F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session")
+    return spread(table(spark, sf_dir, "conversations")).select(session, F.col("turn").alias("line_no"), line.alias("value"))
+
+
+#: The same log's completed turns: what the owner typed, and all that was said until they typed again.
+LOGGED = f"""entered AS (
+  SELECT *, sum(CASE WHEN role = 'user' AND turn % 4 <> 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS no FROM conversations
+), logged AS (
+  SELECT * FROM (
+    SELECT concat('conv-', conv_id) AS session_id, no AS turn, concat('u', min(turn)) AS turn_id, trim(arg_min(text, turn)) AS user_content,
+           string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND trim(text) <> '') AS assistant_result, {BEGIN_MS} + conv_id * {HOUR_MS} + min(turn) * 1000 AS event_time_ms
+    FROM entered WHERE no > 0 GROUP BY conv_id, no)
+  WHERE length(user_content) >= 3 AND assistant_result IS NOT NULL
+)"""
+
+
+def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of an earlier policy for each of the user's messages, typed or injected, and for each of the system's in a session without a log."""
+    from strandline.functions.identity import rendered
+    from strandline.operators.capture import prepared
+
+    c = spread(table(spark, sf_dir, "conversations")).filter("role <> 'assistant'")
+    lost = F.when(F.col("role") == "system", "lost-").otherwise("conv-")
+    fixed = {"world": "main", "scope": "default", "lane": "conversation", "harness": "chat", "adapter_version": "0.9", "capture_policy": OLD_POLICY, "turn_outcome": "completed", "assistant_result": "As it was projected.", "host": "host-a"}
+    p = c.select(
+        F.lit(1).cast("long").alias("schema_version"), *[F.lit(v).alias(n) for n, v in fixed.items()], F.concat(lost, F.col("conv_id").cast("string")).alias("session_id"),
+        F.concat(F.lit("u"), F.col("turn").cast("string")).alias("turn_id"), _time_ms().alias("event_time_ms"), _time_ms().alias("capture_time_ms"), F.col("text").alias("user_content"),
+        F.array().cast("array<string>").alias("tools"), F.lit(None).cast("string").alias("workspace_root"), F.lit(None).cast("string").alias("branch_of"),
+    )
+    return prepared(p).select("rel_path", rendered().alias("content"))

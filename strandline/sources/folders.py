@@ -33,6 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def local_path(folder: str) -> str:
+    """The path of a folder in a file system that driver and executors have mounted; ValueError for another store's."""
+    scheme, _, rest = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"a corpus needs a mounted file system, which {folder} isn't in")
+    return "/" + rest.lstrip("/") if rest.startswith("/") else rest
+
+
 def spread(scanned: DataFrame) -> DataFrame:
     """The rows of a scan over as many tasks as there are cores, where its files give fewer."""
     cores = scanned.sparkSession.sparkContext.defaultParallelism
