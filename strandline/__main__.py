@@ -1,6 +1,6 @@
 """python -m strandline COMMAND ROOT ... : one operation over a corpus folder, as JSON or as text.
 
-Commands: capture, search, get, alias, default, status, catalog, sync, reseal, version.
+Commands: capture, search, get, alias, default, status, catalog, sync, reseal, repair, version.
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ def parser() -> argparse.ArgumentParser:
     command("catalog", world=True)
     command("sync")
     command("reseal").add_argument("--preview", action="store_true")
+    repair = command("repair")
+    repair.add_argument("--transcripts", required=True, help="log files, as a pattern; a session is named by its file")
+    repair.add_argument("--old-policy", required=True)
+    repair.add_argument("--new-policy", required=True)
+    repair.add_argument("--ledger", required=True, help="folder for the plan and what became of it")
+    repair.add_argument("--apply", action="store_true", help="publish and take away; else a plan and its account alone")
     alias = command("alias", "thesaurus", root=False)
     alias.add_argument("action", choices=("list", "add", "remove", "candidates"))
     alias.add_argument("term", nargs="?", help="the term, or the log for candidates")
@@ -98,7 +104,7 @@ def run(args, spark) -> dict:
     from pyspark.sql import functions as F
 
     from strandline.functions import contracts, identity
-    from strandline.operators import analytics, capture, engine, projection, retrieval
+    from strandline.operators import analytics, capture, engine, projection, repair, retrieval, transcripts
     from strandline.operators.reports import lines_of
     from strandline.operators.store import Store
     from strandline.sources import config, corpus, thesaurus
@@ -162,6 +168,13 @@ def run(args, spark) -> dict:
     files, unreadable = engine.records_in(spark, args.root)
     if args.command == "sync":
         return engine.sync(files, store, unreadable, signature=signature)
+    if args.command == "repair":
+        job = repair.Repair(spark, args.root, args.ledger)
+        what = files, transcripts.entries(transcripts.logs(spark, args.transcripts)), args.old_policy, args.new_policy, VERSION
+        if args.apply:
+            return job.run(*what, now_ms, store).first().asDict()
+        job.plan(*what)
+        return job.account().first().asDict()
     if args.command == "reseal":
         return engine.reseal(files, args.root, store, args.preview)
     return engine.status_at(spark, args.root, store, now_ms)

@@ -136,6 +136,16 @@ def test_repair_does_not_trust_another_revision(spark, tmp_path):
     assert paths["s", "u2"] in _standing(root) and "sad" in open(f"{root}/{at}").read()
 
 
+def test_repair_from_the_command_line(spark, tmp_path):
+    from strandline import __main__ as cli
+
+    root, paths = _corpus(spark, tmp_path)
+    command = ["repair", root, "--index", str(tmp_path / "index"), "--transcripts", str(tmp_path / "logs/*/*.jsonl"), "--old-policy", OLD, "--new-policy", NEW, "--ledger", str(tmp_path / "ledger")]
+    before = _standing(root)
+    assert cli.run(cli.parser().parse_args(command), spark) == WHOLE | {"published": 0, "deleted": 0} and _standing(root) == before
+    assert cli.run(cli.parser().parse_args([*command, "--apply"]), spark) == WHOLE and paths["s", "u1"] not in _standing(root)
+
+
 def test_repair_needs_another_policy(spark, tmp_path):
     with pytest.raises(ValueError):
         repair.Repair(spark, str(tmp_path), str(tmp_path / "l")).plan(None, None, OLD, OLD, "9")
