@@ -11,14 +11,15 @@ import hashlib
 import json
 import os
 import re
+import shutil
 import stat
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
@@ -169,17 +170,59 @@ class Written(WriterCommitMessage):
     log: str
 
 
+class Claims:
+    """Files that the attempts of one task are about to publish, noted by path, inode and time before they are.
+
+    ``folder`` is the task's own; every attempt has a file there. What another attempt noted is this task's
+    file whenever it came, and what nobody noted is somebody else's, even with the same bytes.
+    """
+
+    def __init__(self, folder: str):
+        os.makedirs(folder, 0o700, exist_ok=True)
+        self.folder, self.name, self.taken = folder, uuid.uuid4().hex, set()
+        self.file = open(f"{folder}/{self.name}", "x", encoding="utf-8")
+
+    @staticmethod
+    def _line(path: str, info: os.stat_result) -> str:
+        return json.dumps([path, info.st_ino, info.st_mtime_ns])
+
+    def note(self, path: str, info: os.stat_result) -> None:
+        self.file.write(self._line(path, info) + "\n")
+        self.file.flush()
+        os.fsync(self.file.fileno())
+
+    def take(self, path: str, info: os.stat_result) -> bool:
+        """Whether another attempt made this file; true for one row of this attempt."""
+        line = self._line(path, info)
+        if line in self.taken:
+            return False
+        for name in os.listdir(self.folder):
+            if name != self.name:
+                with open(f"{self.folder}/{name}", encoding="utf-8") as noted:
+                    if any(n.rstrip("\n") == line for n in noted):
+                        self.taken.add(line)
+                        return True
+        return False
+
+    def __enter__(self) -> Claims:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
 class Writer(DataSourceWriter):
     """Publishes rows (rel_path, content, replace); a task that runs again finds its own files and says the same."""
 
     def __init__(self, options):
-        self.root, self.log, self.began = options["path"], options["log"], float(options["began"])
+        self.root, self.log = options["path"], options["log"]
 
     def write(self, iterator):
         name = f"{self.log}/{uuid.uuid4().hex}.json"
-        with open(name, "w", encoding="utf-8") as log:
+        # Spark's readers leave out names with an underscore, so the claims aren't taken for outcomes.
+        with open(name, "w", encoding="utf-8") as log, Claims(f"{self.log}/_task-{TaskContext.get().partitionId()}") as claims:
             for row in iterator:
-                outcome = publish(self.root, row["rel_path"], bytes(row["content"]), row["replace"], self.began)
+                outcome = publish(self.root, row["rel_path"], bytes(row["content"]), row["replace"], claims=claims)
                 log.write(json.dumps({"rel_path": row["rel_path"], "outcome": outcome}) + "\n")
         return Written(name)
 
@@ -240,10 +283,11 @@ def safe_path(path: str) -> bool:
     return not path.startswith("/") and "\\" not in path and all(p not in ("", ".", "..") for p in parts)
 
 
-def publish(root: str, path: str, content: bytes, replace: bool = False, began: float | None = None) -> str:
+def publish(root: str, path: str, content: bytes, replace: bool = False, began: float | None = None, claims: Claims | None = None) -> str:
     """Put one file under ``root``, whole or not at all: published, replaced, or exists where another one was there.
 
-    A file with the same bytes that came since ``began`` is this call's own, made by an earlier attempt.
+    A file that another attempt noted in ``claims`` is this call's own. So is one with the same bytes that came
+    since ``began``, for a caller who knows that nobody else has written since.
     """
     if not safe_path(path):
         raise ValueError(f"not a path inside the corpus: {path}")
@@ -254,13 +298,19 @@ def publish(root: str, path: str, content: bytes, replace: bool = False, began:
             f.write(content)
             f.flush()
             os.fsync(f.fileno())
+            made = os.fstat(f.fileno())
         try:
             if replace:
                 os.replace(part, name, src_dir_fd=fd, dst_dir_fd=fd)
                 return "replaced"
+            if claims is not None:
+                claims.note(path, made)
             os.link(part, name, src_dir_fd=fd, dst_dir_fd=fd, follow_symlinks=False)
             return "published"
         except FileExistsError:
+            if claims is not None:
+                with suppress(FileNotFoundError):
+                    return "published" if claims.take(path, os.stat(name, dir_fd=fd, follow_symlinks=False)) else "exists"
             try:
                 info, there = contained(root, path)
             except (OSError, ValueError):
@@ -285,13 +335,11 @@ def write(records: DataFrame, root: str) -> DataFrame:
     replace = F.col("replace") if "replace" in records.columns else F.lit(False)
     rows = records.select("rel_path", F.col("content").cast("binary").alias("content"), F.coalesce(replace, F.lit(False)).alias("replace"))
     try:
-        rows.write.format("corpus").mode("append").option("log", log).option("began", str(time.time() - 1)).save(root)
+        rows.write.format("corpus").mode("append").option("log", log).save(root)
         done = spark.read.schema("rel_path string, outcome string").option("pathGlobFilter", "*-done.json").json(log)
         return checkpointed(done)
     finally:
-        for name in os.listdir(log):
-            os.unlink(os.path.join(log, name))
-        os.rmdir(log)
+        shutil.rmtree(log)
 
 
 def remove_one(root: str, path: str, file_hash: str) -> str:

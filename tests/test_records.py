@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,26 @@ def test_corpus_folder(spark, tmp_path):
         corpus.write(spark.createDataFrame([("../x.md", "y")], "rel_path string, content string"), root).collect()
 
 
+def test_only_own_files_count_as_published(spark, tmp_path):
+    """Neither the clock nor equal bytes make a file this call's own; what another attempt of the same task noted does."""
+    root, later = str(tmp_path / "journal"), time.time() + 60
+    one = spark.createDataFrame([("a/aj1-x.md", "x")], "rel_path string, content string")
+    assert [r.outcome for r in corpus.write(one, root).collect()] == ["published"]
+    os.utime(f"{root}/a/aj1-x.md", (later, later))  # by a file server whose clock is ahead, or within the same second
+    assert [r.outcome for r in corpus.write(one, root).collect()] == ["exists"]
+    twice = spark.createDataFrame([("a/aj1-y.md", "y"), ("a/aj1-y.md", "y")], "rel_path string, content string")
+    assert sorted(r.outcome for r in corpus.write(twice, root).collect()) == ["exists", "published"]
+    assert sorted(os.listdir(root)) == ["a"] and sorted(os.listdir(f"{root}/a")) == ["aj1-x.md", "aj1-y.md"]
+    log = str(tmp_path / "task-0")
+    put = lambda claims, name: corpus.publish(root, f"a/aj1-{name}.md", b"z", claims=claims)
+    with corpus.Claims(log) as first, corpus.Claims(log) as second, corpus.Claims(str(tmp_path / "task-1")) as other:
+        assert [put(first, "z"), put(first, "z"), put(second, "z"), put(second, "z"), put(other, "z")] == ["published", "exists", "published", "exists", "exists"]
+        assert [put(other, "w"), put(second, "w"), put(first, "w")] == ["published", "exists", "exists"]
+        os.utime(f"{root}/a/aj1-z.md", (later, later))  # edited since: no attempt's file any more
+        with corpus.Claims(log) as third:
+            assert put(third, "z") == "exists"
+
+
 def test_edited_text_is_not_found_under_the_old_revision(spark):
     """The index is what the records give: after an edit and a rebuild the edited record is out."""
     files = stored(spark, [BASE | {"user_content": "about quokkas", "turn_id": "1"}, BASE | {"user_content": "about wombats", "turn_id": "2"}])
