@@ -327,6 +327,28 @@ def test_bpe_equals_library():
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_reads_new_words_side_by_side(monkeypatch):
+    """Every new word of a batch, but for very long ones, is read in columns, with the library's ids."""
+    from tokenizers import Tokenizer
+
+    rng, file = random.Random(5), bpe.vocabulary_path()
+    library = Tokenizer.from_file(file)
+    letters = ["abcdefghij", "etaoin", "0123456789", "aé漢字한🙂", "a.,'_-!?", "aaaab", "the and ing er"]
+    some = ["".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(0, 70))) for _ in range(3000)]
+    some = ["", " ", *(" ".join(some[i : i + 30]) for i in range(0, 3000, 30)), "x" * 65 + " " + "ab" * 300, "a<|endoftext|>b  c\n\nd", "\n".join(some[:40]), " ".join(some[:900])]
+    wanted = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    for slots, together, side in ((bpe.SLOTS, bpe.TOGETHER, bpe.SIDE_BY_SIDE), (64, 700, 50)):
+        monkeypatch.setattr(bpe, "SLOTS", slots)
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "SIDE_BY_SIDE", side)
+        monkeypatch.setattr(bpe, "FEW", 1)
+        own, alone = bpe.PrefixBpe(file), []
+        word = own.word
+        own.word = lambda piece: alone.append(piece) or word(piece)
+        assert list(own.encode_all(some)) == wanted
+        assert alone and all(len(p) > bpe.LONGEST for p in alone)
+
+
 def test_bpe_odd_rows(spark):
     rows = bpe.digests(odd_docs(spark)).collect()
     nothing = hashlib.sha256(b"").hexdigest()
