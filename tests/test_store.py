@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -471,6 +472,49 @@ def test_compaction_and_vacuum(spark, files, tmp_path):
     assert segments == {f"seg={s}" for k in found._numbers() for s in found._snapshot(k)["tables"]["texts"]} and len(found._numbers()) == 2
 
 
+def left_behind(spark, work):
+    """Shuffle files that jobs of ``work`` left, once Spark had time to take them away."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    there = lambda: {n for d in dirs for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    before, until = there(), time.monotonic() + 5
+    work()
+    while there() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    return there() - before
+
+
+def test_disk_is_bounded(spark, files, tmp_path, monkeypatch):
+    """Jobs leave no shuffles, parts are written one at a time, and rows of segments that lost no record count without a join."""
+    monkeypatch.setattr(store, "BATCH", 1)
+    found, write, written = store.Store(spark, str(tmp_path / "index"), parts=3), store.Store._write, []
+    monkeypatch.setattr(store.Store, "_write", lambda self, name, *args: (written.append(name), write(self, name, *args))[1])
+    joined = lambda name: "Join" in found.read(name)._jdf.queryExecution().optimizedPlan().toString()
+    paths = sorted(r.rel_path for r in files.collect())
+    assert not left_behind(spark, lambda: engine.sync(files.filter(F.col("rel_path") != paths[0]), found))
+    assert written.count("postings") == len(next(iter(found.snapshot["tables"]["texts"].values()))) > 1
+    assert not joined("postings") and not joined("texts") and len(found.snapshot["whole"]) == 1
+    # A record that comes tears nothing; one that is edited tears the segment that had it.
+    engine.sync(files, found)
+    assert not joined("postings") and len(found.snapshot["whole"]) == 2 and kept(found) == fresh(verify.verified(files))
+    now = edited(files, paths[5])
+    assert not left_behind(spark, lambda: engine.sync(now, found))
+    assert joined("postings") and len(found.snapshot["whole"]) == 2
+    want, grams, texts = fresh(verify.verified(now)), rows(found.read("trigrams")), rows(found.read("texts"))
+    assert kept(found) == want
+    # So does one that goes; a snapshot that doesn't say what is whole is read with joins.
+    engine.sync(now.filter(F.col("rel_path") != paths[0]), found)
+    engine.sync(now, found)
+    assert kept(found) == want and rows(found.read("texts")) == texts
+    del found.snapshot["whole"]
+    assert kept(found) == want and rows(found.read("texts")) == texts
+    written.clear()
+    assert not left_behind(spark, found.compact)
+    assert all(written.count(n) == len(next(iter(found.snapshot["tables"][n].values()))) > 1 for n in ("postings", "texts", "trigrams"))
+    assert kept(found) == want and rows(found.read("trigrams")) == grams and rows(found.read("texts")) == texts
+    assert not joined("postings") and not joined("texts")
+    assert found.spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_trigrams_equal_the_scan(spark, tmp_path):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 9)))
