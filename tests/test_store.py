@@ -487,12 +487,13 @@ def test_disk_is_bounded(spark, files, tmp_path, monkeypatch):
     """Jobs leave no shuffles, parts are written one at a time, and rows of segments that lost no record count without a join."""
     monkeypatch.setattr(store, "BATCH", 1)
     found, write, written = store.Store(spark, str(tmp_path / "index"), parts=3), store.Store._write, []
-    monkeypatch.setattr(store.Store, "_write", lambda self, name, *args: (written.append(name), write(self, name, *args))[1])
+    monkeypatch.setattr(store.Store, "_write", lambda self, name, *args, **how: (written.append(name), write(self, name, *args, **how))[1])
     joined = lambda name: "Join" in found.read(name)._jdf.queryExecution().optimizedPlan().toString()
     paths = sorted(r.rel_path for r in files.collect())
     assert not left_behind(spark, lambda: engine.sync(files.filter(F.col("rel_path") != paths[0]), found))
     assert written.count("postings") == len(next(iter(found.snapshot["tables"]["texts"].values()))) > 1
     assert not joined("postings") and not joined("texts") and len(found.snapshot["whole"]) == 1
+    assert not [n for n in os.listdir(tmp_path / "index" / "texts") if "loose" in n]
     # A record that comes tears nothing; one that is edited tears the segment that had it.
     engine.sync(files, found)
     assert not joined("postings") and len(found.snapshot["whole"]) == 2 and kept(found) == fresh(verify.verified(files))
